@@ -4,10 +4,18 @@ from __future__ import annotations
 
 import importlib
 
-
 #: query name -> module that defines a function of that name
 _QUERIES = {
+    "op1_language_id": "langid",
+    "op2_personal_data": "pii",
+    "op3_chat_formatting": "chat",
+    "op4_document_fingerprints": "multiset",
     "op5_bpe_round_trip": "bpe",
+    "op6_line_dedup": "linejoin",
+    "op7_warc_archives": "warc",
+    "op8_best_fit_packing": "packing",
+    "op9_simhash_near_dedup": "simhash",
+    "op10_nearest_neighbours": "mih",
 }
 
 
