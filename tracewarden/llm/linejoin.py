@@ -121,7 +121,7 @@ class LineSets:
         if len(self.starts):
             self.s1 = np.add.reduceat(_mix(self.h, 2), self.starts)
             self.s2 = np.add.reduceat(_mix(self.h, 3), self.starts)
-            self.bitmap = np.bitwise_xor.reduceat(np.uint64(1) << (_mix(self.h, 4) >> np.uint64(59)), self.starts)
+            self.bitmap = np.bitwise_xor.reduceat(np.uint64(1) << (_mix(self.h, 4) >> np.uint64(58)), self.starts)
         else:
             self.s1 = self.s2 = self.bitmap = np.zeros(0, np.uint64)
 
@@ -186,11 +186,11 @@ def line_table(docs: DataFrame, rarity: np.ndarray, threshold: float) -> DataFra
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(prefix)].astype(np.int32)), pa.array(words[take]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[at]), pa.array(ties[at]), pa.array(sets.number[sets.lines].astype(np.int32)), pa.array(s1), pa.array(sets.s2.view(np.int64)),
-                     pa.array(sets.sizes.astype(np.int32)), pa.array(sets.bitmap.astype(np.uint32).view(np.int32)), lists],
+                     pa.array(sets.sizes.astype(np.int32)), pa.array(sets.bitmap.view(np.int64)), lists],
                     names=["sort_id", "tie", "line", "s1", "s2", "n", "bitmap", "prefix"],
                 )
 
-    schema = "sort_id long, tie long, line int, s1 long, s2 long, n int, bitmap int, prefix array<int>"
+    schema = "sort_id long, tie long, line int, s1 long, s2 long, n int, bitmap long, prefix array<int>"
     return docs.select("sort_id", "tie", "text").mapInArrow(run, schema)
 
 
@@ -240,7 +240,7 @@ def _candidates(threshold: float, every: bool):
                 if not b.num_rows:
                     continue
                 fresh = [b.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
-                fresh[5] = fresh[5].view(np.uint32)  # of a signed number the bits of its absolute value would be counted
+                fresh[5] = fresh[5].view(np.uint64)  # of a signed number the bits of its absolute value would be counted
                 held = fresh if held is None else [np.concatenate(x) for x in zip(held, fresh)]
                 words = held[0]
                 cut = 0 if words[0] == words[-1] else len(words) - int((words[::-1] != words[-1]).argmax())
