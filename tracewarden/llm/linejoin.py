@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden.llm.common import key_or_min, materialize, table
+from tracewarden.llm.common import key_or_min, materialize, release, table
 
 THRESHOLD = 0.8
 MIN_WORDS = 5
@@ -321,6 +321,7 @@ def later_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     firsts = materialize(lines.groupBy("s1", "s2").agg(F.min(F.struct("sort_id", "tie", "line")).alias("first")), "firsts")
     postings = _postings(lines)
     named = materialize(_named(postings, threshold, every=False), "named")
+    release(docs.sparkSession)  # the postings' shuffle
     removed = materialize(_verified(docs, named, firsts, threshold), "removed")
     open_ = named.filter(F.col("a").isNull()).select(F.col("b").alias("s1")).distinct().join(removed, "s1", "left_anti")
     open_ = materialize(open_, "open")
