@@ -52,11 +52,11 @@ def _power(base: np.uint64, name: str, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo 2^64, kept for the next chunk."""
     have = _powers.get(name)
     if have is None or len(have) < n:
-        have = np.ones(max(n, CHUNK_BYTES + 4096), np.uint64)
+        have = np.ones(max(n, CHUNK_BYTES + (CHUNK_BYTES >> 3)), np.uint64)
         have[1:] = base
         np.multiply.accumulate(have, out=have)
         _powers[name] = have
-        if n > 4 * CHUNK_BYTES:  # a huge text's table isn't kept
+        if n > 8 * CHUNK_BYTES:  # a huge text's table isn't kept
             del _powers[name]
     return have[:n]
 
@@ -69,9 +69,8 @@ def _mix(h: np.ndarray, salt: int) -> np.ndarray:
     return h
 
 
-def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and line of every word, and the number of lines of each text; lines are counted through all texts."""
-    raw = [t.encode() for t in texts]
+def word_spans(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts joined by line feeds, and start, end and hash of every word in them."""
     buffer = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     space = _SPACE[buffer]
     edges = np.flatnonzero(np.diff(np.r_[True, space].astype(np.int8)))
@@ -80,18 +79,24 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[buffer] * _power(_R, "r", n), out=sums[1:])
     h = (sums[ends] - sums[starts]) * _power(_R_INVERSE, "i", n)[starts]
-    h = _mix(h ^ (ends - starts).astype(np.uint64), 1)
+    return buffer, starts, ends, _mix(h ^ (ends - starts).astype(np.uint64), 1)
+
+
+def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and line of every word, and the number of lines of each text; lines are counted through all texts."""
+    raw = [t.encode() for t in texts]
+    buffer, starts, _, h = word_spans(raw)
     breaks = np.flatnonzero(buffer == 10)
     lines = np.searchsorted(breaks, starts)
     return h, lines, np.array([r.count(b"\n") + 1 for r in raw], np.int64)
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of texts with about CHUNK_BYTES together."""
+def _chunks(texts: list[str], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts with about `limit` characters together."""
     at = size = 0
     for i, t in enumerate(texts):
         size += len(t)
-        if size >= CHUNK_BYTES:
+        if size >= limit:
             yield at, i + 1
             at, size = i + 1, 0
     if at < len(texts):

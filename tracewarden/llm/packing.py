@@ -12,9 +12,9 @@ rows without an id are packed like any other; an empty table packs into nothing.
 
 from __future__ import annotations
 
+import json
 import math
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,51 +24,104 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewarden.llm.bpe import byte_alphabet
 from tracewarden.llm.common import materialize, table
+from tracewarden.llm.linejoin import _chunks, word_spans
 
 CAPACITY = 4096
 #: Pieces a group holds at about: one task packs a group, so this bounds its memory and time.
 GROUP_PIECES = 20_000
 #: Bins filled less than this are packed again with those of other groups.
 REPACK_BELOW = 0.98
-#: Entries of the per-worker word cache; it bounds memory and never changes a result.
-CACHE_WORDS = 200_000
+#: Text whose words are encoded together.
+RUN_BYTES = 4 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_CONTROL = re.compile("[\x1c-\x1f]")
 
 
 class WordTokenizer:
-    """Ids of whole texts, put together from the ids of their white-space separated words.
+    """Ids of whole texts, put together from the ids of their words (runs of anything but ASCII white space).
 
     The vocabulary's pre-tokenizer drops white space and never looks across it, so a text's ids are those of its words.
-    Texts with separators U+001C to U+001F, which count as white space in Python alone, are encoded whole.
+    The words of a run of texts are found, hashed and made unique in arrays; the unique ones are cut into pre-tokens and
+    merged by rank in one call of a library of byte merges. There a private character marks the end of a pre-token, and
+    merges of a byte with that mark come first, which gives the vocabulary's symbols for word ends. Words with rarer
+    letters or special tokens go through the public tokenizer itself.
     """
 
+    MARK = "\ue000"
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def packed(self, text: str) -> bytes:
-        if _CONTROL.search(text):
-            return self._encode([text])[0]
-        words = text.split()
-        out = list(map(self.words.get, words))
-        if None in out:
-            missing = list({w for w, x in zip(words, out) if x is None})
-            found = dict(zip(missing, self._encode(missing)))
-            out = [found[w] if x is None else x for w, x in zip(words, out)]
-            if len(self.words) + len(found) > CACHE_WORDS:
-                self.words.clear()
-            self.words.update((w, x) for w, x in found.items() if len(w) <= 64)
-        return b"".join(out)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        vocab, suffix, mark = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"], self.MARK.encode()
+        to_byte = {c: b for b, c in byte_alphabet().items()}
+
+        def raw(token: str) -> bytes:
+            whole = token.endswith(suffix) and token != suffix
+            return bytes(to_byte[c] for c in (token[: -len(suffix)] if whole else token)) + (mark if whole else b"")
+
+        ranks: dict[bytes, int] = {bytes([b]): b for b in range(256)}
+        ids = [vocab[byte_alphabet()[b]] for b in range(256)]
+        for n in range(1, len(mark) + 1):
+            for b in range(256):
+                ranks[bytes([b]) + mark[:n]] = len(ids)
+                ids.append(vocab[byte_alphabet()[b] + suffix])
+        self.separator = ranks[b"\n" + mark]
+        for m in spec["model"]["merges"]:
+            left, right = m if isinstance(m, list) else m.split(" ")
+            ranks[raw(left + right)] = len(ids)
+            ids.append(vocab[left + right])
+        self.id_of = np.array(ids, np.uint32)
+        self.merge = tiktoken.Encoding("words", pat_str=f"[^{self.MARK}]+{self.MARK}", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.pieces = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + r"|\n").findall
+
+    def encode_whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def encode_plain(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and the number of each word's. Letters below U+0240, no special token."""
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        parts = self.pieces((b"\n".join(words) + b"\n").decode().lower())
+        ranks = np.array(self.merge(self.MARK.join(parts) + self.MARK), np.int64)
+        ends = np.flatnonzero(ranks == self.separator)
+        sizes = np.diff(np.r_[-1, ends]) - 1
+        return self.id_of[np.delete(ranks, ends)], sizes
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text."""
+        raw = [t.encode() for t in texts]
+        buffer, starts, ends, h = word_spans(raw)
+        _, first, which = np.unique(h, return_index=True, return_inverse=True)
+        joined = buffer.tobytes()
+        rare = np.r_[0, np.cumsum(buffer > 0xC8)]
+        rare[1:-1] += np.cumsum((buffer[:-1] == ord("<")) & (buffer[1:] == ord("|")))
+        a, b = starts[first], ends[first]
+        odd = rare[b] > rare[a]
+        words = [joined[i:j] for i, j in zip(a[~odd].tolist(), b[~odd].tolist())]
+        flat, n = self.encode_plain(words)
+        others = [self.encode_whole(joined[i:j].decode()) for i, j in zip(a[odd].tolist(), b[odd].tolist())]
+        sizes = np.zeros(len(first), np.int64)
+        sizes[~odd], sizes[odd] = n, [len(x) for x in others]
+        offsets = np.zeros(len(first), np.int64)
+        offsets[~odd] = np.cumsum(n) - n
+        offsets[odd] = len(flat) + np.cumsum(sizes[odd]) - sizes[odd]
+        flat = np.concatenate([flat, *others])
+        n = sizes[which]
+        end = np.cumsum(n)
+        total = int(end[-1]) if len(end) else 0
+        ids = flat[np.repeat(offsets[which] - (end - n), n) + np.arange(total)]
+        edges = np.cumsum([len(r) + 1 for r in raw])  # where each text ends in the buffer
+        cuts = np.r_[0, end][np.searchsorted(starts, edges)]
+        return np.split(ids, cuts[:-1])
 
 
 @lru_cache(maxsize=4)
@@ -84,11 +137,13 @@ def tokenize_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id
         tok = tokenizer(path)
         for b in batches:
             rows: list[tuple] = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1)):
-                packed = tok.packed(t.as_py() or "") + end
-                for k, at in enumerate(range(0, len(packed), 4 * capacity)):
-                    part = packed[at : at + 4 * capacity]
-                    rows.append((i, k, at // 4, len(part) // 4, zlib.crc32(part)))
+            keys, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
+            for i, j in _chunks(texts, RUN_BYTES):
+                for key, ids in zip(keys[i:j], tok.encode_many(texts[i:j])):
+                    packed = ids.tobytes() + end
+                    for k, at in enumerate(range(0, len(packed), 4 * capacity)):
+                        part = packed[at : at + 4 * capacity]
+                        rows.append((key, k, at // 4, len(part) // 4, zlib.crc32(part)))
             columns = list(zip(*rows)) or [()] * 5
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
