@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracewarden.llm.common import materialize, shuffle_width, table
+from tracewarden.llm.common import materialize, table
 
 K = 20
 TABLES = 4
@@ -39,6 +39,8 @@ SAMPLE_RECALL = 0.985
 SUBSTRING_BITS = 16
 #: Rows and queries of a block.
 BLOCK_ROWS, BLOCK_QUERIES = 65_536, 4096
+#: A small table is cut into smaller blocks, for parallel work; each block gives k rows a query, so not into too many.
+LEAST_ROWS, MOST_SMALL_BLOCKS = 4096, 64
 #: Share of all buckets beyond which probing a substring index is no cheaper than reading the codes in order.
 PROBE_SHARE = 0.05
 RESULT = "query_id long, vec_id long, score double"
@@ -176,7 +178,7 @@ def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     if not asked:
         return empty
     across = max(1, math.ceil(asked / BLOCK_QUERIES))
-    down = max(math.ceil(n / BLOCK_ROWS), math.ceil(2 * shuffle_width(spark) / across))
+    down = max(math.ceil(n / BLOCK_ROWS), min(math.ceil(n / LEAST_ROWS), MOST_SMALL_BLOCKS))
     query_cells = F.explode(F.transform(F.sequence(F.lit(0), F.lit(down - 1)), lambda i: (i * across + F.pmod(F.xxhash64("vec_id"), F.lit(across))).cast("long")))
     tagged = good.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(down)))
     row_cells = F.explode(F.transform(F.sequence(F.lit(0), F.lit(across - 1)), lambda j: (F.col("block") * across + j).cast("long")))
