@@ -30,7 +30,7 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.5
 UNKNOWN = "und"
 PREDICTION = "lang_pred string, score double"
 #: A document whose most likely language has less than this is rejected by the pipeline.
-REJECT_BELOW = 0.4
+REJECT_BELOW = 0.3
 
 
 @lru_cache(maxsize=1)

@@ -35,6 +35,8 @@ _TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
 _SPAN = "array<struct<start: bigint, kind: int, end: bigint>>"
 _OCCURRENCE = "array<struct<start: bigint, end: bigint, value: string, one: string, two: string>>"
 
+#: What a token must at least look like to be added as a kind: contexts alone also stand before years and counts.
+SHAPES = {"email": r"\S@\S", "ip": r"[0-9]+[.:][0-9]+[.:][0-9]+", "card": r"(?:[0-9][^0-9]*+){8}", "phone": r"(?:[0-9][^0-9]*+){7}"}
 ROUNDS = 3
 #: A pattern counts from so many different instances and seeds on, and from this confidence on.
 MIN_INSTANCES, MIN_SEEDS, MIN_CONFIDENCE = 4, 2, 0.7
@@ -112,7 +114,8 @@ def _scores(edges: DataFrame, confidence: DataFrame) -> DataFrame:
     """value, s0 to s3 of the instances that are no seeds: noisy or over confident patterns."""
     strong = [F.when(F.col(f"c{k}") >= MIN_CONFIDENCE, F.col(f"c{k}")).otherwise(0.0) for k in range(len(KINDS))]
     joined = edges.filter("seed < 0").join(confidence, "pattern")
-    return joined.groupBy("value").agg(*[(1 - F.exp(F.sum(F.log(F.greatest(1 - c, F.lit(1e-9)))))).alias(f"s{k}") for k, c in enumerate(strong)])
+    either = joined.groupBy("value").agg(*[(1 - F.exp(F.sum(F.log(F.greatest(1 - c, F.lit(1e-9)))))).alias(f"s{k}") for k, c in enumerate(strong)])
+    return either.select("value", *[F.when(F.col("value").rlike(SHAPES[kind]), F.col(f"s{k}")).otherwise(0.0).alias(f"s{k}") for k, kind in enumerate(KINDS)])
 
 
 def discover(scanned: DataFrame, rounds: int = ROUNDS) -> DataFrame:

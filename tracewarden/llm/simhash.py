@@ -94,8 +94,8 @@ def _links(a: np.ndarray, table_a: np.ndarray, b: np.ndarray, table_b: np.ndarra
     return at[np.bitwise_count(b[at] ^ a) <= radius]
 
 
-def _forest(fps: np.ndarray, sides: np.ndarray | None, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect what is connected within one bucket (or between its two sides)."""
+def _forest(fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect what is connected within one bucket: a breadth-first search that looks at the unreached alone."""
     pivots = np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int16)
     out = []
     waiting, queue = np.ones(len(fps), bool), []
@@ -138,7 +138,7 @@ def _compare(radius: int):
             at = at[np.bitwise_count(f[at] ^ f[at + lag]) <= radius]
             found.append((f[at], f[at + lag]))
         for s, n in zip(starts[sizes > 24], sizes[sizes > 24]):
-            found += _forest(fps[s : s + n], None, radius)
+            found += _forest(fps[s : s + n], radius)
         return (np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])) if found else (fps[:0], fps[:0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,11 +205,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
-    """The documents that are the first of their component, all columns kept; of rows with one id, one stays."""
-    found = near_duplicates(docs, shingle, radius, seed)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept_id")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """The documents with the smallest id of their component, all columns kept; rows without an id come after all others.
+
+    Of equal rows one stays; rows that share an id but not a text stay or go together.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**62) + F.pmod(F.xxhash64(text), F.lit(2**61)))
+    keyed = docs.withColumn("_own_id", own).withColumn("_text_hash", F.xxhash64(text))
+    found = near_duplicates(keyed.select(F.col("_own_id").alias("doc_id"), "text"), shingle, radius, seed)
+    first = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_own_id")).distinct()
+    return keyed.join(first, "_own_id", "left_semi").dropDuplicates(["_own_id", "_text_hash"]).select(*docs.columns)
 
 
 def op9_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
