@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden.llm.common import key_or_min, materialize, release, table
+from tracewarden.llm.common import discard, key_or_min, materialize, release, table
 
 THRESHOLD = 0.8
 MIN_WORDS = 5
@@ -103,6 +103,19 @@ def _chunks(texts: list[str], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, i
         yield at, len(texts)
 
 
+def _by_line(line: np.ndarray, h: np.ndarray, rarity: np.ndarray | None) -> np.ndarray:
+    """Order by line, rarity and hash. One sort of a packed key does, unless two hashes of a line share its bits."""
+    if len(line) and line[-1] < 2**20:
+        key = line.astype(np.uint64) << np.uint64(44)
+        key |= h >> np.uint64(20) if rarity is None else (rarity.astype(np.uint64) << np.uint64(28)) | (h >> np.uint64(36))
+        order = np.argsort(key)
+        key = key[order]
+        tied = np.flatnonzero(key[1:] == key[:-1])
+        if not (h[order[tied]] != h[order[tied + 1]]).any():
+            return order
+    return np.lexsort((h, line) if rarity is None else (h, rarity, line))
+
+
 class LineSets:
     """The word sets of the lines of some texts: hashes sorted by (line, order), with their bounds."""
 
@@ -110,13 +123,10 @@ class LineSets:
         h, line, per_text = words_of(texts)
         self.text_of = np.repeat(np.arange(len(texts)), per_text)
         self.number = np.concatenate([np.arange(n) for n in per_text]) if len(texts) else np.zeros(0, np.int64)
-        order = np.lexsort((h, line))
+        order = _by_line(line, h, None if rarity is None else rarity[h >> np.uint64(64 - COUNT_BITS)])
         h, line = h[order], line[order]
         new = np.r_[True, (h[1:] != h[:-1]) | (line[1:] != line[:-1])] if len(h) else np.zeros(0, bool)
         h, line = h[new], line[new]
-        if rarity is not None:
-            order = np.lexsort((h, rarity[h >> np.uint64(64 - COUNT_BITS)], line))
-            h, line = h[order], line[order]
         sizes = np.bincount(line, minlength=len(self.number)) if len(line) else np.zeros(len(self.number), np.int64)
         wide = sizes >= MIN_WORDS
         keep = wide[line] if len(line) else np.zeros(0, bool)
@@ -200,14 +210,15 @@ def line_table(docs: DataFrame, rarity: np.ndarray, threshold: float) -> DataFra
 
 
 def _candidates(threshold: float, every: bool):
-    """Over postings sorted by (word, n, sort_id, s1): pairs a (earlier or same document), b, and "more" as a null a.
+    """Over postings sorted by word: pairs a (earlier or same document), b, and "more" as a null a.
 
     With every, all pairs of the sets marked open are named and nothing else.
     """
 
     def of_run(word, n, sort_id, s1, place, bitmap, open_):  # noqa: PLR0917
-        same = np.r_[False, (word[1:] == word[:-1]) & (s1[1:] == s1[:-1])]  # copies from other tasks: the first has the least id
-        keep = ~same
+        order = np.lexsort((sort_id, s1, word))
+        word, n, sort_id, s1, place, bitmap, open_ = (x[order] for x in (word, n, sort_id, s1, place, bitmap, open_))
+        keep = ~np.r_[False, (word[1:] == word[:-1]) & (s1[1:] == s1[:-1])]  # copies from other tasks: the first has the least id
         word, n, sort_id, s1, place, bitmap, open_ = (x[keep] for x in (word, n, sort_id, s1, place, bitmap, open_))
         order = np.lexsort((sort_id, n, word))
         word, n, sort_id, s1, place, bitmap, open_ = (x[order] for x in (word, n, sort_id, s1, place, bitmap, open_))
@@ -268,7 +279,7 @@ def _postings(lines: DataFrame) -> DataFrame:
 
 def _named(postings: DataFrame, threshold: float, every: bool) -> DataFrame:
     marked = postings if every else postings.withColumn("open", F.lit(False))
-    sorted_ = marked.select("word", "n", "sort_id", "s1", "place", "bitmap", "open").repartition("word").sortWithinPartitions("word", "s1", "sort_id")
+    sorted_ = marked.select("word", "n", "sort_id", "s1", "place", "bitmap", "open").repartition("word").sortWithinPartitions("word")
     return sorted_.mapInArrow(_candidates(threshold, every), "a long, b long").distinct()
 
 
@@ -303,17 +314,40 @@ def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
     return found.join(needed, "s1", "left_semi").groupBy("s1").agg(F.first("words").alias("words"))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
-    """s1 of the sets that match an earlier set, of the pairs (a, b) named."""
-    pairs = materialize(pairs.filter(F.col("a").isNotNull() & (F.col("a") != F.col("b"))), "pairs")
-    needed = pairs.select(F.col("a").alias("s1")).union(pairs.select("b")).distinct()
-    sets = materialize(_sets(docs, needed).join(firsts.select("s1", "first"), "s1"), "sets")
-    left = sets.select(F.col("s1").alias("a"), F.col("words").alias("wa"), F.col("first").alias("fa"))
-    right = sets.select(F.col("s1").alias("b"), F.col("words").alias("wb"), F.col("first").alias("fb"))
-    joined = pairs.join(left, "a").join(right, "b")
+def _oriented(named: DataFrame, firsts: DataFrame) -> DataFrame:
+    """earlier, later of the pairs named, by the first places of both sets."""
+    place = firsts.select("s1", "first")
+    pairs = named.filter(F.col("a").isNotNull() & (F.col("a") != F.col("b")))
+    placed = pairs.join(place.select(F.col("s1").alias("a"), F.col("first").alias("fa")), "a").join(place.select(F.col("s1").alias("b"), F.col("first").alias("fb")), "b")
+    swap = F.col("fa") > F.col("fb")
+    return placed.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("earlier"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("later")).distinct()
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """s1 of the later sets of the pairs (materialized) that match the earlier one."""
+    needed = pairs.select(F.col("earlier").alias("s1")).union(pairs.select("later")).distinct()
+    sets = materialize(_sets(docs, needed), "sets")
+    left = sets.select(F.col("s1").alias("earlier"), F.col("words").alias("wa"))
+    right = sets.select(F.col("s1").alias("later"), F.col("words").alias("wb"))
+    joined = pairs.join(left, "earlier").join(right, "later")
     common = F.size(F.array_intersect("wa", "wb"))
     match = joined.filter(common >= threshold * (F.size("wa") + F.size("wb") - common) - 1e-9)
-    return match.select(F.when(F.col("fa") > F.col("fb"), F.col("a")).otherwise(F.col("b")).alias("s1")).distinct()
+    done = materialize(match.select(F.col("later").alias("s1")).distinct(), "matched")
+    discard(sets)
+    return done
+
+
+def _matched(docs: DataFrame, named: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
+    """s1 of the later sets of the pairs named that match: the first candidate of each decides most, the others the rest."""
+    pairs = materialize(_oriented(named, firsts), "pairs")
+    one = materialize(pairs.groupBy("later").agg(F.min("earlier").alias("earlier")), "one")
+    found = _verified(docs, one, threshold)
+    rest = pairs.join(found.withColumnRenamed("s1", "later"), "later", "left_anti").join(one, ["later", "earlier"], "left_anti")
+    rest = materialize(rest, "rest")
+    if not rest.isEmpty():
+        found = materialize(found.union(_verified(docs, rest, threshold)), "found")
+    discard(pairs, one, rest)
+    return found
 
 
 def later_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -327,17 +361,20 @@ def later_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     postings = _postings(lines)
     named = materialize(_named(postings, threshold, every=False), "named")
     release(docs.sparkSession)  # the postings' shuffle
-    removed = materialize(_verified(docs, named, firsts, threshold), "removed")
-    open_ = named.filter(F.col("a").isNull()).select(F.col("b").alias("s1")).distinct().join(removed, "s1", "left_anti")
-    open_ = materialize(open_, "open")
+    removed = _matched(docs, named, firsts, threshold)
+    open_ = materialize(named.filter(F.col("a").isNull()).select(F.col("b").alias("s1")).distinct().join(removed, "s1", "left_anti"), "open")
+    discard(named)
     if not open_.isEmpty():
         words = postings.join(open_, "s1", "left_semi").select("word").distinct()
         marked = postings.join(words, "word", "left_semi").join(open_.withColumn("open", F.lit(True)), "s1", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-        removed = materialize(removed.union(_verified(docs, _named(marked, threshold, every=True), firsts, threshold)).distinct(), "removed")
+        removed = removed.union(_matched(docs, materialize(_named(marked, threshold, every=True), "named"), firsts, threshold)).distinct()
     state = firsts.join(removed.withColumn("similar", F.lit(True)), "s1", "left").select("s1", "s2", "first", F.coalesce("similar", F.lit(False)).alias("similar"))
     flagged = lines.select("sort_id", "tie", "line", "s1", "s2").join(state, ["s1", "s2"])
     gone = flagged.filter(F.col("similar") | (F.struct("sort_id", "tie", "line") != F.col("first")))
-    return gone.groupBy("sort_id", "tie").agg(F.array_sort(F.collect_set("line")).alias("gone"))
+    gone = materialize(gone.groupBy("sort_id", "tie").agg(F.array_sort(F.collect_set("line")).alias("gone")), "gone")
+    discard(lines, firsts)
+    release(docs.sparkSession)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
