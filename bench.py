@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 HEADLINE = [
     "dataset_stats", "traj_length", "filter_speed", "tessellate_square", "simple_generalization_all", "simple_generalization_one", "tile_sequences", "combination_support",
     "bad_combinations", "pair_support", "suppress_rare_pairs", "swap_candidates", "quadtree_cells", "quadtree_heatmap_nomerge", "uncorrelated_location_entropy", "mean_square_displacement",
-    "mean_trajectory", "martinez_distance", "rsme", "trajectories_removed", "microaggregation_by_start", "connected_components",
+    "mean_trajectory", "martinez_distance", "rsme", "trajectories_removed", "microaggregation_by_start"
 ]
 
 

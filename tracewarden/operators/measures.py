@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from tracewarden.functions.geo import EARTH_KM_ROUND, haversine_km
 from tracewarden.functions.trajectory import content_key, hops, nest
-from tracewarden.operators.distance import EXHAUSTIVE, estimate_lambda, martinez, pair_sums, reference_trajectory, to_reference, with_speeds
+from tracewarden.operators.distance import EXHAUSTIVE, estimate_lambda, every_pair, martinez, pair_sums, reference_trajectory, to_reference, with_speeds
 from tracewarden.operators.sequences import tile_sequences
 from tracewarden.operators.stats import removed, sample_size, window_size
 from tracewarden.operators.tessellation import grid, square_tiles, time_levels
@@ -41,8 +41,7 @@ def nearest_originals(original: DataFrame, anonymized: DataFrame, p_lambda: floa
     rank buckets, an equi-join. Without one, all pairs are compared.
     """
     if window is None:
-        pairs = pair_sums(with_speeds(original), with_speeds(anonymized), F.lit(True), exact)
-        return _nearest(pairs, p_lambda)
+        return _nearest(every_pair(with_speeds(original), with_speeds(anonymized), exact), p_lambda)
     reference = reference_trajectory(original)
     o = _ranked(original, reference, p_lambda, exact)
     # ranks by range partition: each takes its own rank and the number of rows in the ranges before
