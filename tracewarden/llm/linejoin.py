@@ -8,7 +8,7 @@ fewer than ``MIN_WORDS`` different words are left alone.
 2. Each line's words are ordered, rarest first; its prefix is indexed: two sets that match share a word of their prefixes.
    Lines with equal sets are one set, found by a 128-bit sum of word hashes.
 3. Lines that share a prefix word are compared in tasks of their own: length filter, positional filter, and a bitmap of
-   word parities that bounds the symmetric difference from below. A line names its first few candidates only and says if
+   word parities that bounds the symmetric difference from below (128 bits). A line names its first few candidates only and says if
    there were more, so a group of copies never emits all its pairs.
 4. Candidates are verified on their whole sets. Lines that had more candidates and no match yet are compared with all of
    them in a second round; it decides them exactly.
@@ -136,9 +136,12 @@ class LineSets:
         if len(self.starts):
             self.s1 = np.add.reduceat(_mix(self.h, 2), self.starts)
             self.s2 = np.add.reduceat(_mix(self.h, 3), self.starts)
-            self.bitmap = np.bitwise_xor.reduceat(np.uint64(1) << (_mix(self.h, 4) >> np.uint64(58)), self.starts)
+            spot = _mix(self.h, 4) >> np.uint64(57)  # one of 128 bits
+            bit = np.uint64(1) << (spot & np.uint64(63))
+            self.bitmaps = [np.bitwise_xor.reduceat(np.where(spot >> np.uint64(6) == half, bit, np.uint64(0)), self.starts) for half in (0, 1)]
         else:
-            self.s1 = self.s2 = self.bitmap = np.zeros(0, np.uint64)
+            self.s1 = self.s2 = np.zeros(0, np.uint64)
+            self.bitmaps = [self.s1, self.s1]
 
 
 def count_words(docs: DataFrame) -> np.ndarray:
@@ -173,7 +176,7 @@ def _prefix(n: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def line_table(docs: DataFrame, rarity: np.ndarray, threshold: float) -> DataFrame:
-    """A row a line: sort_id, tie, line, s1, s2, n, bitmap, prefix.
+    """A row a line: sort_id, tie, line, s1, s2, n, bits0, bits1, prefix.
 
     prefix is empty where the task has given the same set before: a set's postings leave each task once.
     """
@@ -201,11 +204,11 @@ def line_table(docs: DataFrame, rarity: np.ndarray, threshold: float) -> DataFra
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(prefix)].astype(np.int32)), pa.array(words[take]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[at]), pa.array(ties[at]), pa.array(sets.number[sets.lines].astype(np.int32)), pa.array(s1), pa.array(sets.s2.view(np.int64)),
-                     pa.array(sets.sizes.astype(np.int32)), pa.array(sets.bitmap.view(np.int64)), lists],
-                    names=["sort_id", "tie", "line", "s1", "s2", "n", "bitmap", "prefix"],
+                     pa.array(sets.sizes.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in sets.bitmaps), lists],
+                    names=["sort_id", "tie", "line", "s1", "s2", "n", "bits0", "bits1", "prefix"],
                 )
 
-    schema = "sort_id long, tie long, line int, s1 long, s2 long, n int, bitmap long, prefix array<int>"
+    schema = "sort_id long, tie long, line int, s1 long, s2 long, n int, bits0 long, bits1 long, prefix array<int>"
     return docs.select("sort_id", "tie", "text").mapInArrow(run, schema)
 
 
@@ -215,13 +218,13 @@ def _candidates(threshold: float, every: bool):
     With every, all pairs of the sets marked open are named and nothing else.
     """
 
-    def of_run(word, n, sort_id, s1, place, bitmap, open_):  # noqa: PLR0917
+    def of_run(word, n, sort_id, s1, place, bits0, bits1, open_):  # noqa: PLR0917
         order = np.lexsort((sort_id, s1, word))
-        word, n, sort_id, s1, place, bitmap, open_ = (x[order] for x in (word, n, sort_id, s1, place, bitmap, open_))
+        word, n, sort_id, s1, place, bits0, bits1, open_ = (x[order] for x in (word, n, sort_id, s1, place, bits0, bits1, open_))
         keep = ~np.r_[False, (word[1:] == word[:-1]) & (s1[1:] == s1[:-1])]  # copies from other tasks: the first has the least id
-        word, n, sort_id, s1, place, bitmap, open_ = (x[keep] for x in (word, n, sort_id, s1, place, bitmap, open_))
+        word, n, sort_id, s1, place, bits0, bits1, open_ = (x[keep] for x in (word, n, sort_id, s1, place, bits0, bits1, open_))
         order = np.lexsort((sort_id, n, word))
-        word, n, sort_id, s1, place, bitmap, open_ = (x[order] for x in (word, n, sort_id, s1, place, bitmap, open_))
+        word, n, sort_id, s1, place, bits0, bits1, open_ = (x[order] for x in (word, n, sort_id, s1, place, bits0, bits1, open_))
         named, more = np.zeros(len(word), np.int64), np.zeros(len(word), bool)
         out_a, out_b = [], []
         live = np.arange(1, len(word))
@@ -234,7 +237,7 @@ def _candidates(threshold: float, every: bool):
             other = live - lag
             least = np.ceil(threshold / (1 + threshold) * (n[live] + n[other]) - 1e-9)
             fits = 1 + np.minimum(n[live] - place[live], n[other] - place[other]) >= least
-            fits &= np.bitwise_count(bitmap[live] ^ bitmap[other]) <= n[live] + n[other] - 2 * least
+            fits &= np.bitwise_count(bits0[live] ^ bits0[other]) + np.bitwise_count(bits1[live] ^ bits1[other]) <= n[live] + n[other] - 2 * least
             i, j = live[fits], other[fits]
             later = np.where(sort_id[i] >= sort_id[j], i, j)
             earlier = i + j - later
@@ -255,8 +258,8 @@ def _candidates(threshold: float, every: bool):
             if b is not None:
                 if not b.num_rows:
                     continue
-                fresh = [b.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
-                fresh[5] = fresh[5].view(np.uint64)  # of a signed number the bits of its absolute value would be counted
+                fresh = [b.column(k).to_numpy(zero_copy_only=False) for k in range(8)]
+                fresh[5:7] = [x.view(np.uint64) for x in fresh[5:7]]  # of a signed number the bits of its absolute value would be counted
                 held = fresh if held is None else [np.concatenate(x) for x in zip(held, fresh)]
                 words = held[0]
                 cut = 0 if words[0] == words[-1] else len(words) - int((words[::-1] != words[-1]).argmax())
@@ -272,36 +275,68 @@ def _candidates(threshold: float, every: bool):
     return run
 
 
+def _bits(df: DataFrame, value: str) -> np.ndarray:
+    """A filter of fixed size (2 ** FILTER_BITS bits) of a column of uniform longs; 2 MB reach the driver at most."""
+    at = F.expr(f"cast(shiftrightunsigned({value}, {64 - FILTER_BITS + 6}) AS int)")
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({value}, {64 - FILTER_BITS}) & 63 AS int))")
+    rows = df.select(at.alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(2 ** (FILTER_BITS - 6), np.int64)
+    out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def _hits(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values may be in the filter; those that were put in all are."""
+    place = values.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+    return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
 def _postings(lines: DataFrame) -> DataFrame:
-    each = lines.filter(F.size("prefix") > 0).select(F.posexplode("prefix").alias("at", "word"), "n", "sort_id", "s1", "bitmap")
-    return each.select("word", "n", "sort_id", "s1", (F.col("at") + 1).alias("place"), "bitmap")
+    each = lines.filter(F.size("prefix") > 0).select(F.posexplode("prefix").alias("at", "word"), "n", "sort_id", "s1", "bits0", "bits1")
+    return each.select("word", "n", "sort_id", "s1", (F.col("at") + 1).alias("place"), "bits0", "bits1")
+
+
+def _sieve(df: DataFrame, bits: np.ndarray, value: str) -> DataFrame:
+    """The rows of df whose value may be in the filter; map-only, so that few rows are left for an exact join."""
+    shipped, at = df.sparkSession.sparkContext.broadcast(bits), df.columns.index(value)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_hits(shipped.value, b.column(at).to_numpy())))
+
+    return df.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields))
+
+
+def _open_postings(lines: DataFrame, open_: DataFrame) -> DataFrame:
+    """The postings of all words that a set of open_ has in its prefix, with open: whether the posting is such a set's."""
+    spot = F.xxhash64("word")
+    own = _sieve(lines.filter(F.size("prefix") > 0).select("s1", "prefix"), _bits(open_, "s1"), "s1").join(open_, "s1", "left_semi")
+    words = materialize(own.select(F.explode("prefix").alias("word")).distinct().withColumn("spot", spot), "words")
+    near = _sieve(_postings(lines).withColumn("spot", spot), _bits(words, "spot"), "spot").join(words.select("word"), "word", "left_semi")
+    return near.join(open_.withColumn("open", F.lit(True)), "s1", "left").withColumn("open", F.coalesce("open", F.lit(False)))
 
 
 def _named(postings: DataFrame, threshold: float, every: bool) -> DataFrame:
     marked = postings if every else postings.withColumn("open", F.lit(False))
-    sorted_ = marked.select("word", "n", "sort_id", "s1", "place", "bitmap", "open").repartition("word").sortWithinPartitions("word")
+    sorted_ = marked.select("word", "n", "sort_id", "s1", "place", "bits0", "bits1", "open").repartition("word").sortWithinPartitions("word")
     return sorted_.mapInArrow(_candidates(threshold, every), "a long, b long").distinct()
 
 
 def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
-    """s1, words (array<long>) of the sets needed. A filter of fixed size lets only few others through."""
-    at = F.expr(f"cast(shiftrightunsigned(s1, {64 - FILTER_BITS + 6}) AS int)")
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(s1, {64 - FILTER_BITS}) & 63 AS int))")
-    rows = needed.select(at.alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    filter_ = np.zeros(2 ** (FILTER_BITS - 6), np.int64)
-    filter_[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
-    shipped = docs.sparkSession.sparkContext.broadcast(filter_.view(np.uint64))
+    """s1, words (array<long>) of the sets needed (s1, spot: hash of the document of the first place).
+
+    Filters of fixed size skip most documents before they are hashed, and most sets of the others.
+    """
+    of_docs, of_sets = (docs.sparkSession.sparkContext.broadcast(_bits(needed, x)) for x in ("spot", "s1"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[int] = set()
         for b in batches:
-            texts = [t or "" for t in b.column(0).to_pylist()]
+            texts = [b.column(1)[i].as_py() or "" for i in np.flatnonzero(_hits(of_docs.value, b.column(0).to_numpy())).tolist()]
             for i, j in _chunks(texts):
                 sets = LineSets(texts[i:j], None)
-                place = sets.s1 >> np.uint64(64 - FILTER_BITS)
-                hit = (shipped.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
                 s1, words = [], []
-                for k in np.flatnonzero(hit).tolist():
+                for k in np.flatnonzero(_hits(of_sets.value, sets.s1)).tolist():
                     s = int(sets.s1[k].view(np.int64))
                     if s not in given:
                         given.add(s)
@@ -310,8 +345,8 @@ def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
                 if s1:
                     yield pa.RecordBatch.from_arrays([pa.array(s1, pa.int64()), pa.array(words, pa.list_(pa.int64()))], names=["s1", "words"])
 
-    found = docs.select("text").mapInArrow(run, "s1 long, words array<long>")
-    return found.join(needed, "s1", "left_semi").groupBy("s1").agg(F.first("words").alias("words"))
+    found = docs.select(F.xxhash64("sort_id", "tie").alias("spot"), "text").mapInArrow(run, "s1 long, words array<long>")
+    return found.join(needed.select("s1"), "s1", "left_semi").groupBy("s1").agg(F.first("words").alias("words"))
 
 
 def _oriented(named: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -323,30 +358,29 @@ def _oriented(named: DataFrame, firsts: DataFrame) -> DataFrame:
     return placed.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("earlier"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("later")).distinct()
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """s1 of the later sets of the pairs (materialized) that match the earlier one."""
-    needed = pairs.select(F.col("earlier").alias("s1")).union(pairs.select("later")).distinct()
-    sets = materialize(_sets(docs, needed), "sets")
+def _verified(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """s1 of the later sets of the pairs that match the earlier one."""
     left = sets.select(F.col("s1").alias("earlier"), F.col("words").alias("wa"))
     right = sets.select(F.col("s1").alias("later"), F.col("words").alias("wb"))
     joined = pairs.join(left, "earlier").join(right, "later")
     common = F.size(F.array_intersect("wa", "wb"))
     match = joined.filter(common >= threshold * (F.size("wa") + F.size("wb") - common) - 1e-9)
-    done = materialize(match.select(F.col("later").alias("s1")).distinct(), "matched")
-    discard(sets)
-    return done
+    return materialize(match.select(F.col("later").alias("s1")).distinct(), "matched")
 
 
 def _matched(docs: DataFrame, named: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
     """s1 of the later sets of the pairs named that match: the first candidate of each decides most, the others the rest."""
     pairs = materialize(_oriented(named, firsts), "pairs")
+    ids = pairs.select(F.col("earlier").alias("s1")).union(pairs.select("later")).distinct()
+    needed = materialize(ids.join(firsts.select("s1", F.xxhash64("first.sort_id", "first.tie").alias("spot")), "s1"), "needed")
+    sets = materialize(_sets(docs, needed), "sets")
+    release(docs.sparkSession)
     one = materialize(pairs.groupBy("later").agg(F.min("earlier").alias("earlier")), "one")
-    found = _verified(docs, one, threshold)
+    found = _verified(sets, one, threshold)
     rest = pairs.join(found.withColumnRenamed("s1", "later"), "later", "left_anti").join(one, ["later", "earlier"], "left_anti")
-    rest = materialize(rest, "rest")
-    if not rest.isEmpty():
-        found = materialize(found.union(_verified(docs, rest, threshold)), "found")
-    discard(pairs, one, rest)
+    found = materialize(found.union(_verified(sets, rest, threshold)), "found")
+    discard(pairs, needed, sets, one)
+    release(docs.sparkSession)
     return found
 
 
@@ -358,16 +392,14 @@ def later_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rarity = count_words(docs)
     lines = materialize(line_table(docs, rarity, threshold), "lines")
     firsts = materialize(lines.groupBy("s1", "s2").agg(F.min(F.struct("sort_id", "tie", "line")).alias("first")), "firsts")
-    postings = _postings(lines)
-    named = materialize(_named(postings, threshold, every=False), "named")
+    named = materialize(_named(_postings(lines), threshold, every=False), "named")
     release(docs.sparkSession)  # the postings' shuffle
     removed = _matched(docs, named, firsts, threshold)
     open_ = materialize(named.filter(F.col("a").isNull()).select(F.col("b").alias("s1")).distinct().join(removed, "s1", "left_anti"), "open")
     discard(named)
     if not open_.isEmpty():
-        words = postings.join(open_, "s1", "left_semi").select("word").distinct()
-        marked = postings.join(words, "word", "left_semi").join(open_.withColumn("open", F.lit(True)), "s1", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-        removed = removed.union(_matched(docs, materialize(_named(marked, threshold, every=True), "named"), firsts, threshold)).distinct()
+        more = materialize(_named(_open_postings(lines, open_), threshold, every=True), "named")
+        removed = removed.union(_matched(docs, more, firsts, threshold)).distinct()
     state = firsts.join(removed.withColumn("similar", F.lit(True)), "s1", "left").select("s1", "s2", "first", F.coalesce("similar", F.lit(False)).alias("similar"))
     flagged = lines.select("sort_id", "tie", "line", "s1", "s2").join(state, ["s1", "s2"])
     gone = flagged.filter(F.col("similar") | (F.struct("sort_id", "tie", "line") != F.col("first")))
