@@ -246,6 +246,7 @@ def _candidates(threshold: float, every: bool):
             else:
                 wanted = named[later] < NAMED
                 more[later[~wanted]] = True
+                more[earlier[~wanted & (sort_id[later] == sort_id[earlier])]] = True  # lines of one document: either may be later
             later, earlier = later[wanted], earlier[wanted]
             np.add.at(named, later, 1)
             out_a.append(s1[earlier])
