@@ -269,6 +269,16 @@ def test_lines_of_many_variants(spark, monkeypatch):
     assert got == want
 
 
+def test_short_lines(spark):
+    """Lines of few different words: equal sets match, and four words match five that hold them."""
+    rows = [
+        (1, "Les.\nAnd ornd.\n\n \na b c d\nv w x y z"), (2, "Les.\nornd. And\n\nLes. And\na b c d e\nv w x y\na b c"),
+        (3, "Les. Les. Les.\na b c d f g\nb a c\nv w x\n一二三四五六\n"), (4, "\n一二三四五六\nha ha ha ha ha ha ha\nha"),
+    ]
+    got = {r["doc_id"]: r["text"] for r in linejoin.dedup_lines(documents(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "\nLes. And\na b c", 3: "a b c d f g\nv w x\n一二三四五六\n", 4: "\nha ha ha ha ha ha ha"}
+
+
 def test_lines_awkward(spark):
     out = linejoin.dedup_lines(documents(spark, AWKWARD, extra=True)).collect()
     assert len(out) == len(AWKWARD)

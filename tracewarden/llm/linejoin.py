@@ -1,12 +1,13 @@
 """Line deduplication by an exact set-similarity join with prefix, positional and length filters.
 
 A line is the set of its words (runs of anything but ASCII white space). Lines whose sets have Jaccard similarity of at
-least ``THRESHOLD`` match; a line goes if some earlier line, in the order (doc_id, place in the text), matches it. Lines of
-fewer than ``MIN_WORDS`` different words are left alone.
+least ``THRESHOLD`` match; a line goes if some earlier line, in the order (doc_id, place in the text), matches it. Lines
+without a word are left alone.
 
 1. Word occurrences are counted over all texts in a table of fixed size; it orders words by rarity.
 2. Each line's words are ordered, rarest first; its prefix is indexed: two sets that match share a word of their prefixes.
-   Lines with equal sets are one set, found by a 128-bit sum of word hashes.
+   Lines with equal sets are one set, found by a 128-bit sum of word hashes; that alone decides sets too small to match
+   any but an equal one (up to three words at 0.8; four words match five), which are not indexed.
 3. Lines that share a prefix word are compared in tasks of their own: length filter, positional filter, and a bitmap of
    word parities that bounds the symmetric difference from below (128 bits). A line names its first few candidates only and says if
    there were more, so a group of copies never emits all its pairs.
@@ -31,7 +32,8 @@ from pyspark.sql import functions as F
 from tracewarden.llm.common import discard, key_or_min, materialize, release, table
 
 THRESHOLD = 0.8
-MIN_WORDS = 5
+#: Different words from which a line takes part.
+MIN_WORDS = 1
 #: Places of the table that counts words, and of the filter of sets to verify; both bound what is shipped to executors.
 COUNT_BITS, FILTER_BITS = 20, 24
 _SEGMENT = 2**14
@@ -178,7 +180,7 @@ def _prefix(n: np.ndarray, threshold: float) -> np.ndarray:
 def line_table(docs: DataFrame, rarity: np.ndarray, threshold: float) -> DataFrame:
     """A row a line: sort_id, tie, line, s1, s2, n, bits0, bits1, prefix.
 
-    prefix is empty where the task has given the same set before: a set's postings leave each task once.
+    prefix is empty where the task has given the same set before, and for sets that match only equal ones.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(rarity)
 
@@ -194,17 +196,18 @@ def line_table(docs: DataFrame, rarity: np.ndarray, threshold: float) -> DataFra
                 at = sets.text_of[sets.lines] + i
                 s1 = sets.s1.view(np.int64)
                 words = (sets.h >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                prefix = _prefix(sets.sizes, threshold)
+                prefix = np.where(sets.sizes >= threshold * (sets.sizes + 1) - 1e-9, _prefix(sets.sizes, threshold), 0)
                 fresh = []
                 for s in s1.tolist():
                     fresh.append(s not in given)
                     given.add(s)
                 prefix = np.where(fresh, prefix, 0)
+                bitmaps = [np.where(prefix > 0, x, np.uint64(0)) for x in sets.bitmaps]  # only postings need them
                 take = np.repeat(sets.starts, prefix) + (np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix))
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(prefix)].astype(np.int32)), pa.array(words[take]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[at]), pa.array(ties[at]), pa.array(sets.number[sets.lines].astype(np.int32)), pa.array(s1), pa.array(sets.s2.view(np.int64)),
-                     pa.array(sets.sizes.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in sets.bitmaps), lists],
+                     pa.array(sets.sizes.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in bitmaps), lists],
                     names=["sort_id", "tie", "line", "s1", "s2", "n", "bits0", "bits1", "prefix"],
                 )
 
