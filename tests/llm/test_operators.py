@@ -279,6 +279,17 @@ def test_short_lines(spark):
     assert got == {1: rows[0][1], 2: "\nLes. And\na b c", 3: "a b c d f g\nv w x\n一二三四五六\n", 4: "\nha ha ha ha ha ha ha"}
 
 
+def test_lines_out_of_order(spark, monkeypatch):
+    """A set that is met first with a later id: its pair goes unnamed, and another set has removed it by the second round."""
+    c = [f"c{k}" for k in range(16)]
+    x, y, w, z = (" ".join(q) for q in (["g", "h", "u", "v", *c], ["h", "v", "y1", "y2", *c], ["h", "u", "v", "w1", *c], ["g", "u", "z1", "z2", *c]))
+    rows = [(100, x), (0, z), (1, x), (50, y), (70, w), (200, "u v " * 5)]
+    want = brute_lines(sorted(rows))
+    assert want[50] == ""
+    monkeypatch.setattr(linejoin, "NAMED", 1)
+    assert {r["doc_id"]: r["text"] for r in linejoin.dedup_lines(documents(spark, rows).coalesce(1)).collect()} == want
+
+
 def test_lines_awkward(spark):
     out = linejoin.dedup_lines(documents(spark, AWKWARD, extra=True)).collect()
     assert len(out) == len(AWKWARD)

@@ -180,12 +180,13 @@ def _prefix(n: np.ndarray, threshold: float) -> np.ndarray:
 def line_table(docs: DataFrame, rarity: np.ndarray, threshold: float) -> DataFrame:
     """A row a line: sort_id, tie, line, s1, s2, n, bits0, bits1, prefix.
 
-    prefix is empty where the task has given the same set before, and for sets that match only equal ones.
+    prefix is empty where the task has given the same set before with an id as small, and for sets that match only equal
+    ones. So the least sort_id among a set's postings is that of its first place, in whatever order rows are read.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given: set[int] = set()
+        given: dict[int, int] = {}
         for b in batches:
             texts = [t or "" for t in b.column(2).to_pylist()]
             ids, ties = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -198,9 +199,10 @@ def line_table(docs: DataFrame, rarity: np.ndarray, threshold: float) -> DataFra
                 words = (sets.h >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 prefix = np.where(sets.sizes >= threshold * (sets.sizes + 1) - 1e-9, _prefix(sets.sizes, threshold), 0)
                 fresh = []
-                for s in s1.tolist():
-                    fresh.append(s not in given)
-                    given.add(s)
+                for s, i_, p in zip(s1.tolist(), ids[at].tolist(), prefix.tolist()):
+                    fresh.append(p > 0 and i_ < given.get(s, 2**63))
+                    if fresh[-1]:
+                        given[s] = i_
                 prefix = np.where(fresh, prefix, 0)
                 bitmaps = [np.where(prefix > 0, x, np.uint64(0)) for x in sets.bitmaps]  # only postings need them
                 take = np.repeat(sets.starts, prefix) + (np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix))
