@@ -456,6 +456,40 @@ def test_simhash_awkward(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_near_copies(spark, docs, monkeypatch):
+    """The pipeline's near copies against brute force over all pairs, most of them near the threshold."""
+    rng = random.Random(8)
+    rows = [(i, t) for i, t, _ in docs][:120] + [(900, ""), (901, " \n"), (902, "Two words"), (903, "two  WORDS"), (904, "two word")]
+    for g in range(12):
+        base = [f"w{rng.randrange(300)}" for _ in range(rng.choice([30, 60, 200]))]
+        for k in range(25 if g else 80):
+            words = list(base)
+            for _ in range(rng.randrange(1 + len(base) // 20)):
+                words[rng.randrange(len(base))] = f"v{rng.randrange(999)}"
+            rows.append((1000 + 100 * g + k, " ".join(words) + " end" * rng.randrange(2)))
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))})
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if common >= 0.8 * (len(sets[i]) + len(sets[j]) - common) - 1e-9:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a  # rows are in the order of their ids
+    want = sorted(rows[i][0] for i in range(len(rows)) if find(i) == i)
+    rng.shuffle(rows)
+    monkeypatch.setattr(linejoin, "NAMED", 1)
+    assert sorted(r["doc_id"] for r in simhash.keep_one_of_each(documents(spark, rows, extra=True)).collect()) == want
+
+
 # --- nearest neighbours
 
 

@@ -121,8 +121,8 @@ def _by_line(line: np.ndarray, h: np.ndarray, rarity: np.ndarray | None) -> np.n
 class LineSets:
     """The word sets of the lines of some texts: hashes sorted by (line, order), with their bounds."""
 
-    def __init__(self, texts: list[str], rarity: np.ndarray | None):
-        h, line, per_text = words_of(texts)
+    def __init__(self, texts: list[str], rarity: np.ndarray | None, parts=words_of):
+        h, line, per_text = parts(texts)
         self.text_of = np.repeat(np.arange(len(texts)), per_text)
         self.number = np.concatenate([np.arange(n) for n in per_text]) if len(texts) else np.zeros(0, np.int64)
         order = _by_line(line, h, None if rarity is None else rarity[h >> np.uint64(64 - COUNT_BITS)])
@@ -146,7 +146,7 @@ class LineSets:
             self.bitmaps = [self.s1, self.s1]
 
 
-def count_words(docs: DataFrame) -> np.ndarray:
+def count_words(docs: DataFrame, parts=words_of) -> np.ndarray:
     """Rarity class of each place of the count table (an octave has eight), over all words of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,10 +154,10 @@ def count_words(docs: DataFrame) -> np.ndarray:
         for b in batches:
             texts = [t or "" for t in b.column(0).to_pylist()]
             for i, j in _chunks(texts):
-                h, _, _ = words_of(texts[i:j])
+                h, _, _ = parts(texts[i:j])
                 total += np.bincount((h >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(total)).astype(np.uint32)
-        parts = [total[a : a + _SEGMENT].tobytes() for a in range(0, len(total), _SEGMENT)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["segment", "counts"])
+        segments = [total[a : a + _SEGMENT].tobytes() for a in range(0, len(total), _SEGMENT)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(segments)), pa.int32()), pa.array(segments, pa.binary())], names=["segment", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -177,7 +177,7 @@ def _prefix(n: np.ndarray, threshold: float) -> np.ndarray:
     return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
 
-def line_table(docs: DataFrame, rarity: np.ndarray, threshold: float) -> DataFrame:
+def line_table(docs: DataFrame, rarity: np.ndarray, threshold: float, parts=words_of) -> DataFrame:
     """A row a line: sort_id, tie, line, s1, s2, n, bits0, bits1, prefix.
 
     prefix is empty where the task has given the same set before with an id as small, and for sets that match only equal
@@ -191,7 +191,7 @@ def line_table(docs: DataFrame, rarity: np.ndarray, threshold: float) -> DataFra
             texts = [t or "" for t in b.column(2).to_pylist()]
             ids, ties = b.column(0).to_numpy(), b.column(1).to_numpy()
             for i, j in _chunks(texts):
-                sets = LineSets(texts[i:j], shipped.value)
+                sets = LineSets(texts[i:j], shipped.value, parts)
                 if not len(sets.lines):
                     continue
                 at = sets.text_of[sets.lines] + i
@@ -328,7 +328,7 @@ def _named(postings: DataFrame, threshold: float, every: bool) -> DataFrame:
     return sorted_.mapInArrow(_candidates(threshold, every), "a long, b long").distinct()
 
 
-def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, needed: DataFrame, parts=words_of) -> DataFrame:
     """s1, words (array<long>) of the sets needed (s1, spot: hash of the document of the first place).
 
     Filters of fixed size skip most documents before they are hashed, and most sets of the others.
@@ -340,7 +340,7 @@ def _sets(docs: DataFrame, needed: DataFrame) -> DataFrame:
         for b in batches:
             texts = [b.column(1)[i].as_py() or "" for i in np.flatnonzero(_hits(of_docs.value, b.column(0).to_numpy())).tolist()]
             for i, j in _chunks(texts):
-                sets = LineSets(texts[i:j], None)
+                sets = LineSets(texts[i:j], None, parts)
                 s1, words = [], []
                 for k in np.flatnonzero(_hits(of_sets.value, sets.s1)).tolist():
                     s = int(sets.s1[k].view(np.int64))

@@ -9,6 +9,9 @@ all but ``radius``, and a bucket holds those that agree in one choice of blocks.
 A bucket emits a spanning forest of its links, never all pairs of a group; buckets beyond ``BUCKET_ROWS`` are cut into
 chunks and compared chunk by chunk over many tasks, so each link is still seen.
 
+The pipeline's stage (``keep_one_of_each``) asks for a similarity of 0.8, where fingerprints differ in ten bits on average
+and often in more; no choice of blocks finds these. It joins the shingle sets themselves.
+
 Defined results: null and word-less texts have fingerprint zero and link like any other; rows without doc_id take part
 but give no component number (null if a component has no other); repeated rows share one component.
 """
@@ -24,7 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden.llm.common import materialize, table
+from tracewarden.llm import linejoin
+from tracewarden.llm.common import discard, materialize, release, table
 
 RADIUS = 4
 SHINGLE = 4
@@ -204,7 +208,159 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return each.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, shingle: int = 5, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
+def shingles_of(texts: list[str], shingle: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and text of every word shingle, and a one for each text; words as in ``fingerprint``.
+
+    A text of fewer words, or of none, has one shingle of all of them.
+    """
+    raw = [t.encode().lower() for t in texts]
+    _, starts, _, h = linejoin.word_spans(raw)
+    text = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]) - 1, starts)
+    factors = np.random.default_rng(shingle).integers(1, 2**63, shingle, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    whole = np.flatnonzero(text[shingle - 1 :] == text[: max(len(text) - shingle + 1, 0)])
+    long = np.zeros(len(whole), np.uint64)
+    for k, f in enumerate(factors):
+        long += h[whole + k] * f
+    counts = np.bincount(text, minlength=len(texts))
+    few = np.flatnonzero(counts < shingle)
+    first = (np.cumsum(counts) - counts)[few]
+    short = counts[few].astype(np.uint64) + np.uint64(1)
+    for k, f in enumerate(factors):
+        more = counts[few] > k
+        short[more] += h[first[more] + k] * f
+    line = np.r_[text[whole], few]
+    order = np.argsort(line, kind="stable")
+    return linejoin._mix(np.r_[long, short], 5)[order], line[order], np.ones(len(texts), np.int64)
+
+
+def _meetings(threshold: float, every: bool):
+    """Over postings sorted by word: pairs a, b of sets that may match, and "more" as a null a where b has others.
+
+    With every, all pairs of sets under different labels of which one is open, and nothing else.
+    """
+
+    def of_run(word, s1, n, place, label, open_):  # noqa: PLR0917
+        cols = [word, s1, n, place, label, open_]
+        order = np.lexsort((s1, n, word))
+        cols = [x[order] for x in cols]
+        keep = ~np.r_[False, (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1])]  # copies from other tasks
+        cols = [x[keep] for x in cols]
+        starts = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
+        sizes = np.diff(np.r_[starts, len(cols[0])])
+        use = sizes > 1
+        if every:
+            use &= np.minimum.reduceat(cols[4], starts) != np.maximum.reduceat(cols[4], starts)
+            use &= np.logical_or.reduceat(cols[5], starts)
+        word, s1, n, place, label, open_ = (x[np.repeat(use, sizes)] for x in cols)
+        named, more = np.zeros(len(word), np.int64), np.zeros(len(word), bool)
+        out_a, out_b = [], []
+        live = np.arange(1, len(word))
+        lag = 0
+        while len(live):
+            lag += 1
+            live = live[live >= lag]
+            other = live - lag
+            live = live[(word[live] == word[other]) & (n[other] >= threshold * n[live] - 1e-9)]
+            other = live - lag
+            fits = 1 + np.minimum(n[live] - place[live], n[other] - place[other]) >= threshold / (1 + threshold) * (n[live] + n[other]) - 1e-9
+            if every:
+                fits &= (label[live] != label[other]) & (open_[live] | open_[other])
+            i, j = live[fits], other[fits]
+            if not every:
+                full = named[i] >= linejoin.NAMED
+                more[i[full]] = True
+                i, j = i[~full], j[~full]
+                named[i] += 1
+                live = live[~more[live]]
+            out_a.append(s1[j])
+            out_b.append(s1[i])
+        return np.concatenate([*out_a, s1[:0]]), np.concatenate([*out_b, s1[:0]]), np.unique(s1[more])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for b in itertools.chain(batches, [None]):
+            if b is not None:
+                if not b.num_rows:
+                    continue
+                held.append([b.column(k).to_numpy(zero_copy_only=False) for k in range(6)])
+                words = held[-1][0]
+                if words[-1] == held[0][0][0] or sum(len(x[0]) for x in held) < 50_000:
+                    continue
+            elif not held:
+                break
+            cols = [np.concatenate(x) for x in zip(*held)]
+            cut = len(cols[0]) if b is None else int(np.argmax(cols[0] == cols[0][-1]))
+            held = [[x[cut:] for x in cols]] if cut < len(cols[0]) else []
+            if cut:
+                a, c, more = of_run(*(x[:cut] for x in cols))
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[a, more], mask=np.r_[np.zeros(len(a), bool), np.ones(len(more), bool)]), pa.array(np.r_[c, more])], names=["a", "b"])
+
+    return run
+
+
+def _met(postings: DataFrame, threshold: float, every: bool) -> DataFrame:
+    sorted_ = postings.select("word", "s1", "n", "place", "label", "open").repartition("word").sortWithinPartitions("word")
+    pairs = sorted_.mapInArrow(_meetings(threshold, every), "a long, b long")
+    low, high = F.when(F.col("a").isNotNull(), F.least("a", "b")), F.greatest("a", "b")  # of a null and b, b
+    return materialize(pairs.select(low.alias("a"), high.alias("b")).distinct(), "met")
+
+
+def _alike(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, threshold: float, parts) -> DataFrame:
+    """Links a, b among the pairs that connect all that match on whole sets: one pair of each set, then those still apart."""
+    pairs = pairs.filter(F.col("a").isNotNull())
+    ids = pairs.select(F.col("a").alias("s1")).union(pairs.select("b")).distinct()
+    needed = materialize(ids.join(firsts.select("s1", F.xxhash64("first.sort_id", "first.tie").alias("spot")), "s1"), "needed")
+    sets = materialize(linejoin._sets(docs, needed, parts), "sets")
+
+    def verified(some: DataFrame) -> DataFrame:
+        left = sets.select(F.col("s1").alias("a"), F.col("words").alias("wa"))
+        joined = some.join(left, "a").join(sets.select(F.col("s1").alias("b"), F.col("words").alias("wb")), "b")
+        common = F.size(F.array_intersect("wa", "wb"))
+        return materialize(joined.filter(common >= threshold * (F.size("wa") + F.size("wb") - common) - 1e-9).select("a", "b"), "alike")
+
+    one = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "one")
+    links = verified(one)
+    rest = _labelled(pairs.join(one, ["a", "b"], "left_anti"), links, "a", "b").filter("label_a != label_b").select("a", "b")
+    links = links.union(verified(rest))
+    discard(needed, sets, one)
+    release(docs.sparkSession)
+    return links
+
+
+def _labelled(df: DataFrame, links: DataFrame, *names: str) -> DataFrame:
+    """df with label_<name>: the component of each named column's set under the links, itself if it has none."""
+    roots = components(links)
+    for name in names:
+        df = df.join(roots.select(F.col("node").alias(name), F.col("root").alias(f"label_{name}")), name, "left")
+        df = df.withColumn(f"label_{name}", F.coalesce(f"label_{name}", name))
+    return df
+
+
+def set_components(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """sort_id, component_id (least sort_id of those reachable by links of Jaccard similarity of at least threshold).
+
+    docs has sort_id, tie and text. An exact join of shingle sets by prefixes, as in ``linejoin``: sets first meet few
+    others a shingle, and what that links is one; then all pairs of different components that went unnamed are met.
+    """
+
+    def parts(texts: list[str]):
+        return shingles_of(texts, shingle)
+
+    lines = materialize(linejoin.line_table(docs, linejoin.count_words(docs, parts), threshold, parts), "shingles")
+    firsts = materialize(lines.groupBy("s1").agg(F.min(F.struct("sort_id", "tie")).alias("first")), "firsts")
+    met = _met(linejoin._postings(lines).withColumn("label", F.col("s1")).withColumn("open", F.lit(False)), threshold, every=False)
+    release(docs.sparkSession)  # the postings' shuffle
+    links = _alike(docs, met, firsts, threshold, parts)
+    open_ = materialize(met.filter(F.col("a").isNull()).select(F.col("b").alias("s1")).distinct(), "open")
+    if not open_.isEmpty():
+        postings = _labelled(linejoin._open_postings(lines, open_), links, "s1").withColumnRenamed("label_s1", "label")
+        links = links.union(_alike(docs, _met(postings, threshold, every=True), firsts, threshold, parts))
+    rooted = _labelled(firsts.select("s1", F.col("first.sort_id").alias("least")), links, "s1")
+    least = rooted.groupBy("label_s1").agg(F.min("least").alias("component_id"))
+    return lines.select("sort_id", "s1").join(rooted.join(least, "label_s1").select("s1", "component_id"), "s1").select("sort_id", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """The documents with the smallest id of their component, all columns kept; rows without an id come after all others.
 
     Of equal rows one stays; rows that share an id but not a text stay or go together.
@@ -212,8 +368,8 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 5, radius: int = RADIUS, se
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**62) + F.pmod(F.xxhash64(text), F.lit(2**61)))
     keyed = docs.withColumn("_own_id", own).withColumn("_text_hash", F.xxhash64(text))
-    found = near_duplicates(keyed.select(F.col("_own_id").alias("doc_id"), "text"), shingle, radius, seed)
-    first = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_own_id")).distinct()
+    found = set_components(keyed.select(F.col("_own_id").alias("sort_id"), F.col("_text_hash").alias("tie"), text.alias("text")), shingle, threshold)
+    first = found.filter(F.col("sort_id") == F.col("component_id")).select(F.col("sort_id").alias("_own_id")).distinct()
     return keyed.join(first, "_own_id", "left_semi").dropDuplicates(["_own_id", "_text_hash"]).select(*docs.columns)
 
 
