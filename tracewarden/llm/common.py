@@ -37,14 +37,6 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of frames that nothing refers to any more; Spark else waits for a chance collection."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def discard(*frames: DataFrame) -> None:
     """Delete tables that materialize wrote, through Hadoop's file system, whatever store they are in."""
     for df in frames:

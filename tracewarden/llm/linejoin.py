@@ -6,63 +6,60 @@ without a word are left alone.
 
 1. Word occurrences are counted over all texts in a table of fixed size; it orders words by rarity.
 2. Each line's words are ordered, rarest first; its prefix is indexed: two sets that match share a word of their prefixes.
-   Lines with equal sets are one set, found by a 128-bit sum of word hashes; that alone decides sets too small to match
-   any but an equal one (up to three words at 0.8; four words match five), which are not indexed.
-3. Lines that share a prefix word are compared in tasks of their own: length filter, positional filter, and a bitmap of
-   word parities that bounds the symmetric difference from below (128 bits). A line names its first few candidates only and says if
-   there were more, so a group of copies never emits all its pairs.
-4. Candidates are verified on their whole sets. Lines that had more candidates and no match yet are compared with all of
-   them in a second round; it decides them exactly.
-
-Words are compared by 64-bit hashes. Defined results: a null text stays null; repeated rows (same id, same text) are one
-document and get equal results; a null doc_id sorts first; texts keep the order of the lines that stay; an emptied text is
-the empty string; an empty table gives no rows.
+   Lines with equal sets are one set, found by a 128-bit sum of word hashes; each task keeps the first of those it meets,
+   and the sets are dealt by hash, so that every set is known once, with its true first place. That alone decides sets too
+   small to match any but an equal one (up to three words at 0.8; four words match five), which are not indexed.
+3. Postings are dealt by word in packed arrays. Lines that share a prefix word are compared in the order of their first
+   places: length filter, positional filter, and a bitmap of word parities that bounds the symmetric difference from below
+   (128 bits). A line names its first few candidates only and says if it may have more, so a group of copies never emits
+   all its pairs. A word with more than ``CHUNK`` postings is cut into chunks; each chunk meets one of them in this round.
+4. Candidates are verified on their whole sets. Lines that may have more and no match yet are compared with all others of
+   their words in a second round, chunk by chunk; it decides them exactly.
+
+Words are compared by 64-bit hashes: sums of random numbers drawn for each byte at each place, and XXH3 for words of more
+than ``TABULATED`` bytes. The order of lines is (doc_id, place in the text), then a hash of the set.
+
+Defined results: a null text stays null; repeated rows (same id, same text) are one document and get equal results; a null
+doc_id sorts first; texts keep the order of the lines that stay; an emptied text is the empty string; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewarden.llm.common import discard, key_or_min, materialize, release, table
+from tracewarden.llm.common import discard, key_or_min, materialize, shuffle_width, table
 
 THRESHOLD = 0.8
 #: Different words from which a line takes part.
 MIN_WORDS = 1
-#: Places of the table that counts words, and of the filter of sets to verify; both bound what is shipped to executors.
-COUNT_BITS, FILTER_BITS = 20, 24
+#: Places of the table that counts words, of the one that counts postings, and bounds of the filter of sets to verify; they
+#: bound what is shipped to executors.
+COUNT_BITS, POSTING_BITS, FILTER_BITS = 20, 20, (20, 29)
 _SEGMENT = 2**14
 #: Candidates that a line names for one word before it says "more".
 NAMED = 3
+#: Postings of a word that one task compares with one another; a word with more is cut into chunks of at most so many.
+CHUNK = 8192
 #: Text that is hashed at once.
 CHUNK_BYTES = 1 << 20
-
-_R = np.uint64(0x5851F42D4C957F2D)
-_R_INVERSE = np.uint64(pow(int(_R), -1, 2**64))
-_BYTE = np.random.default_rng(64).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Text whose sets, and sets whose postings, a task holds before it sends them on.
+HELD_CHARS, HELD_SETS = 64 << 20, 200_000
+#: Postings of a task at about.
+TASK_POSTINGS = 4_000_000
+#: Words of up to so many bytes are hashed by a table.
+TABULATED = 32
+
+_BYTES = np.random.default_rng(64).integers(0, 2**64, (TABULATED + 1) * 256, dtype=np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(base: np.uint64, name: str, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2^64, kept for the next chunk."""
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        have = np.ones(max(n, CHUNK_BYTES + (CHUNK_BYTES >> 3)), np.uint64)
-        have[1:] = base
-        np.multiply.accumulate(have, out=have)
-        _powers[name] = have
-        if n > 8 * CHUNK_BYTES:  # a huge text's table isn't kept
-            del _powers[name]
-    return have[:n]
-
-
 def _mix(h: np.ndarray, salt: int) -> np.ndarray:
     h = (h + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
@@ -77,11 +74,21 @@ def word_spans(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     space = _SPACE[buffer]
     edges = np.flatnonzero(np.diff(np.r_[True, space].astype(np.int8)))
     starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return buffer, starts, ends, np.zeros(0, np.uint64)
     n = len(buffer)
+    place = np.arange(n, dtype=np.int32)
+    place[starts[0] :] -= np.repeat(starts.astype(np.int32), np.diff(np.r_[starts, n]))
+    np.minimum(place, TABULATED, out=place)
+    place <<= 8
+    place |= buffer
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[buffer] * _power(_R, "r", n), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _power(_R_INVERSE, "i", n)[starts]
-    return buffer, starts, ends, _mix(h ^ (ends - starts).astype(np.uint64), 1)
+    np.cumsum(_BYTES[place], out=sums[1:])
+    h = sums[ends] - sums[starts]
+    sizes = ends - starts
+    for k in np.flatnonzero(sizes > TABULATED).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(buffer[starts[k] : ends[k]].tobytes(), 64)
+    return buffer, starts, ends, _mix(h ^ sizes.astype(np.uint64), 1)
 
 
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,16 +184,123 @@ def _prefix(n: np.ndarray, threshold: float) -> np.ndarray:
     return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
 
-def line_table(docs: DataFrame, rarity: np.ndarray, threshold: float, parts=words_of) -> DataFrame:
-    """A row a line: sort_id, tie, line, s1, s2, n, bits0, bits1, prefix.
-
-    prefix is empty where the task has given the same set before with an id as small, and for sets that match only equal
-    ones. So the least sort_id among a set's postings is that of its first place, in whatever order rows are read.
+def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places starts[k] .. starts[k] + sizes[k] - 1 for all k in a row."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+def _pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of integers of one length, each in as few bytes as its values need."""
+    narrow = []
+    for x in columns:
+        if x.dtype.kind == "i" and len(x) and x.min() >= 0:
+            x = x.view(f"u{x.itemsize}")
+        if x.dtype.kind == "u" and x.itemsize > 1:
+            x = x.astype(np.min_scalar_type(x.max() if len(x) else 0))
+        narrow.append(x)
+    head = np.array([len(columns[0]), *[x.itemsize if x.dtype.kind == "u" else -x.itemsize for x in narrow]], np.int32)
+    return head.tobytes() + b"".join(x.tobytes() for x in narrow)
+
+
+def _unpack(blob: bytes, kinds: list[np.dtype]) -> list[np.ndarray]:
+    head = np.frombuffer(blob, np.int32, len(kinds) + 1)
+    n, at, out = int(head[0]), 4 * (len(kinds) + 1), []
+    for size, kind in zip(head[1:].tolist(), kinds):
+        x = np.frombuffer(blob, f"u{size}" if size > 0 else f"i{-size}", n, at)
+        at += n * abs(size)
+        out.append(x.astype(kind, copy=False) if x.itemsize < kind.itemsize else x.view(kind))
+    return out
+
+
+_SETS = {"s1": "u8", "s2": "u8", "sort_id": "i8", "tie": "i8", "line": "i4", "n": "i4", "bits0": "u8", "bits1": "u8", "size": "i4"}
+_SET_KINDS = [np.dtype(k) for k in _SETS.values()]
+
+
+class Sets:
+    """Sets of words with their first places: columns by name, and their prefixes (32 bits of a hash) in a row."""
+
+    def __init__(self, columns: list[np.ndarray], prefix: np.ndarray):
+        self.columns, self.prefix = columns, prefix
+        self.starts = np.cumsum(self["size"], dtype=np.int64) - self["size"]
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self.columns[list(_SETS).index(name)]
+
+    def __len__(self) -> int:
+        return len(self.columns[0])
+
+    def take(self, at: np.ndarray) -> Sets:
+        return Sets([x[at] for x in self.columns], self.prefix[_ragged(self.starts[at], self["size"][at])])
+
+    def pack(self) -> bytes:
+        return _pack(self.columns) + self.prefix.tobytes()
+
+    @staticmethod
+    def unpack(blob: bytes) -> Sets:
+        columns = _unpack(blob, _SET_KINDS)
+        n = int(columns[-1].sum())
+        return Sets(columns, np.frombuffer(blob, np.uint32, n, len(blob) - 4 * n))
+
+    @staticmethod
+    def concat(parts: list[Sets]) -> Sets:
+        return Sets([np.concatenate(x) for x in zip(*(p.columns for p in parts))], np.concatenate([p.prefix for p in parts]))
+
+    def firsts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where each set has its first place, and where it has others; a place that is there twice counts once."""
+        order = np.argsort(self["s1"], kind="stable")
+        s1 = self["s1"][order]
+        same = s1[1:] == s1[:-1]
+        many = np.r_[same, False] | np.r_[False, same]
+        some = order[many]
+        some = some[np.lexsort([self[x][some] for x in ("tie", "line", "sort_id", "s2", "s1")])]
+        before = [(self[x][some[1:]] == self[x][some[:-1]]) for x in ("s1", "s2", "sort_id", "line", "tie")]
+        first = np.r_[True, ~(before[0] & before[1])][: len(some)]
+        again = np.r_[False, before[0] & before[1] & before[2] & before[3] & before[4]][: len(some)]
+        return np.concatenate([order[~many], some[first]]), some[~first & ~again]
+
+
+_TABLE = "part int, postings int, blob binary, sort_id long, tie long, line int, s1 long"
+_TABLE_NAMES = [x.split()[0] for x in _TABLE.split(", ")]
+
+
+def _emit(sets: Sets, parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows of _TABLE: blobs of sets by part, and a row for each place that isn't its set's first."""
+    if not len(sets):
+        return
+    firsts, others = sets.firsts()
+    if len(others):
+        nothing = [pa.nulls(len(others), k) for k in (pa.int32(), pa.int32(), pa.binary())]
+        places = [pa.array(np.ascontiguousarray(sets[x][others]).view(f"i{sets[x].itemsize}")) for x in ("sort_id", "tie", "line", "s1")]
+        yield pa.RecordBatch.from_arrays([*nothing, *places], names=_TABLE_NAMES)
+    part = (sets["s1"][firsts] >> np.uint64(32)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    kept, part = sets.take(firsts[order]), part[order]
+    edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+    rows: list[tuple] = []
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        for i in range(a, b, HELD_SETS):
+            j = min(b, i + HELD_SETS)
+            block = kept.take(np.arange(i, j))
+            rows.append((int(part[a]), len(block.prefix), block.pack()))
+    for i in range(0, len(rows), 64):
+        some = list(zip(*rows[i : i + 64]))
+        nothing = [pa.nulls(len(some[0]), k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array(some[0], pa.int32()), pa.array(some[1], pa.int32()), pa.array(some[2], pa.binary()), *nothing], names=_TABLE_NAMES)
+
+
+def set_table(docs: DataFrame, rarity: np.ndarray, threshold: float, parts=words_of) -> tuple[DataFrame, int]:
+    """The distinct line sets of docs (sort_id, tie, text), written as rows of _TABLE, and the number of parts.
+
+    A row is either a block of sets of one part, or another place (sort_id, tie, line) of the set s1. A task sends one place
+    of a set for HELD_CHARS of text at most, so a line that most documents hold doesn't pile up.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(rarity)
+    width = shuffle_width(docs.sparkSession)
+    n_parts = 4 * width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given: dict[int, int] = {}
+        held, chars = [], 0
         for b in batches:
             texts = [t or "" for t in b.column(2).to_pylist()]
             ids, ties = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -195,145 +309,290 @@ def line_table(docs: DataFrame, rarity: np.ndarray, threshold: float, parts=word
                 if not len(sets.lines):
                     continue
                 at = sets.text_of[sets.lines] + i
-                s1 = sets.s1.view(np.int64)
-                words = (sets.h >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                prefix = np.where(sets.sizes >= threshold * (sets.sizes + 1) - 1e-9, _prefix(sets.sizes, threshold), 0)
-                fresh = []
-                for s, i_, p in zip(s1.tolist(), ids[at].tolist(), prefix.tolist()):
-                    fresh.append(p > 0 and i_ < given.get(s, 2**63))
-                    if fresh[-1]:
-                        given[s] = i_
-                prefix = np.where(fresh, prefix, 0)
-                bitmaps = [np.where(prefix > 0, x, np.uint64(0)) for x in sets.bitmaps]  # only postings need them
-                take = np.repeat(sets.starts, prefix) + (np.arange(prefix.sum()) - np.repeat(np.cumsum(prefix) - prefix, prefix))
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(prefix)].astype(np.int32)), pa.array(words[take]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[at]), pa.array(ties[at]), pa.array(sets.number[sets.lines].astype(np.int32)), pa.array(s1), pa.array(sets.s2.view(np.int64)),
-                     pa.array(sets.sizes.astype(np.int32)), *(pa.array(x.view(np.int64)) for x in bitmaps), lists],
-                    names=["sort_id", "tie", "line", "s1", "s2", "n", "bits0", "bits1", "prefix"],
-                )
-
-    schema = "sort_id long, tie long, line int, s1 long, s2 long, n int, bits0 long, bits1 long, prefix array<int>"
-    return docs.select("sort_id", "tie", "text").mapInArrow(run, schema)
+                size = np.where(sets.sizes >= threshold * (sets.sizes + 1) - 1e-9, _prefix(sets.sizes, threshold), 0)
+                words = (sets.h[_ragged(sets.starts, size)] >> np.uint64(32)).astype(np.uint32)
+                columns = [sets.s1, sets.s2, ids[at], ties[at], sets.number[sets.lines], sets.sizes, *sets.bitmaps, size]
+                held.append(Sets([x.astype(k, copy=False) for x, k in zip(columns, _SET_KINDS)], words))
+                chars += sum(map(len, texts[i:j]))
+                if chars >= HELD_CHARS:
+                    yield from _emit(Sets.concat(held), n_parts)
+                    held, chars = [], 0
+        if held:
+            yield from _emit(Sets.concat(held), n_parts)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for b in batches:
+            blobs = b.column(2)
+            known = blobs.is_valid().to_numpy(zero_copy_only=False)
+            held += [Sets.unpack(blobs[i].as_buffer()) for i in np.flatnonzero(known).tolist()]
+            if not known.all():
+                yield b.filter(pa.array(~known))
+        if held:
+            yield from _emit(Sets.concat(held), n_parts)
+
+    found = docs.select("sort_id", "tie", "text").mapInArrow(run, _TABLE)
+    # places that are settled go anywhere; blocks go by part
+    dealt = found.repartition(width, F.coalesce("part", F.pmod(F.xxhash64("sort_id", "line"), F.lit(n_parts)).cast("int")))
+    return materialize(dealt.mapInArrow(merge, _TABLE), "sets"), n_parts
+
+
+def blocks_of(sets: DataFrame) -> DataFrame:
+    return sets.filter(F.col("blob").isNotNull()).select("part", "postings", "blob")
+
+
+def by_part(keys: DataFrame, n_parts: int, *values: str) -> DataFrame:
+    """part and arrays of s1 and of the values, to be joined to the blocks that hold these sets."""
+    part = F.pmod(F.shiftrightunsigned("s1", 32), F.lit(n_parts)).cast("int").alias("part")
+    return keys.groupBy(part).agg(F.collect_list(F.struct("s1", *values)).alias("k")).select("part", *[F.col(f"k.{x}").alias(x) for x in ("s1", *values)])
+
+
+def looked_up(of: np.ndarray, keys, values=None) -> np.ndarray:
+    """For each element of `of` the value of its key (without values: 1), 0 where there is none; keys are an Arrow list of longs."""
+    out = np.zeros(len(of), np.int64)
+    if keys is None or not keys.is_valid or not len(keys):
+        return out
+    k = keys.values.to_numpy(zero_copy_only=False)
+    order = np.argsort(k)
+    at = np.searchsorted(k[order], of)
+    at[at == len(k)] = 0
+    hit = k[order][at] == of
+    out[hit] = 1 if values is None else values.values.to_numpy(zero_copy_only=False)[order][at[hit]]
+    return out
+
+
+def hot_words(blocks: DataFrame, rarity: np.ndarray) -> np.ndarray:
+    """Chunks of each place of the table that counts postings: 1, or more where it has more than CHUNK of them.
+
+    Only places with so many occurrences of words are counted; at most 2 ** POSTING_BITS rows reach the driver.
+    """
+    maybe = rarity >= math.floor(8 * math.log2(CHUNK))
+    chunks = np.ones(2**POSTING_BITS, np.uint32)
+    if not maybe.any():
+        return chunks
+    shipped = blocks.sparkSession.sparkContext.broadcast(np.packbits(maybe))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may = np.unpackbits(shipped.value).astype(bool)
+        total = np.zeros(2**POSTING_BITS, np.int64)
+        for b in batches:
+            for blob in b.column(0):
+                at = Sets.unpack(blob.as_buffer()).prefix >> np.uint32(32 - POSTING_BITS)
+                at = at[may[at]]
+                total += np.bincount(at, minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["at", "n"])
+
+    counted = blocks.select("blob").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).filter(F.col("n") > CHUNK).toArrow()
+    chunks[counted.column("at").to_numpy()] = np.ceil(counted.column("n").to_numpy() / (CHUNK // 2))
+    return chunks
+
+
+#: Columns of a posting; words are 32 bits of a hash, which at worst brings candidates that fail.
+_POSTING = {"word": "u4", "block": "u4", "s1": "u8", "n": "i4", "place": "i4", "sort_id": "i8", "line": "i4", "bits0": "u8", "bits1": "u8", "open": "u1", "label": "i8"}
+
+
+def postings_by_word(blocks: DataFrame, names: list[str], chunks: np.ndarray, every: bool, words: np.ndarray | None = None) -> DataFrame:
+    """Postings (the named columns) dealt by word and block as packed arrays: part, blob.
+
+    blocks has blob, and for every (the second round) open (keys) and label_keys, label_values, arrays or null; words is a
+    filter of the words that take part. A word of several chunks is dealt in blocks. In the first round each chunk meets
+    chunk 0; for every, all chunks meet one another, and the postings are repeated as often.
+    """
+    spark = blocks.sparkSession
+    shipped, allowed = spark.sparkContext.broadcast(chunks), None if words is None else spark.sparkContext.broadcast(words)
+    total = blocks.agg(F.sum("postings")).first()[0] or 0
+    width = max(shuffle_width(spark), math.ceil(total / TASK_POSTINGS))
+    n_parts = 4 * width
+
+    def flush(held: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        cols = {k: np.concatenate([x[k] for x in held]) for k in names}
+        part = (_mix(cols["word"].astype(np.uint64) | (cols["block"].astype(np.uint64) << np.uint64(32)), 6) >> np.uint64(16)) % np.uint64(n_parts)
+        order = np.argsort(part.astype(np.uint32), kind="stable")
+        part = part[order]
+        cols = [x[order] for x in cols.values()]
+        edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]).tolist()
+        for i in range(0, len(edges) - 1, 256):
+            bounds = list(zip(edges[i : i + 257], edges[i + 1 : i + 257]))
+            blobs = [_pack([x[a:b] for x in cols]) for a, b in bounds]
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[a]) for a, _ in bounds], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            row = dict(zip(b.schema.names, b.columns))
+            for i in range(b.num_rows):
+                sets = Sets.unpack(row["blob"][i].as_buffer())
+                size = sets["size"]
+                of = np.repeat(np.arange(len(sets)), size)
+                place = np.arange(len(of)) - np.repeat(sets.starts, size) + 1
+                word, at = sets.prefix, np.arange(len(of))
+                if allowed is not None:
+                    at = np.flatnonzero(_hits(allowed.value, _mix(word.astype(np.uint64), 7).view(np.int64)))
+                block = np.zeros(len(at), np.uint32)
+                g = shipped.value[word[at] >> np.uint32(32 - POSTING_BITS)]
+                if (g > 1).any():
+                    own = (_mix(sets["s1"][of[at]], 8) % g.astype(np.uint64)).astype(np.int64)
+                    # in the first round chunk 0 goes to all other chunks' blocks; for every, each chunk goes to g blocks
+                    times = np.where(g == 1, 1, g if every else np.where(own == 0, g - 1, 1)).astype(np.int64)
+                    other = _ragged(np.zeros(len(at), np.int64), times)
+                    g, own, at = (np.repeat(x, times) for x in (g.astype(np.int64), own, at))
+                    if every:
+                        block = np.minimum(own, other) * g + np.maximum(own, other)
+                    else:
+                        block = np.where(own == 0, other + 1, own)
+                    block = np.where(g == 1, 0, block).astype(np.uint32)
+                cols = {"word": word[at], "block": block, "place": place[at].astype(np.int32)}
+                of = of[at]
+                if every:
+                    keys = sets["s1"].view(np.int64)
+                    cols["open"] = looked_up(keys, row["open"][i])[of].astype(np.uint8)
+                    if "label" in names:
+                        label = looked_up(keys, row["label_keys"][i], row["label_values"][i])
+                        cols["label"] = np.where(label == 0, keys, label)[of]
+                held.append({k: cols[k] if k in cols else sets[k][of] for k in names})
+                n += len(at)
+                if n >= 2_000_000:
+                    yield from flush(held)
+                    held, n = [], 0
+        if n:
+            yield from flush(held)
+
+    return blocks.drop("part", "postings").mapInArrow(run, "part int, blob binary").repartition(width, "part")
+
+
+def runs(batches: Iterator[pa.RecordBatch], names: list[str], order: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray] | None:
+    """Of a task's postings those whose word has others: columns sorted by word, block and `order`, and where each one's run starts."""
+    kinds = [np.dtype(_POSTING[k]) for k in names]
+    found = [_unpack(x.as_buffer(), kinds) for b in batches for x in b.column(1)]
+    if not found:
+        return None
+    cols = dict(zip(names, map(np.concatenate, zip(*found))))
+    del found
+    key = cols["word"].astype(np.uint64) | (cols["block"].astype(np.uint64) << np.uint64(32))
+    by = np.argsort(key)
+    same = key[by[1:]] == key[by[:-1]]
+    by = by[np.r_[same, False] | np.r_[False, same]]
+    sort = [cols[k][by] for k in order] + [key[by]]
+    if order[-2:] == ["line", "sort_id"] and len(by) and sort[-2].min() >= 0 and sort[-2].max() < 2**39 and sort[-3].max() < 2**24:
+        sort[-3:-1] = [sort[-2] << 24 | sort[-3]]
+    by = by[np.lexsort(sort)]
+    key = key[by]
+    cols = {k: x[by] for k, x in cols.items()}
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+    return cols, np.repeat(starts, np.diff(np.r_[starts, len(key)]))
+
+
+_PAIRS = "a long, b long, ia long, ib long"
+
+
+def pairs_batch(a: np.ndarray, b: np.ndarray, ia: np.ndarray, ib: np.ndarray, more: np.ndarray, imore: np.ndarray) -> pa.RecordBatch:
+    """Pairs a, b with the sort_ids of their first places, and "b may have more" as a null a; each once."""
+    rows = np.unique(np.stack([np.r_[a, more], np.r_[b, more], np.r_[ia, imore], np.r_[ib, imore], np.r_[np.zeros(len(a), np.int64), np.ones(len(more), np.int64)]]), axis=1) if len(a) or len(more) else np.zeros((5, 0), np.int64)
+    hole = rows[4] == 1
+    return pa.RecordBatch.from_arrays([pa.array(rows[0], mask=hole), pa.array(rows[1]), pa.array(rows[2], mask=hole), pa.array(rows[3])], names=["a", "b", "ia", "ib"])
+
+
+_LINE_POSTING = ["word", "block", "s1", "n", "place", "sort_id", "line", "bits0", "bits1"]
 
 
 def _candidates(threshold: float, every: bool):
-    """Over postings sorted by word: pairs a (earlier or same document), b, and "more" as a null a.
+    """Over a task's postings: pairs a (earlier), b (later), and "b may have more" as a null a.
 
-    With every, all pairs of the sets marked open are named and nothing else.
+    With every, all pairs in which the later set is open are named and nothing else.
     """
+    names = [*_LINE_POSTING, *(["open"] if every else [])]
 
-    def of_run(word, n, sort_id, s1, place, bits0, bits1, open_):  # noqa: PLR0917
-        order = np.lexsort((sort_id, s1, word))
-        word, n, sort_id, s1, place, bits0, bits1, open_ = (x[order] for x in (word, n, sort_id, s1, place, bits0, bits1, open_))
-        keep = ~np.r_[False, (word[1:] == word[:-1]) & (s1[1:] == s1[:-1])]  # copies from other tasks: the first has the least id
-        word, n, sort_id, s1, place, bits0, bits1, open_ = (x[keep] for x in (word, n, sort_id, s1, place, bits0, bits1, open_))
-        order = np.lexsort((sort_id, n, word))
-        word, n, sort_id, s1, place, bits0, bits1, open_ = (x[order] for x in (word, n, sort_id, s1, place, bits0, bits1, open_))
-        named, more = np.zeros(len(word), np.int64), np.zeros(len(word), bool)
-        out_a, out_b = [], []
-        live = np.arange(1, len(word))
-        lag = 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealt = runs(batches, names, ["s1", "line", "sort_id"])
+        if dealt is None:
+            return
+        cols, start = dealt
+        n, place, bits0, bits1, s1, ids = (cols[k] for k in ("n", "place", "bits0", "bits1", "s1", "sort_id"))
+        named, more = np.zeros(len(start), np.int16), np.zeros(len(start), bool)
+        if not every:
+            more |= cols["block"] > 0  # chunks met one other chunk only
+        live = np.arange(len(start))
+        live = live[live > start]
+        if every:
+            live = live[cols["open"][live] > 0]
+        out = []
+        k = 0
         while len(live):
-            lag += 1
-            live = live[live >= lag]
-            other = live - lag
-            live = live[(word[live] == word[other]) & (n[other] >= threshold * n[live] - 1e-9)]
-            other = live - lag
-            least = np.ceil(threshold / (1 + threshold) * (n[live] + n[other]) - 1e-9)
-            fits = 1 + np.minimum(n[live] - place[live], n[other] - place[other]) >= least
-            fits &= np.bitwise_count(bits0[live] ^ bits0[other]) + np.bitwise_count(bits1[live] ^ bits1[other]) <= n[live] + n[other] - 2 * least
+            other = start[live] + k
+            left = other < live
+            live, other = live[left], other[left]
+            k += 1
+            na, nb = n[other], n[live]
+            fits = np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9
             i, j = live[fits], other[fits]
-            later = np.where(sort_id[i] >= sort_id[j], i, j)
-            earlier = i + j - later
-            if every:
-                wanted = open_[later] | (open_[earlier] & (sort_id[i] == sort_id[j]))
-            else:
-                wanted = named[later] < NAMED
-                more[later[~wanted]] = True
-                more[earlier[~wanted & (sort_id[later] == sort_id[earlier])]] = True  # lines of one document: either may be later
-            later, earlier = later[wanted], earlier[wanted]
-            np.add.at(named, later, 1)
-            out_a.append(s1[earlier])
-            out_b.append(s1[later])
-        return np.concatenate([*out_a, s1[:0]]), np.concatenate([*out_b, s1[:0]]), np.unique(s1[more])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
-        for b in itertools.chain(batches, [None]):
-            if b is not None:
-                if not b.num_rows:
-                    continue
-                fresh = [b.column(k).to_numpy(zero_copy_only=False) for k in range(8)]
-                fresh[5:7] = [x.view(np.uint64) for x in fresh[5:7]]  # of a signed number the bits of its absolute value would be counted
-                held = fresh if held is None else [np.concatenate(x) for x in zip(held, fresh)]
-                words = held[0]
-                cut = 0 if words[0] == words[-1] else len(words) - int((words[::-1] != words[-1]).argmax())
-            elif held is None:
-                break
-            else:
-                cut = len(held[0])
-            if cut and (b is None or cut >= 50_000):
-                a, c, more = of_run(*(x[:cut] for x in held))
-                held = [x[cut:] for x in held]
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[a, more], mask=np.r_[np.zeros(len(a), bool), np.ones(len(more), bool)]), pa.array(np.r_[c, more])], names=["a", "b"])
+            na, nb = na[fits], nb[fits]
+            least = np.ceil(threshold / (1 + threshold) * (na + nb) - 1e-9)
+            fits = (1 + np.minimum(nb - place[i], na - place[j]) >= least) & (s1[i] != s1[j])
+            i, j, apart = i[fits], j[fits], (na + nb - 2 * least)[fits]
+            fits = np.bitwise_count(bits0[i] ^ bits0[j]) + np.bitwise_count(bits1[i] ^ bits1[j]) <= apart
+            i, j = i[fits], j[fits]
+            out.append((j, i))
+            if not every and len(i):
+                named[i] += 1
+                full = i[named[i] >= NAMED]
+                more[full[start[full] + k < full]] = True
+                live = live[named[live] < NAMED]
+        i = np.concatenate([x for _, x in out] or [live])
+        j = np.concatenate([x for x, _ in out] or [live])
+        m = np.flatnonzero(more)
+        yield pairs_batch(s1[j].view(np.int64), s1[i].view(np.int64), ids[j], ids[i], s1[m].view(np.int64), ids[m])
 
     return run
 
 
-def _bits(df: DataFrame, value: str) -> np.ndarray:
-    """A filter of fixed size (2 ** FILTER_BITS bits) of a column of uniform longs; 2 MB reach the driver at most."""
-    at = F.expr(f"cast(shiftrightunsigned({value}, {64 - FILTER_BITS + 6}) AS int)")
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({value}, {64 - FILTER_BITS}) & 63 AS int))")
+def _bits(df: DataFrame, value: str, bits: int) -> np.ndarray:
+    """A filter of 2 ** bits bits (64 MB at most) of a column of uniform longs."""
+    at = F.expr(f"cast(shiftrightunsigned({value}, {64 - bits + 6}) AS int)")
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({value}, {64 - bits}) & 63 AS int))")
     rows = df.select(at.alias("at"), bit.alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(2 ** (FILTER_BITS - 6), np.int64)
+    out = np.zeros(2 ** (bits - 6), np.int64)
     out[rows.column("at").to_numpy()] = rows.column("bits").to_numpy()
     return out.view(np.uint64)
 
 
 def _hits(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Which values may be in the filter; those that were put in all are."""
-    place = values.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+    place = values.view(np.uint64) >> np.uint64(64 - 6 - int(len(bits)).bit_length() + 1)
     return (bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _postings(lines: DataFrame) -> DataFrame:
-    each = lines.filter(F.size("prefix") > 0).select(F.posexplode("prefix").alias("at", "word"), "n", "sort_id", "s1", "bits0", "bits1")
-    return each.select("word", "n", "sort_id", "s1", (F.col("at") + 1).alias("place"), "bits0", "bits1")
+def _filter_bits(n: int) -> int:
+    """Sixteen bits an element, within bounds."""
+    return min(max(math.ceil(math.log2(16 * n + 1)), FILTER_BITS[0]), FILTER_BITS[1])
 
 
-def _sieve(df: DataFrame, bits: np.ndarray, value: str) -> DataFrame:
-    """The rows of df whose value may be in the filter; map-only, so that few rows are left for an exact join."""
-    shipped, at = df.sparkSession.sparkContext.broadcast(bits), df.columns.index(value)
+def words_of_sets(blocks: DataFrame) -> np.ndarray:
+    """A filter of the prefix words of the sets that `open` of their blocks names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(_hits(shipped.value, b.column(at).to_numpy())))
-
-    return df.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields))
+            row = dict(zip(b.schema.names, b.columns))
+            for i in range(b.num_rows):
+                sets = Sets.unpack(row["blob"][i].as_buffer())
+                at = np.flatnonzero(looked_up(sets["s1"].view(np.int64), row["open"][i]))
+                word = np.unique(sets.prefix[_ragged(sets.starts[at], sets["size"][at])])
+                yield pa.RecordBatch.from_arrays([pa.array(_mix(word.astype(np.uint64), 7).view(np.int64))], names=["word"])
 
-
-def _open_postings(lines: DataFrame, open_: DataFrame) -> DataFrame:
-    """The postings of all words that a set of open_ has in its prefix, with open: whether the posting is such a set's."""
-    spot = F.xxhash64("word")
-    own = _sieve(lines.filter(F.size("prefix") > 0).select("s1", "prefix"), _bits(open_, "s1"), "s1").join(open_, "s1", "left_semi")
-    words = materialize(own.select(F.explode("prefix").alias("word")).distinct().withColumn("spot", spot), "words")
-    near = _sieve(_postings(lines).withColumn("spot", spot), _bits(words, "spot"), "spot").join(words.select("word"), "word", "left_semi")
-    return near.join(open_.withColumn("open", F.lit(True)), "s1", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-
-
-def _named(postings: DataFrame, threshold: float, every: bool) -> DataFrame:
-    marked = postings if every else postings.withColumn("open", F.lit(False))
-    sorted_ = marked.select("word", "n", "sort_id", "s1", "place", "bits0", "bits1", "open").repartition("word").sortWithinPartitions("word")
-    return sorted_.mapInArrow(_candidates(threshold, every), "a long, b long").distinct()
+    words = materialize(blocks.filter(F.col("open").isNotNull()).select("blob", "open").mapInArrow(run, "word long").distinct(), "words")
+    out = _bits(words, "word", _filter_bits(words.count()))
+    discard(words)
+    return out
 
 
 def _sets(docs: DataFrame, needed: DataFrame, parts=words_of) -> DataFrame:
-    """s1, words (array<long>) of the sets needed (s1, spot: hash of the document of the first place).
+    """s1, words (array<long>) of the sets needed (s1, id: the sort_id of the first place).
 
-    Filters of fixed size skip most documents before they are hashed, and most sets of the others.
+    Filters skip most documents before they are hashed, and most sets of the others.
     """
-    of_docs, of_sets = (docs.sparkSession.sparkContext.broadcast(_bits(needed, x)) for x in ("spot", "s1"))
+    hashed = needed.select("s1", F.xxhash64("id").alias("spot"))
+    bits = _filter_bits(needed.count())
+    of_docs, of_sets = (docs.sparkSession.sparkContext.broadcast(_bits(hashed, x, bits)) for x in ("spot", "s1"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[int] = set()
@@ -351,43 +610,50 @@ def _sets(docs: DataFrame, needed: DataFrame, parts=words_of) -> DataFrame:
                 if s1:
                     yield pa.RecordBatch.from_arrays([pa.array(s1, pa.int64()), pa.array(words, pa.list_(pa.int64()))], names=["s1", "words"])
 
-    found = docs.select(F.xxhash64("sort_id", "tie").alias("spot"), "text").mapInArrow(run, "s1 long, words array<long>")
+    found = docs.select(F.xxhash64("sort_id").alias("spot"), "text").mapInArrow(run, "s1 long, words array<long>")
     return found.join(needed.select("s1"), "s1", "left_semi").groupBy("s1").agg(F.first("words").alias("words"))
 
 
-def _oriented(named: DataFrame, firsts: DataFrame) -> DataFrame:
-    """earlier, later of the pairs named, by the first places of both sets."""
-    place = firsts.select("s1", "first")
-    pairs = named.filter(F.col("a").isNotNull() & (F.col("a") != F.col("b")))
-    placed = pairs.join(place.select(F.col("s1").alias("a"), F.col("first").alias("fa")), "a").join(place.select(F.col("s1").alias("b"), F.col("first").alias("fb")), "b")
-    swap = F.col("fa") > F.col("fb")
-    return placed.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("earlier"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("later")).distinct()
+def needed_sets(docs: DataFrame, pairs: DataFrame, parts=words_of) -> DataFrame:
+    """The whole sets of all pairs a, b (ia, ib), written once."""
+    ids = materialize(pairs.select(F.col("a").alias("s1"), F.col("ia").alias("id")).union(pairs.select("b", "ib")).distinct(), "needed")
+    sets = materialize(_sets(docs, ids, parts), "whole")
+    discard(ids)
+    return sets
 
 
-def _verified(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """s1 of the later sets of the pairs that match the earlier one."""
-    left = sets.select(F.col("s1").alias("earlier"), F.col("words").alias("wa"))
-    right = sets.select(F.col("s1").alias("later"), F.col("words").alias("wb"))
-    joined = pairs.join(left, "earlier").join(right, "later")
+def verified(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs a, b whose whole sets match."""
+    left = sets.select(F.col("s1").alias("a"), F.col("words").alias("wa"))
+    right = sets.select(F.col("s1").alias("b"), F.col("words").alias("wb"))
+    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
     common = F.size(F.array_intersect("wa", "wb"))
-    match = joined.filter(common >= threshold * (F.size("wa") + F.size("wb") - common) - 1e-9)
-    return materialize(match.select(F.col("later").alias("s1")).distinct(), "matched")
-
-
-def _matched(docs: DataFrame, named: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
-    """s1 of the later sets of the pairs named that match: the first candidate of each decides most, the others the rest."""
-    pairs = materialize(_oriented(named, firsts), "pairs")
-    ids = pairs.select(F.col("earlier").alias("s1")).union(pairs.select("later")).distinct()
-    needed = materialize(ids.join(firsts.select("s1", F.xxhash64("first.sort_id", "first.tie").alias("spot")), "s1"), "needed")
-    sets = materialize(_sets(docs, needed), "sets")
-    release(docs.sparkSession)
-    one = materialize(pairs.groupBy("later").agg(F.min("earlier").alias("earlier")), "one")
-    found = _verified(sets, one, threshold)
-    rest = pairs.join(found.withColumnRenamed("s1", "later"), "later", "left_anti").join(one, ["later", "earlier"], "left_anti")
-    found = materialize(found.union(_verified(sets, rest, threshold)), "found")
-    discard(pairs, needed, sets, one)
-    release(docs.sparkSession)
-    return found
+    return joined.filter(common >= threshold * (F.size("wa") + F.size("wb") - common) - 1e-9).select("a", "b")
+
+
+def _matched(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """s1 of the later sets of the pairs that match: the first candidate of each decides most, the others the rest."""
+    sets = needed_sets(docs, pairs)
+    one = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "one")
+    found = materialize(verified(sets, one, threshold).select(F.col("b").alias("s1")).distinct(), "matched")
+    rest = pairs.select("a", "b").join(found.withColumnRenamed("s1", "b"), "b", "left_anti").join(one, ["a", "b"], "left_anti")
+    late = materialize(verified(sets, rest, threshold).select(F.col("b").alias("s1")).distinct(), "matched")
+    discard(sets, one)
+    return found.union(late)
+
+
+def _first_places(blocks: DataFrame, removed: DataFrame, n_parts: int) -> DataFrame:
+    """sort_id, tie, line of the first places of the sets removed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                sets = Sets.unpack(b.column(0)[i].as_buffer())
+                at = np.flatnonzero(looked_up(sets["s1"].view(np.int64), b.column(1)[i]))
+                yield pa.RecordBatch.from_arrays([pa.array(sets[x][at]) for x in ("sort_id", "tie", "line")], names=["sort_id", "tie", "line"])
+
+    keyed = blocks.join(by_part(removed, n_parts), "part").select("blob", "s1")
+    return keyed.mapInArrow(run, "sort_id long, tie long, line int")
 
 
 def later_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -396,22 +662,24 @@ def later_matches(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     docs has sort_id (long), tie (long) and text.
     """
     rarity = count_words(docs)
-    lines = materialize(line_table(docs, rarity, threshold), "lines")
-    firsts = materialize(lines.groupBy("s1", "s2").agg(F.min(F.struct("sort_id", "tie", "line")).alias("first")), "firsts")
-    named = materialize(_named(_postings(lines), threshold, every=False), "named")
-    release(docs.sparkSession)  # the postings' shuffle
-    removed = _matched(docs, named, firsts, threshold)
+    table_, n_parts = set_table(docs, rarity, threshold)
+    blocks = blocks_of(table_)
+    chunks = hot_words(blocks, rarity)
+    dealt = postings_by_word(blocks, _LINE_POSTING, chunks, every=False)
+    named = materialize(dealt.mapInArrow(_candidates(threshold, every=False), _PAIRS).distinct(), "named")
+    pairs = named.filter(F.col("a").isNotNull())
+    removed = _matched(docs, pairs, threshold)
     open_ = materialize(named.filter(F.col("a").isNull()).select(F.col("b").alias("s1")).distinct().join(removed, "s1", "left_anti"), "open")
-    discard(named)
     if not open_.isEmpty():
-        more = materialize(_named(_open_postings(lines, open_), threshold, every=True), "named")
-        removed = removed.union(_matched(docs, more, firsts, threshold)).distinct()
-    state = firsts.join(removed.withColumn("similar", F.lit(True)), "s1", "left").select("s1", "s2", "first", F.coalesce("similar", F.lit(False)).alias("similar"))
-    flagged = lines.select("sort_id", "tie", "line", "s1", "s2").join(state, ["s1", "s2"])
-    gone = flagged.filter(F.col("similar") | (F.struct("sort_id", "tie", "line") != F.col("first")))
-    gone = materialize(gone.groupBy("sort_id", "tie").agg(F.array_sort(F.collect_set("line")).alias("gone")), "gone")
-    discard(lines, firsts)
-    release(docs.sparkSession)
+        keyed = blocks.join(by_part(open_, n_parts).withColumnRenamed("s1", "open"), "part", "left")
+        dealt = postings_by_word(keyed, [*_LINE_POSTING, "open"], chunks, every=True, words=words_of_sets(keyed))
+        more = dealt.mapInArrow(_candidates(threshold, every=True), _PAIRS).distinct()
+        more = materialize(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti").select("a", "b", "ia", "ib"), "named")
+        removed = removed.union(_matched(docs, more, threshold)).distinct()
+    others = table_.filter(F.col("blob").isNull()).select("sort_id", "tie", "line")
+    places = others.union(_first_places(blocks, removed, n_parts))
+    gone = materialize(places.groupBy("sort_id", "tie").agg(F.array_sort(F.collect_set("line")).alias("gone")), "gone")
+    discard(table_, named, open_)
     return gone
 
 

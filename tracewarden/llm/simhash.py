@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden.llm import linejoin
-from tracewarden.llm.common import discard, materialize, release, table
+from tracewarden.llm.common import discard, materialize, table
 
 RADIUS = 4
 SHINGLE = 4
@@ -233,98 +233,74 @@ def shingles_of(texts: list[str], shingle: int = 5) -> tuple[np.ndarray, np.ndar
     return linejoin._mix(np.r_[long, short], 5)[order], line[order], np.ones(len(texts), np.int64)
 
 
+_MET = ["word", "block", "s1", "n", "place", "sort_id"]
+
+
 def _meetings(threshold: float, every: bool):
-    """Over postings sorted by word: pairs a, b of sets that may match, and "more" as a null a where b has others.
+    """Over a task's postings: pairs a, b of sets that may match, and "b may have more" as a null a.
 
-    With every, all pairs of sets under different labels of which one is open, and nothing else.
+    With every, all pairs of sets under different labels whose second is open, and nothing else.
     """
+    names = [*_MET, *(["open", "label"] if every else [])]
 
-    def of_run(word, s1, n, place, label, open_):  # noqa: PLR0917
-        cols = [word, s1, n, place, label, open_]
-        order = np.lexsort((s1, n, word))
-        cols = [x[order] for x in cols]
-        keep = ~np.r_[False, (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1])]  # copies from other tasks
-        cols = [x[keep] for x in cols]
-        starts = np.flatnonzero(np.r_[True, cols[0][1:] != cols[0][:-1]])
-        sizes = np.diff(np.r_[starts, len(cols[0])])
-        use = sizes > 1
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dealt = linejoin.runs(batches, names, ["s1"])
+        if dealt is None:
+            return
+        cols, start = dealt
+        n, place, s1, ids = (cols[k] for k in ("n", "place", "s1", "sort_id"))
+        named, more = np.zeros(len(start), np.int16), np.zeros(len(start), bool)
+        live = np.arange(len(start))
+        live = live[live > start]
         if every:
-            use &= np.minimum.reduceat(cols[4], starts) != np.maximum.reduceat(cols[4], starts)
-            use &= np.logical_or.reduceat(cols[5], starts)
-        word, s1, n, place, label, open_ = (x[np.repeat(use, sizes)] for x in cols)
-        named, more = np.zeros(len(word), np.int64), np.zeros(len(word), bool)
-        out_a, out_b = [], []
-        live = np.arange(1, len(word))
-        lag = 0
+            heads = np.unique(start)
+            mixed = np.minimum.reduceat(cols["label"], heads) != np.maximum.reduceat(cols["label"], heads) if len(heads) else np.zeros(0, bool)
+            live = live[(cols["open"][live] > 0) & mixed[np.searchsorted(heads, start[live])]]
+        else:
+            more |= cols["block"] > 0  # chunks met one other chunk only
+        out = []
+        k = 0
         while len(live):
-            lag += 1
-            live = live[live >= lag]
-            other = live - lag
-            live = live[(word[live] == word[other]) & (n[other] >= threshold * n[live] - 1e-9)]
-            other = live - lag
-            fits = 1 + np.minimum(n[live] - place[live], n[other] - place[other]) >= threshold / (1 + threshold) * (n[live] + n[other]) - 1e-9
+            other = start[live] + k
+            left = other < live
+            live, other = live[left], other[left]
+            k += 1
+            na, nb = n[other], n[live]
+            fits = (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9) & (s1[other] != s1[live])
+            fits &= 1 + np.minimum(nb - place[live], na - place[other]) >= threshold / (1 + threshold) * (na + nb) - 1e-9
             if every:
-                fits &= (label[live] != label[other]) & (open_[live] | open_[other])
+                fits &= cols["label"][live] != cols["label"][other]
             i, j = live[fits], other[fits]
-            if not every:
-                full = named[i] >= linejoin.NAMED
-                more[i[full]] = True
-                i, j = i[~full], j[~full]
+            out.append((j, i))
+            if not every and len(i):
                 named[i] += 1
-                live = live[~more[live]]
-            out_a.append(s1[j])
-            out_b.append(s1[i])
-        return np.concatenate([*out_a, s1[:0]]), np.concatenate([*out_b, s1[:0]]), np.unique(s1[more])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for b in itertools.chain(batches, [None]):
-            if b is not None:
-                if not b.num_rows:
-                    continue
-                held.append([b.column(k).to_numpy(zero_copy_only=False) for k in range(6)])
-                words = held[-1][0]
-                if words[-1] == held[0][0][0] or sum(len(x[0]) for x in held) < 50_000:
-                    continue
-            elif not held:
-                break
-            cols = [np.concatenate(x) for x in zip(*held)]
-            cut = len(cols[0]) if b is None else int(np.argmax(cols[0] == cols[0][-1]))
-            held = [[x[cut:] for x in cols]] if cut < len(cols[0]) else []
-            if cut:
-                a, c, more = of_run(*(x[:cut] for x in cols))
-                yield pa.RecordBatch.from_arrays([pa.array(np.r_[a, more], mask=np.r_[np.zeros(len(a), bool), np.ones(len(more), bool)]), pa.array(np.r_[c, more])], names=["a", "b"])
+                full = i[named[i] >= linejoin.NAMED]
+                more[full[start[full] + k < full]] = True
+                live = live[named[live] < linejoin.NAMED]
+        i = np.concatenate([x for _, x in out] or [live])
+        j = np.concatenate([x for x, _ in out] or [live])
+        m = np.flatnonzero(more)
+        yield linejoin.pairs_batch(s1[j].view(np.int64), s1[i].view(np.int64), ids[j], ids[i], s1[m].view(np.int64), ids[m])
 
     return run
 
 
-def _met(postings: DataFrame, threshold: float, every: bool) -> DataFrame:
-    sorted_ = postings.select("word", "s1", "n", "place", "label", "open").repartition("word").sortWithinPartitions("word")
-    pairs = sorted_.mapInArrow(_meetings(threshold, every), "a long, b long")
-    low, high = F.when(F.col("a").isNotNull(), F.least("a", "b")), F.greatest("a", "b")  # of a null and b, b
-    return materialize(pairs.select(low.alias("a"), high.alias("b")).distinct(), "met")
+def _met(dealt: DataFrame, threshold: float, every: bool) -> DataFrame:
+    pairs = dealt.mapInArrow(_meetings(threshold, every), linejoin._PAIRS)
+    swap = F.col("a") > F.col("b")  # of a null and b neither
+    named = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("ia", "ib"), ("ib", "ia"))]
+    return materialize(pairs.select(*named).distinct(), "met")
 
 
-def _alike(docs: DataFrame, pairs: DataFrame, firsts: DataFrame, threshold: float, parts) -> DataFrame:
+def _alike(docs: DataFrame, pairs: DataFrame, threshold: float, parts) -> DataFrame:
     """Links a, b among the pairs that connect all that match on whole sets: one pair of each set, then those still apart."""
-    pairs = pairs.filter(F.col("a").isNotNull())
-    ids = pairs.select(F.col("a").alias("s1")).union(pairs.select("b")).distinct()
-    needed = materialize(ids.join(firsts.select("s1", F.xxhash64("first.sort_id", "first.tie").alias("spot")), "s1"), "needed")
-    sets = materialize(linejoin._sets(docs, needed, parts), "sets")
-
-    def verified(some: DataFrame) -> DataFrame:
-        left = sets.select(F.col("s1").alias("a"), F.col("words").alias("wa"))
-        joined = some.join(left, "a").join(sets.select(F.col("s1").alias("b"), F.col("words").alias("wb")), "b")
-        common = F.size(F.array_intersect("wa", "wb"))
-        return materialize(joined.filter(common >= threshold * (F.size("wa") + F.size("wb") - common) - 1e-9).select("a", "b"), "alike")
-
+    sets = linejoin.needed_sets(docs, pairs, parts)
     one = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "one")
-    links = verified(one)
-    rest = _labelled(pairs.join(one, ["a", "b"], "left_anti"), links, "a", "b").filter("label_a != label_b").select("a", "b")
-    links = links.union(verified(rest))
-    discard(needed, sets, one)
-    release(docs.sparkSession)
-    return links
+    links = materialize(linejoin.verified(sets, one, threshold), "alike")
+    rest = _labelled(pairs.select("a", "b").join(one, ["a", "b"], "left_anti"), links, "a", "b").filter("label_a != label_b")
+    late = materialize(linejoin.verified(sets, rest, threshold), "alike")
+    discard(sets, one)
+    return links.union(late)
 
 
 def _labelled(df: DataFrame, links: DataFrame, *names: str) -> DataFrame:
@@ -336,41 +312,62 @@ def _labelled(df: DataFrame, links: DataFrame, *names: str) -> DataFrame:
     return df
 
 
-def set_components(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
-    """sort_id, component_id (least sort_id of those reachable by links of Jaccard similarity of at least threshold).
+def _places(blocks: DataFrame) -> DataFrame:
+    """s1, sort_id, tie of the first place of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for blob in b.column(0):
+                sets = linejoin.Sets.unpack(blob.as_buffer())
+                yield pa.RecordBatch.from_arrays([pa.array(sets["s1"].view(np.int64)), pa.array(sets["sort_id"]), pa.array(sets["tie"])], names=["s1", "sort_id", "tie"])
+
+    return blocks.select("blob").mapInArrow(run, "s1 long, sort_id long, tie long")
+
+
+def later_copies(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
+    """sort_id, tie of the documents of which another of their component comes first.
 
-    docs has sort_id, tie and text. An exact join of shingle sets by prefixes, as in ``linejoin``: sets first meet few
-    others a shingle, and what that links is one; then all pairs of different components that went unnamed are met.
+    Components are those of links of Jaccard similarity of at least threshold. docs has sort_id, tie and text. An exact
+    join of shingle sets by prefixes, as in ``linejoin``: sets first meet few others a shingle, and what that links is
+    one; then all pairs of different components that went unnamed are met.
     """
 
     def parts(texts: list[str]):
         return shingles_of(texts, shingle)
 
-    lines = materialize(linejoin.line_table(docs, linejoin.count_words(docs, parts), threshold, parts), "shingles")
-    firsts = materialize(lines.groupBy("s1").agg(F.min(F.struct("sort_id", "tie")).alias("first")), "firsts")
-    met = _met(linejoin._postings(lines).withColumn("label", F.col("s1")).withColumn("open", F.lit(False)), threshold, every=False)
-    release(docs.sparkSession)  # the postings' shuffle
-    links = _alike(docs, met, firsts, threshold, parts)
+    rarity = linejoin.count_words(docs, parts)
+    table_, n_parts = linejoin.set_table(docs, rarity, threshold, parts)
+    blocks = linejoin.blocks_of(table_)
+    chunks = linejoin.hot_words(blocks, rarity)
+    met = _met(linejoin.postings_by_word(blocks, _MET, chunks, every=False), threshold, every=False)
+    links = _alike(docs, met.filter(F.col("a").isNotNull()), threshold, parts)
     open_ = materialize(met.filter(F.col("a").isNull()).select(F.col("b").alias("s1")).distinct(), "open")
     if not open_.isEmpty():
-        postings = _labelled(linejoin._open_postings(lines, open_), links, "s1").withColumnRenamed("label_s1", "label")
-        links = links.union(_alike(docs, _met(postings, threshold, every=True), firsts, threshold, parts))
-    rooted = _labelled(firsts.select("s1", F.col("first.sort_id").alias("least")), links, "s1")
-    least = rooted.groupBy("label_s1").agg(F.min("least").alias("component_id"))
-    return lines.select("sort_id", "s1").join(rooted.join(least, "label_s1").select("s1", "component_id"), "s1").select("sort_id", "component_id")
+        roots = components(links).select(F.col("node").alias("s1"), "root")
+        labels = linejoin.by_part(roots, n_parts, "root").select("part", F.col("s1").alias("label_keys"), F.col("root").alias("label_values"))
+        keyed = blocks.join(linejoin.by_part(open_, n_parts).withColumnRenamed("s1", "open"), "part", "left").join(labels, "part", "left")
+        dealt = linejoin.postings_by_word(keyed, [*_MET, "open", "label"], chunks, every=True, words=linejoin.words_of_sets(keyed))
+        links = links.union(_alike(docs, _met(dealt, threshold, every=True), threshold, parts))
+    roots = components(links).withColumnRenamed("node", "s1")
+    rooted = materialize(_places(blocks).join(roots, "s1"), "rooted")
+    first = rooted.groupBy("root").agg(F.min(F.struct("sort_id", "s1")).alias("first"))
+    later = rooted.join(first, "root").filter(F.struct("sort_id", "s1") != F.col("first")).select("sort_id", "tie")
+    gone = materialize(later.union(table_.filter(F.col("blob").isNull()).select("sort_id", "tie")).distinct(), "gone")
+    discard(table_, met, open_, rooted)
+    return gone
 
 
 def keep_one_of_each(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The documents with the smallest id of their component, all columns kept; rows without an id come after all others.
+    """The document with the smallest id of each component, all columns kept; rows without an id come after all others.
 
-    Of equal rows one stays; rows that share an id but not a text stay or go together.
+    Of equal rows one stays, and of rows of one component that share the smallest id as well.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**62) + F.pmod(F.xxhash64(text), F.lit(2**61)))
     keyed = docs.withColumn("_own_id", own).withColumn("_text_hash", F.xxhash64(text))
-    found = set_components(keyed.select(F.col("_own_id").alias("sort_id"), F.col("_text_hash").alias("tie"), text.alias("text")), shingle, threshold)
-    first = found.filter(F.col("sort_id") == F.col("component_id")).select(F.col("sort_id").alias("_own_id")).distinct()
-    return keyed.join(first, "_own_id", "left_semi").dropDuplicates(["_own_id", "_text_hash"]).select(*docs.columns)
+    gone = later_copies(keyed.select(F.col("_own_id").alias("sort_id"), F.col("_text_hash").alias("tie"), text.alias("text")), shingle, threshold)
+    gone = gone.select(F.col("sort_id").alias("_own_id"), F.col("tie").alias("_text_hash"))
+    return keyed.join(gone, ["_own_id", "_text_hash"], "left_anti").dropDuplicates(["_own_id", "_text_hash"]).select(*docs.columns)
 
 
 def op9_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
