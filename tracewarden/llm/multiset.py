@@ -1,6 +1,7 @@
 """Homomorphic multiset fingerprints of documents, in DataFrame functions alone.
 
-A document is the multiset of its paragraphs (its non-empty lines). Each paragraph is hashed to a wide vector, and the
+A document is the multiset of its paragraphs (its non-empty lines). Each paragraph is hashed to a wide vector by way of its
+SHA-256 digest (so no two paragraphs can be built that agree in all hashes), and the
 fingerprint is the sum of these vectors modulo powers of two: it doesn't depend on the order of paragraphs, and a
 paragraph is inserted or deleted by adding or subtracting its vector. The vector has
 
@@ -28,7 +29,8 @@ WORD = 2**32 - 1
 BITS = sum(1 << s for s in (0, 15, 30, 45))
 LANES = BITS * (2**14 - 1)
 GUARD = BITS << 14
-_HASHES = [f"xxhash64(p, {k})" for k in range(6)]
+#: Functions of the digest; the salt comes first, else all would be functions of one 64-bit hash.
+_HASHES = [f"xxhash64({k}, d)" for k in range(6)]
 _WORDS = [f"shiftrightunsigned(v.h{k // 2}, {32 * (k % 2)}) & {WORD}L" for k in range(8)]
 _SIGNS = [f"shiftrightunsigned(v.h{4 + k // 15}, {k % 15}) & {BITS}L" for k in range(30)]
 WIDTH = 1 + len(_WORDS) + len(_SIGNS)
@@ -39,7 +41,8 @@ def vector(text: str) -> Column:
     zero = "named_struct(" + ", ".join(f"'c{k}', 0L" for k in range(WIDTH)) + ")"
     parts = ["a.c0 + 1L"] + [f"(a.c{k + 1} + ({w})) & {WORD}L" for k, w in enumerate(_WORDS)] + [f"(a.c{k + 9} + ({s})) & {LANES}L" for k, s in enumerate(_SIGNS)]
     step = "named_struct(" + ", ".join(f"'c{k}', {e}" for k, e in enumerate(parts)) + ")"
-    hashed = f"transform(filter(split({text}, '\\n', -1), p -> p <> ''), p -> named_struct({', '.join(f'{chr(39)}h{k}{chr(39)}, {h}' for k, h in enumerate(_HASHES))}))"
+    digests = f"transform(filter(split({text}, '\\n', -1), p -> p <> ''), p -> sha2(p, 256))"
+    hashed = f"transform({digests}, d -> named_struct({', '.join(f'{chr(39)}h{k}{chr(39)}, {h}' for k, h in enumerate(_HASHES))}))"
     done = "array(" + ", ".join(f"a.c{k}" for k in range(WIDTH)) + ")"
     return F.expr(f"aggregate({hashed}, {zero}, (a, v) -> {step}, a -> {done})")
 
