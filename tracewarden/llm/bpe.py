@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -21,8 +22,9 @@ PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 #: Where this is found, the white space before a word doesn't split off at each blank.
 _ODD_SPACE = re.compile(r"\s (?:\s|\Z)")
 _CONTROL = re.compile("[\x1c-\x1f]")
-#: Entries of the per-worker cache; beyond it the cache starts anew. It bounds memory and never changes a result.
-CACHE_ENTRIES = 250_000
+#: Entries of each of the two generations of a worker's cache: a full one becomes the old one, from which what is asked for
+#: again is taken over. It bounds memory (about 200 bytes an entry) and never changes a result.
+CACHE_ENTRIES = 500_000
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -56,13 +58,16 @@ class BytePairEncoder:
         for token, i in (vocab | special).items():
             self.strings[i] = bytes(to_byte[c] for c in token) if all(c in to_byte for c in token) else token.encode()
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.pretoken = regex.compile(PRETOKEN)
+        self.pretoken = regex.compile(PRETOKEN).findall
         self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
 
     def merge_word(self, raw: bytes) -> list[int]:
         """Ids of one pre-token: the queue holds (rank, position); an entry whose two symbols are gone is stale."""
         ids = [self.byte_id[b] for b in raw]
         n = len(ids)
+        if n == 1:
+            return ids
         after, before, rank, merge = list(range(1, n + 1)), list(range(-1, n - 1)), self.rank.get, self.merge
         bits = n.bit_length()
         low = (1 << bits) - 1
@@ -89,21 +94,19 @@ class BytePairEncoder:
         """Packed ids of a run of text that holds no special token."""
         found = self.words.get(chunk)
         if found is None:
-            parts = self.pretoken.findall(chunk)
-            if len(parts) == 1:
-                ids = self.merge_word(chunk.encode())
-                found = b"".join([x.to_bytes(4, "little") for x in ids])
-            else:
-                found = b"".join([self._piece(p) for p in parts])
+            found = self.old_words.get(chunk)
+            if found is None:
+                parts = self.pretoken(chunk)
+                found = array("I", self.merge_word(chunk.encode())).tobytes() if len(parts) == 1 else b"".join(map(self._piece, parts))
             if len(chunk) <= 64:
                 if len(self.words) >= CACHE_ENTRIES:
-                    self.words.clear()
+                    self.words, self.old_words = {}, self.words
                 self.words[chunk] = found
         return found
 
     def _plain(self, text: str) -> bytes:
         if _ODD_SPACE.search(text) or _CONTROL.search(text):
-            return b"".join([self._piece(p) for p in self.pretoken.findall(text)])
+            return b"".join([self._piece(p) for p in self.pretoken(text)])
         first, *rest = text.split(" ")
         rest = [" " + x for x in rest]
         out = list(map(self.words.get, rest))
