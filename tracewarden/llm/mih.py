@@ -3,13 +3,15 @@
 Vectors are lifted by one coordinate so that all have the greatest norm; largest inner product then means smallest
 angle. On a bounded sample ``TABLES`` orthogonal rotations are learned by iterative quantization from different starts;
 the signs of the rotated vectors are the code. Codes are split into substrings, each with an index of its own. Two codes
-within ``radius`` agree in some substring up to radius / substrings (pigeonhole), so probing each index that far finds
-every code within the radius. What is found is verified on whole codes and reranked by exact inner products.
+within a radius agree in some substring up to radius / substrings (pigeonhole), so probing each index that far finds
+every code within it. What is found is verified on whole codes and reranked by exact inner products.
 
-The radius is the one that holds ``SAMPLE_RECALL`` of the sample's own neighbours. Neighbours in all rows are nearer than
-in a sample, so it errs to the safe side. A query with fewer codes in the radius than it needs takes its nearest codes.
-Where probing would have to visit most buckets anyway (unclustered vectors need a wide radius), the codes of a block are
-compared in order instead; the set found is the same.
+Radius and probing step are learned on the sample: the radius holds ``SAMPLE_RECALL`` of its neighbours, and the step is the
+least that finds as many. By the pigeonhole every code within substrings * (step + 1) - 1 is found; most of those between
+that and the radius are found as well, as the differing bits of a pair are spread unevenly over so many substrings. (For
+neighbours that are nearly at right angles, as in unclustered data, a step of radius / substrings would visit a quarter of
+all buckets.) Neighbours in all rows are nearer than in a sample, so both err to the safe side. A query for which fewer
+codes than it needs are found takes its nearest codes, in a second pass.
 
 All rows are indexed. Rows and queries are dealt into blocks of bounded size, and each pair of blocks is one task's work:
 the stated query set against all rows. Only the k best of a block leave it.
@@ -32,23 +34,22 @@ from pyspark.sql.window import Window
 from tracewarden.llm.common import materialize, table
 
 K = 20
-TABLES = 4
+TABLES = 8
 #: Rows of the bounded sample on which rotations and radius are learned.
 SAMPLE_ROWS = 8192
-SAMPLE_RECALL = 0.985
+SAMPLE_RECALL = 0.98
 SUBSTRING_BITS = 16
 #: Rows and queries of a block.
-BLOCK_ROWS, BLOCK_QUERIES = 65_536, 4096
+BLOCK_ROWS, BLOCK_QUERIES = 65_536, 32_768
 #: A small table is cut into smaller blocks, for parallel work; each block gives k rows a query, so not into too many.
 LEAST_ROWS, MOST_SMALL_BLOCKS = 4096, 64
-#: Share of all buckets beyond which probing a substring index is no cheaper than reading the codes in order.
-PROBE_SHARE = 0.05
 RESULT = "query_id long, vec_id long, score double"
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> tuple[DataFrame, int]:
-    """vec_id, embedding (array<double>) of the rows that take part, and their dimension (0 if there are none)."""
-    e = F.col(embedding).cast("array<double>")
+    """vec_id, embedding (array<float> if it is one, else array<double>) of the rows that take part, and their dimension (0 if there are none)."""
+    single = vectors.select(embedding).schema[0].dataType.simpleString() == "array<float>"
+    e = F.col(embedding).cast("array<float>" if single else "array<double>")
     sound = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
     good = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), e.alias("embedding")).filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & sound)
     most = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
@@ -75,7 +76,7 @@ class Hasher:
             rotations.append(axes @ r)
         self.axes = np.hstack(rotations)
         self.bits = self.axes.shape[1]
-        self.radius = self._radius(sample, k)
+        self.radius, self.step = self._learn_radius(sample, k)
 
     def lift(self, x: np.ndarray) -> np.ndarray:
         return np.c_[x, np.sqrt(np.maximum(self.norm**2 - (x * x).sum(axis=1), 0))]
@@ -86,8 +87,12 @@ class Hasher:
         bits[:, : self.bits] = lifted @ self.axes > 0
         return np.packbits(bits, axis=1).view(np.uint64)
 
-    def _radius(self, sample: np.ndarray, k: int) -> int:
-        """The Hamming distance that holds SAMPLE_RECALL of the k nearest of some of the sample's rows."""
+    def parts(self, codes: np.ndarray) -> np.ndarray:
+        """The substrings of codes, without those that hold padding alone."""
+        return codes.view(np.uint16)[:, : math.ceil(self.bits / SUBSTRING_BITS)]
+
+    def _learn_radius(self, sample: np.ndarray, k: int) -> tuple[int, int]:
+        """The Hamming distance that holds SAMPLE_RECALL of the k nearest of some of the sample's rows, and the step that finds as many."""
         n = len(sample)
         ask = np.arange(0, n, max(1, n // 500))
         scores = sample[ask] @ sample.T
@@ -95,59 +100,56 @@ class Hasher:
         near = np.argsort(-scores, axis=1)[:, : min(k, n - 1)]
         a, b = self.codes(sample[ask], query=True), self.codes(sample)
         far = np.bitwise_count(a[:, None, :] ^ b[near]).sum(axis=2)
-        return int(np.quantile(far, SAMPLE_RECALL)) if far.size else self.bits
+        if not far.size:
+            return self.bits, SUBSTRING_BITS
+        radius = int(np.quantile(far, SAMPLE_RECALL))
+        parts = np.bitwise_count(self.parts(a)[:, None, :] ^ self.parts(b)[near]).min(axis=2)
+        return radius, min(int(np.quantile(parts, SAMPLE_RECALL, method="higher")), radius // self.parts(b).shape[1])
 
 
 class SubstringIndex:
     """The codes of one block; for each substring, its values' rows in one sorted array."""
 
-    def __init__(self, codes: np.ndarray, bits: int):
-        self.codes = codes
-        parts = codes.view(np.uint16)
-        self.parts = parts[:, : max(1, bits // SUBSTRING_BITS)]
-        self.tables: list[tuple[np.ndarray, np.ndarray]] | None = None
-
-    def _build(self) -> None:
-        self.tables = []
-        for p in self.parts.T:
-            order = np.argsort(p, kind="stable")
-            self.tables.append((order, np.searchsorted(p[order], np.arange(2**SUBSTRING_BITS + 1))))
-
-    def within(self, code: np.ndarray, radius: int, least: int) -> np.ndarray:
-        """Rows within the radius, or the nearest `least` rows where that has fewer."""
-        m = self.parts.shape[1]
-        step = radius // m
-        share = sum(math.comb(SUBSTRING_BITS, r) for r in range(min(step, SUBSTRING_BITS) + 1)) / 2**SUBSTRING_BITS
-        rows = None
-        if share <= PROBE_SHARE:
-            rows = self._probe(code, step)
-            far = np.bitwise_count(self.codes[rows] ^ code).sum(axis=1)
-            rows = rows[far <= radius]
-            if len(rows) >= least:
-                return rows
-        far = np.bitwise_count(self.codes ^ code).sum(axis=1)
-        rows = np.flatnonzero(far <= radius)
-        if len(rows) >= least or len(rows) == len(far):
-            return rows
-        edge = np.partition(far, min(least, len(far)) - 1)[min(least, len(far)) - 1]
-        return np.flatnonzero(far <= edge)
-
-    def _probe(self, code: np.ndarray, step: int) -> np.ndarray:
-        if self.tables is None:
-            self._build()
-        own = code.view(np.uint16)
+    def __init__(self, codes: np.ndarray, parts: np.ndarray, step: int):
+        self.codes, self.step = codes, step
+        self.order = np.argsort(parts, axis=0, kind="stable").T.astype(np.int32)
+        self.start = np.zeros((parts.shape[1], 2**SUBSTRING_BITS + 1), np.int32)
+        for p, start in zip(parts.T, self.start):
+            np.cumsum(np.bincount(p, minlength=2**SUBSTRING_BITS), out=start[1:])
         values = np.arange(2**SUBSTRING_BITS, dtype=np.uint16)
-        found = []
-        for p, (order, start) in enumerate(self.tables):
-            for v in np.flatnonzero(np.bitwise_count(values ^ own[p]) <= step):
-                if start[v] < start[v + 1]:
-                    found.append(order[start[v] : start[v + 1]])
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        self.masks = values[np.bitwise_count(values) <= step]
+        self.seen = np.zeros(len(codes), bool)
+
+    def probe(self, parts: np.ndarray) -> np.ndarray:
+        """Rows of which some substring differs from the query's in at most step bits."""
+        self.seen[:] = False
+        for own, order, start in zip(parts, self.order, self.start):
+            bucket = (own ^ self.masks).astype(np.int32)
+            lo = start[bucket]
+            size = start[bucket + 1] - lo
+            full = np.flatnonzero(size)
+            lo, size = lo[full], size[full]
+            ends = np.cumsum(size)
+            if len(ends):
+                self.seen[order[np.repeat(lo - (ends - size), size) + np.arange(ends[-1])]] = True
+        return np.flatnonzero(self.seen)
+
+    def within(self, code: np.ndarray, parts: np.ndarray, radius: int) -> np.ndarray:
+        """The rows found by probing whose codes are within the radius."""
+        rows = self.probe(parts)
+        return rows[np.bitwise_count(self.codes[rows] ^ code).sum(axis=1) <= radius]
+
+    def nearest(self, code: np.ndarray, least: int) -> np.ndarray:
+        """The `least` rows with the nearest codes, ties included."""
+        far = np.bitwise_count(self.codes ^ code).sum(axis=1)
+        if len(far) <= least:
+            return np.arange(len(far))
+        return np.flatnonzero(far <= np.partition(far, least - 1)[least - 1])
 
 
 def _matrix(column: pa.ChunkedArray, d: int) -> np.ndarray:
     flat = [c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]
-    return (np.concatenate(flat) if flat else np.zeros(0)).reshape(-1, d)
+    return (np.concatenate(flat) if flat else np.zeros(0)).astype(np.float64, copy=False).reshape(-1, d)
 
 
 def best(rows_id: np.ndarray, rows: np.ndarray, at: np.ndarray, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +172,7 @@ def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     if not d:
         return empty
     good = materialize(good, "vectors")
-    norm, n = good.agg(F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))), F.count("*")).first()
+    norm, n = good.agg(F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x))), F.count("*")).first()
     sample = good.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id", "embedding").limit(SAMPLE_ROWS).select("embedding").toArrow()
     hasher = Hasher(_matrix(sample.column(0), d), float(norm), k)
     queries = good.filter(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
@@ -183,24 +185,34 @@ def search(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
     tagged = good.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(down)))
     row_cells = F.explode(F.transform(F.sequence(F.lit(0), F.lit(across - 1)), lambda j: (F.col("block") * across + j).cast("long")))
     left = tagged.select(row_cells.alias("cell"), "vec_id", "embedding")
-    right = queries.select(query_cells.alias("cell"), "vec_id", "embedding")
-
-    def run(rows: pa.Table, asks: pa.Table) -> pa.Table:
-        ids, x = rows.column("vec_id").to_numpy(), _matrix(rows.column("embedding"), d)
-        out_q, out_v, out_s = [], [], []
-        if len(ids) and asks.num_rows:
-            index = SubstringIndex(hasher.codes(x), hasher.bits)
-            q = _matrix(asks.column("embedding"), d)
-            codes = hasher.codes(q, query=True)
-            for i, own in enumerate(asks.column("vec_id").to_pylist()):
-                v, s = best(ids, x, index.within(codes[i], hasher.radius, k + 1), q[i], own, k)
-                out_q.append(np.full(len(v), own, np.int64))
-                out_v.append(v)
-                out_s.append(s)
-        join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0, kind))
-        return pa.table([join(out_q, np.int64), join(out_v, np.int64), join(out_s, np.float64)], names=["query_id", "vec_id", "score"])
-
-    found = left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(run, RESULT)
+
+    def meet(some: DataFrame, nearest: bool) -> DataFrame:
+        def run(rows: pa.Table, asks: pa.Table) -> pa.Table:
+            ids, x = rows.column("vec_id").to_numpy(), _matrix(rows.column("embedding"), d)
+            out_q, out_v, out_s = [], [], []
+            if len(ids) and asks.num_rows:
+                codes = hasher.codes(x)
+                index = SubstringIndex(codes, hasher.parts(codes), hasher.step)
+                q = _matrix(asks.column("embedding"), d)
+                asked_codes = hasher.codes(q, query=True)
+                asked_parts = hasher.parts(asked_codes)
+                for i, own in enumerate(asks.column("vec_id").to_pylist()):
+                    at = index.nearest(asked_codes[i], k + int((ids == own).sum())) if nearest else index.within(asked_codes[i], asked_parts[i], hasher.radius)
+                    v, s = best(ids, x, at, q[i], own, k)
+                    out_q.append(np.full(len(v), own, np.int64))
+                    out_v.append(v)
+                    out_s.append(s)
+            join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0, kind))
+            return pa.table([join(out_q, np.int64), join(out_v, np.int64), join(out_s, np.float64)], names=["query_id", "vec_id", "score"])
+
+        right = some.select(query_cells.alias("cell"), "vec_id", "embedding")
+        return left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(run, RESULT)
+
+    found = materialize(meet(queries, False), "found")
+    enough = found.groupBy("query_id").count().filter(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
+    short = materialize(queries.join(enough, "vec_id", "left_anti"), "short")
+    if not short.isEmpty():
+        found = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(meet(short, True))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
