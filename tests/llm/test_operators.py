@@ -186,6 +186,67 @@ def test_fingerprint_algebra(spark):
     assert both["s"] == v[1]["vector"] and both["d"] == v[3]["vector"] and 0 < both["near"] < 1
 
 
+def brute_vector(text):
+    """The sums of a fingerprint, from the digests of the paragraphs."""
+    out = [0] * multiset.WIDTH
+    for p in filter(None, text.split("\n")):
+        d = hashlib.sha256(p.encode()).hexdigest()
+        h = [xxhash.xxh64_intdigest(d, xxhash.xxh64_intdigest(k.to_bytes(4, "little"), 42)) for k in range(6)]
+        out[0] += 1
+        for k in range(8):
+            out[1 + k] = (out[1 + k] + (h[k // 2] >> 32 * (k % 2))) % 2**32
+        for k in range(30):
+            lanes = h[4 + k // 15] >> k % 15
+            for s in (0, 15, 30, 45):
+                out[9 + k] = out[9 + k] & ~((2**15 - 1) << s) | (((out[9 + k] >> s) + (lanes >> s & 1)) % 2**14) << s
+    return out
+
+
+def brute_likeness(a, b):
+    if a == b:
+        return 1.0
+    apart = 0
+    for x, y in zip(a[9:], b[9:]):
+        for s in (0, 15, 30, 45):
+            d = ((x >> s) - (y >> s) + 8192) % 16384 - 8192
+            apart += (2 * d - (a[0] - b[0])) ** 2
+    return max(0.0, 1 - apart / 120 / (a[0] + b[0]))
+
+
+def test_fingerprints_by_brute_force(spark, sf, docs):
+    texts = [t or "" for _, t, _ in docs]
+    rows = {r["doc_id"]: r for r in query(spark, sf, 4)}
+    hexed = lambda v: "".join(f"{x:0{8 if k < 9 else 15}x}" for k, x in enumerate(v))
+    for k, (i, _, _) in enumerate(docs):
+        t, nxt = texts[k], texts[(k + 1) % len(texts)]
+        h = len(t) // 2
+        v, e, w = map(brute_vector, (t, t[: len(t) - h] + nxt[:h], nxt))
+        assert (rows[i]["fingerprint"], rows[i]["edited_fingerprint"]) == (hexed(v), hexed(e))
+        assert rows[i]["near_edited"] == pytest.approx(brute_likeness(v, e)) and rows[i]["near_next"] == pytest.approx(brute_likeness(v, w))
+
+
+def test_fingerprints_of_paragraphs_that_collide(spark):
+    """Two paragraphs of equal XXH64 (whose rounds can be undone) have different fingerprints."""
+    m, p1, p2 = 2**64, 11400714785074694791, 14029467366897019727
+    rotl, rotr = lambda x, k: (x << k | x >> 64 - k) % m, lambda x, k: (x >> k | x << 64 - k) % m
+    seed = (42 + p1 + p2) % m  # of the first lane
+    lane = lambda acc, x: rotl((acc + x * p2) % m, 31) * p1 % m
+    word = lambda x: x.to_bytes(8, "little")
+    rng = random.Random(5)
+    while True:  # change the first stripe's first lane, undo that in the second's
+        a, b, c = (int.from_bytes(bytes(rng.randrange(33, 127) for _ in range(8)), "little") for _ in range(3))
+        want = lane(lane(seed, a), b)
+        acc = rotr(want * pow(p1, -1, m) % m, 31)
+        d = (acc - lane(seed, c)) * pow(p2, -1, m) % m
+        one, other = (word(x) + b"x" * 24 + word(y) + b"y" * 24 for x, y in ((a, b), (c, d)))
+        if b"\n" not in other:
+            break
+    assert xxhash.xxh64_intdigest(one, 42) == xxhash.xxh64_intdigest(other, 42) and one != other
+    df = spark.createDataFrame([(1, bytearray(one)), (2, bytearray(other))], "doc_id long, b binary").select("doc_id", F.col("b").cast("string").alias("text"))
+    assert df.select(F.xxhash64("text")).distinct().count() == 1
+    assert len({r["fingerprint"] for r in multiset.fingerprints(df).collect()}) == 2
+
+
 def test_fingerprints_awkward(spark):
     df = documents(spark, AWKWARD, extra=True)
     for buckets in (1, 3, 50):
@@ -234,7 +295,7 @@ def brute_lines(rows):
         for line in (t or "").split("\n"):
             w = frozenset(re.findall(r"[^\x20\x09-\x0D]+", line))
             again = False
-            if len(w) >= linejoin.MIN_WORDS:
+            if w:
                 common = collections.Counter(y for x in w for y in inverted[x])
                 again = any(c >= 0.8 * (len(w) + len(sets[y]) - c) - 1e-9 for y, c in common.items())
                 for x in w:
@@ -478,6 +539,25 @@ def test_dense_fingerprints(spark, monkeypatch, limit):
     assert links.count() < 40 * len(fps), "no quadratic output"
 
 
+def test_pivot_table(spark, sf):
+    """No linked pair is discarded, and nearly all others are."""
+    texts = duckdb.sql(f"SELECT text FROM '{sf.replace('sf0.001', 'sf0.01')}/documents.parquet'").fetchall()
+    fps = np.unique(np.array([brute_fingerprint(t) for (t,) in texts], np.uint64))
+    rows = simhash.pivot_table(spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")).toPandas()
+    table = simhash.table_of(rows["far0"].to_numpy(), rows["far1"].to_numpy())
+    fps = rows["fp"].to_numpy().view(np.uint64)
+    assert (table == np.bitwise_count(fps[:, None] ^ simhash.PIVOTS)).all()
+    kept = linked = 0
+    for i in range(len(fps) - 1):
+        near = np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 4)
+        left = simhash.survivors(table[i], table[i + 1 :], 4)
+        assert set(near.tolist()) <= set(left.tolist())
+        kept, linked = kept + len(left), linked + len(near)
+    pairs = len(fps) * (len(fps) - 1) // 2
+    print(f"{pairs} pairs, {pairs - kept} discarded by the pivot table, {kept} verified, {linked} links")
+    assert kept < 0.01 * pairs
+
+
 def test_simhash_awkward(spark):
     df = documents(spark, AWKWARD, extra=True)
     out = simhash.near_duplicates(df).collect()
@@ -560,14 +640,54 @@ def test_neighbours_awkward(spark):
     assert sorted(r["rank"] for r in few) == [1, 2, 3, 4]
 
 
-def test_probing_is_scanning():
-    """The substring indexes find exactly the codes within the radius."""
+def test_probing_finds_what_the_pigeonhole_promises():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**64, (20, 4), dtype=np.uint64)
-    codes = np.concatenate([base, base ^ (np.uint64(1) << rng.integers(0, 64, (20, 4)).astype(np.uint64))])
-    index = mih.SubstringIndex(codes, 256)
-    for q in base:
-        far = np.bitwise_count(codes ^ q).sum(axis=1)
-        for radius in (0, 4, 15, 31):
-            assert sorted(index.within(q, radius, 0).tolist()) == np.flatnonzero(far <= radius).tolist()
-    assert index.tables is not None
+    codes = np.concatenate([base, base ^ (np.uint64(1) << rng.integers(0, 64, (20, 4)).astype(np.uint64)), rng.integers(0, 2**64, (200, 4), dtype=np.uint64)])
+    for step in (0, 1, 3):
+        index = mih.SubstringIndex(codes, codes.view(np.uint16), step)
+        for q in base:
+            parts = np.bitwise_count(codes.view(np.uint16) ^ q.view(np.uint16))
+            assert index.probe(q.view(np.uint16)).tolist() == np.flatnonzero(parts.min(axis=1) <= step).tolist()
+            far = np.bitwise_count(codes ^ q).sum(axis=1)
+            radius = 16 * (step + 1) - 1
+            assert index.within(q, q.view(np.uint16), radius).tolist() == np.flatnonzero(far <= radius).tolist()
+
+
+def recall(spark, rows, is_query):
+    """Recall against brute force, and the share of rows that queries probe and rerank."""
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    df = spark.createDataFrame([(int(i), [float(v) for v in w]) for i, w in zip(ids, x)], "vec_id long, embedding array<double>").repartition(4)
+    got = collections.defaultdict(set)
+    for r in mih.search(df, F.col("vec_id") % 20 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hasher = mih.Hasher(x[:8192], float(np.sqrt((x * x).sum(axis=1)).max()), 20)
+    codes = hasher.codes(x)
+    index = mih.SubstringIndex(codes, hasher.parts(codes), hasher.step)
+    hits, probed, reranked, asks = 0, 0, 0, ids[is_query(ids)]
+    for q in asks.tolist():
+        at = int(np.flatnonzero(ids == q)[0])
+        s = x @ x[at]
+        s[at] = -np.inf
+        hits += len(set(ids[np.lexsort((ids, -s))[:20]].tolist()) & got[q])
+        code = hasher.codes(x[at : at + 1], query=True)
+        probed += len(index.probe(hasher.parts(code)[0]))
+        reranked += len(index.within(code[0], hasher.parts(code)[0], hasher.radius))
+    n = len(asks) * len(ids)
+    print(f"recall {hits / 20 / len(asks):.3f}, step {hasher.step}, radius {hasher.radius} of {hasher.bits}, probed {probed / n:.3f}, reranked {reranked / n:.3f}")
+    return hits / 20 / len(asks), probed / n
+
+
+def test_recall_of_the_table(spark, sf):
+    """Unclustered vectors: neighbours nearly at right angles, so much is probed."""
+    rows = duckdb.sql(f"SELECT vec_id, embedding FROM '{sf.replace('sf0.001', 'sf0.01')}/embeddings.parquet' ORDER BY vec_id").fetchall()
+    found, _ = recall(spark, rows, lambda i: i % 20 == 0)
+    assert found >= 0.95
+
+
+def test_recall_of_clusters(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(100, 32))
+    rows = [(k, centres[k % 100] + 0.2 * rng.normal(size=32)) for k in range(4000)]
+    found, probed = recall(spark, rows, lambda i: i % 20 == 0)
+    assert found >= 0.95 and probed < 0.3

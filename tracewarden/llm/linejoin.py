@@ -16,8 +16,8 @@ without a word are left alone.
 4. Candidates are verified on their whole sets. Lines that may have more and no match yet are compared with all others of
    their words in a second round, chunk by chunk; it decides them exactly.
 
-Words are compared by 64-bit hashes: sums of random numbers drawn for each byte at each place, and XXH3 for words of more
-than ``TABULATED`` bytes. The order of lines is (doc_id, place in the text), then a hash of the set.
+Words are compared by 64-bit hashes: a chain of mixing steps over eight bytes at a time (one step can't map two words of up
+to eight bytes to one hash), and XXH3 for words of more than ``SHORT`` bytes. The order of lines is (doc_id, place in the text), then a hash of the set.
 
 Defined results: a null text stays null; repeated rows (same id, same text) are one document and get equal results; a null
 doc_id sorts first; texts keep the order of the lines that stay; an emptied text is the empty string; an empty table gives
@@ -38,8 +38,6 @@ from pyspark.sql import functions as F
 from tracewarden.llm.common import discard, key_or_min, materialize, shuffle_width, table
 
 THRESHOLD = 0.8
-#: Different words from which a line takes part.
-MIN_WORDS = 1
 #: Places of the table that counts words, of the one that counts postings, and bounds of the filter of sets to verify; they
 #: bound what is shipped to executors.
 COUNT_BITS, POSTING_BITS, FILTER_BITS = 20, 20, (20, 29)
@@ -54,12 +52,10 @@ CHUNK_BYTES = 1 << 20
 HELD_CHARS, HELD_SETS = 64 << 20, 200_000
 #: Postings of a task at about.
 TASK_POSTINGS = 4_000_000
-#: Words of up to so many bytes are hashed by a table.
-TABULATED = 32
+#: Words of up to so many bytes are hashed in arrays, eight bytes at a time.
+SHORT = 32
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
-_BYTES = np.random.default_rng(64).integers(0, 2**64, (TABULATED + 1) * 256, dtype=np.uint64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 def _mix(h: np.ndarray, salt: int) -> np.ndarray:
     h = (h + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
@@ -68,27 +64,46 @@ def _mix(h: np.ndarray, salt: int) -> np.ndarray:
     return h
 
 
+def eight_from(padded: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, but for the last eight places."""
+    return np.ndarray(len(padded) - 8, np.uint64, padded, 0, (1,))
+
+
+def equal_words(padded: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each word has the bytes of word other[k]."""
+    eight, sizes = eight_from(padded), ends - starts
+    equal = sizes == sizes[other]
+    for at in range(0, SHORT, 8):
+        long = np.flatnonzero(equal & (sizes > at))
+        mask = _MASKS[np.minimum(sizes[long] - at, 8)]
+        equal[long] = eight[starts[long] + at] & mask == eight[starts[other[long]] + at] & mask
+    for k in np.flatnonzero(equal & (sizes > SHORT) & (other != np.arange(len(other)))).tolist():
+        o = other[k]
+        equal[k] = np.array_equal(padded[starts[k] : ends[k]], padded[starts[o] : ends[o]])
+    return equal
+
+
 def word_spans(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The texts joined by line feeds, and start, end and hash of every word in them."""
-    buffer = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    space = _SPACE[buffer]
-    edges = np.flatnonzero(np.diff(np.r_[True, space].astype(np.int8)))
+    """The texts joined by line feeds and followed by eight zeros, and start, end and hash of every word in them."""
+    padded = np.frombuffer(b"\n".join(raw) + b"\n" + bytes(8), np.uint8)
+    buffer = padded[:-8]
+    space = (buffer == 32) | (buffer - np.uint8(9) < 5)
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if len(space) and not space[0]:
+        edges = np.r_[0, edges]
     starts, ends = edges[::2], edges[1::2]
-    if not len(starts):
-        return buffer, starts, ends, np.zeros(0, np.uint64)
-    n = len(buffer)
-    place = np.arange(n, dtype=np.int32)
-    place[starts[0] :] -= np.repeat(starts.astype(np.int32), np.diff(np.r_[starts, n]))
-    np.minimum(place, TABULATED, out=place)
-    place <<= 8
-    place |= buffer
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTES[place], out=sums[1:])
-    h = sums[ends] - sums[starts]
     sizes = ends - starts
-    for k in np.flatnonzero(sizes > TABULATED).tolist():
-        h[k] = xxhash.xxh3_64_intdigest(buffer[starts[k] : ends[k]].tobytes(), 64)
-    return buffer, starts, ends, _mix(h ^ sizes.astype(np.uint64), 1)
+    eight = eight_from(padded)
+    h = _mix(eight[starts] & _MASKS[np.minimum(sizes, 8)], 11)
+    h += sizes.astype(np.uint64)
+    for at in range(8, SHORT, 8):
+        long = np.flatnonzero(sizes > at)
+        if not len(long):
+            break
+        h[long] = _mix(h[long], 12) ^ _mix(eight[starts[long] + at] & _MASKS[np.minimum(sizes[long] - at, 8)], 13 + at)
+    for k in np.flatnonzero(sizes > SHORT).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(padded[starts[k] : ends[k]].tobytes(), 64)
+    return padded, starts, ends, _mix(h, 1)
 
 
 def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,7 +111,7 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     raw = [t.encode() for t in texts]
     buffer, starts, _, h = word_spans(raw)
     breaks = np.flatnonzero(buffer == 10)
-    lines = np.searchsorted(breaks, starts)
+    lines = np.repeat(np.arange(len(breaks)), np.diff(np.r_[0, np.searchsorted(starts, breaks)]))
     return h, lines, np.array([r.count(b"\n") + 1 for r in raw], np.int64)
 
 
@@ -137,32 +152,42 @@ class LineSets:
         new = np.r_[True, (h[1:] != h[:-1]) | (line[1:] != line[:-1])] if len(h) else np.zeros(0, bool)
         h, line = h[new], line[new]
         sizes = np.bincount(line, minlength=len(self.number)) if len(line) else np.zeros(len(self.number), np.int64)
-        wide = sizes >= MIN_WORDS
-        keep = wide[line] if len(line) else np.zeros(0, bool)
-        self.h, self.lines = h[keep], np.flatnonzero(wide)
-        self.sizes = sizes[wide]
+        self.h, self.lines = h, np.flatnonzero(sizes)
+        self.sizes = sizes[self.lines]
         self.starts = np.cumsum(self.sizes) - self.sizes
-        if len(self.starts):
-            self.s1 = np.add.reduceat(_mix(self.h, 2), self.starts)
+        self.bitmaps: list[np.ndarray] = []
+        if not len(self.starts):
+            self.s1 = self.s2 = np.zeros(0, np.uint64)
+            return
+        self.s1 = np.add.reduceat(_mix(self.h, 2), self.starts)
+        if rarity is not None:
             self.s2 = np.add.reduceat(_mix(self.h, 3), self.starts)
             spot = _mix(self.h, 4) >> np.uint64(57)  # one of 128 bits
             bit = np.uint64(1) << (spot & np.uint64(63))
-            self.bitmaps = [np.bitwise_xor.reduceat(np.where(spot >> np.uint64(6) == half, bit, np.uint64(0)), self.starts) for half in (0, 1)]
-        else:
-            self.s1 = self.s2 = np.zeros(0, np.uint64)
-            self.bitmaps = [self.s1, self.s1]
+            low = spot < 64
+            self.bitmaps = [np.bitwise_xor.reduceat(bit * half, self.starts) for half in (low, ~low)]
 
 
 def count_words(docs: DataFrame, parts=words_of) -> np.ndarray:
     """Rarity class of each place of the count table (an octave has eight), over all words of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2**COUNT_BITS, np.uint32)
+        total, held, n = np.zeros(2**COUNT_BITS, np.uint32), [], 0
+
+        def add_up() -> None:
+            np.add(total, np.bincount(np.concatenate(held), minlength=len(total)).astype(np.uint32), out=total)
+
         for b in batches:
             texts = [t or "" for t in b.column(0).to_pylist()]
             for i, j in _chunks(texts):
                 h, _, _ = parts(texts[i:j])
-                total += np.bincount((h >> np.uint64(64 - COUNT_BITS)).astype(np.int64), minlength=len(total)).astype(np.uint32)
+                held.append((h >> np.uint64(64 - COUNT_BITS)).astype(np.int32))
+                n += len(h)
+                if n >= 1 << 21:
+                    add_up()
+                    held, n = [], 0
+        if held:
+            add_up()
         segments = [total[a : a + _SEGMENT].tobytes() for a in range(0, len(total), _SEGMENT)]
         yield pa.RecordBatch.from_arrays([pa.array(range(len(segments)), pa.int32()), pa.array(segments, pa.binary())], names=["segment", "counts"])
 
@@ -461,8 +486,8 @@ def postings_by_word(blocks: DataFrame, names: list[str], chunks: np.ndarray, ev
     return blocks.drop("part", "postings").mapInArrow(run, "part int, blob binary").repartition(width, "part")
 
 
-def runs(batches: Iterator[pa.RecordBatch], names: list[str], order: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray] | None:
-    """Of a task's postings those whose word has others: columns sorted by word, block and `order`, and where each one's run starts."""
+def runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> dict[str, np.ndarray] | None:
+    """Of a task's postings those whose word has others (open ones, if that is told): columns sorted by run (word and block), size and s1."""
     kinds = [np.dtype(_POSTING[k]) for k in names]
     found = [_unpack(x.as_buffer(), kinds) for b in batches for x in b.column(1)]
     if not found:
@@ -473,14 +498,35 @@ def runs(batches: Iterator[pa.RecordBatch], names: list[str], order: list[str])
     by = np.argsort(key)
     same = key[by[1:]] == key[by[:-1]]
     by = by[np.r_[same, False] | np.r_[False, same]]
-    sort = [cols[k][by] for k in order] + [key[by]]
-    if order[-2:] == ["line", "sort_id"] and len(by) and sort[-2].min() >= 0 and sort[-2].max() < 2**39 and sort[-3].max() < 2**24:
-        sort[-3:-1] = [sort[-2] << 24 | sort[-3]]
-    by = by[np.lexsort(sort)]
-    key = key[by]
+    by = by[np.lexsort((cols["s1"][by], cols["n"][by], key[by]))]
     cols = {k: x[by] for k, x in cols.items()}
+    key = key[by]
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
-    return cols, np.repeat(starts, np.diff(np.r_[starts, len(key)]))
+    cols["run"] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(key)]))
+    use = np.ones(len(starts), bool)
+    if "open" in cols and len(starts):
+        use &= np.maximum.reduceat(cols["open"], starts) > 0
+    if "label" in cols and len(starts):
+        use &= np.minimum.reduceat(cols["label"], starts) != np.maximum.reduceat(cols["label"], starts)
+    return cols if use.all() else {k: x[use[cols["run"]]] for k, x in cols.items()}
+
+
+def neighbours(cols: dict[str, np.ndarray], threshold: float, full: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places i, j of all pairs of one run whose sizes may match, n[j] <= n[i]; the i marked as full come no more."""
+    run, n, s1 = cols["run"], cols["n"], cols["s1"]
+    least = np.ceil(threshold * n - 1e-9).astype(n.dtype)
+    live = np.arange(1, len(run))
+    lag = 0
+    while len(live):
+        lag += 1
+        live = live[np.searchsorted(live, lag) :]
+        other = live - lag
+        near = (run[live] == run[other]) & (n[other] >= least[live])
+        live, other = live[near], other[near]
+        differ = s1[live] != s1[other]
+        yield (live, other) if differ.all() else (live[differ], other[differ])
+        if full is not None:
+            live = live[~full[live]]
 
 
 _PAIRS = "a long, b long, ia long, ib long"
@@ -504,44 +550,39 @@ def _candidates(threshold: float, every: bool):
     names = [*_LINE_POSTING, *(["open"] if every else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealt = runs(batches, names, ["s1", "line", "sort_id"])
-        if dealt is None:
+        cols = runs(batches, names)
+        if cols is None:
             return
-        cols, start = dealt
         n, place, bits0, bits1, s1, ids = (cols[k] for k in ("n", "place", "bits0", "bits1", "s1", "sort_id"))
-        named, more = np.zeros(len(start), np.int16), np.zeros(len(start), bool)
-        if not every:
-            more |= cols["block"] > 0  # chunks met one other chunk only
-        live = np.arange(len(start))
-        live = live[live > start]
-        if every:
-            live = live[cols["open"][live] > 0]
+        first = cols["line"].astype(np.int64)
+        if len(n) and ids.min() >= 0 and ids.max() < 2**39 and first.max() < 2**24:
+            first |= ids << 24
+        else:
+            order = np.lexsort((first, ids))
+            step = (first[order[1:]] != first[order[:-1]]) | (ids[order[1:]] != ids[order[:-1]])
+            first[order] = np.cumsum(np.r_[0, step])[: len(n)]
+        named = np.zeros(len(n), np.int16)
+        more = (cols["block"] > 0) & (not every)  # chunks met one other chunk only
         out = []
-        k = 0
-        while len(live):
-            other = start[live] + k
-            left = other < live
-            live, other = live[left], other[left]
-            k += 1
-            na, nb = n[other], n[live]
-            fits = np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9
-            i, j = live[fits], other[fits]
-            na, nb = na[fits], nb[fits]
-            least = np.ceil(threshold / (1 + threshold) * (na + nb) - 1e-9)
-            fits = (1 + np.minimum(nb - place[i], na - place[j]) >= least) & (s1[i] != s1[j])
-            i, j, apart = i[fits], j[fits], (na + nb - 2 * least)[fits]
+        for i, j in neighbours(cols, threshold):
+            least = np.ceil(threshold / (1 + threshold) * (n[i] + n[j]) - 1e-9)
+            fits = 1 + np.minimum(n[i] - place[i], n[j] - place[j]) >= least
+            i, j, apart = i[fits], j[fits], (n[i] + n[j] - 2 * least)[fits]
             fits = np.bitwise_count(bits0[i] ^ bits0[j]) + np.bitwise_count(bits1[i] ^ bits1[j]) <= apart
             i, j = i[fits], j[fits]
-            out.append((j, i))
-            if not every and len(i):
-                named[i] += 1
-                full = i[named[i] >= NAMED]
-                more[full[start[full] + k < full]] = True
-                live = live[named[live] < NAMED]
-        i = np.concatenate([x for _, x in out] or [live])
-        j = np.concatenate([x for x, _ in out] or [live])
+            late = (first[i] > first[j]) | ((first[i] == first[j]) & (s1[i] > s1[j]))
+            later, earlier = np.where(late, i, j), np.where(late, j, i)
+            if every:
+                wanted = cols["open"][later] > 0
+            else:
+                wanted = named[later] < NAMED
+                more[later[~wanted]] = True
+                np.add.at(named, later[wanted], 1)
+            out.append((earlier[wanted], later[wanted]))
+        a = np.concatenate([x for x, _ in out] or [np.zeros(0, np.int64)])
+        b = np.concatenate([x for _, x in out] or [np.zeros(0, np.int64)])
         m = np.flatnonzero(more)
-        yield pairs_batch(s1[j].view(np.int64), s1[i].view(np.int64), ids[j], ids[i], s1[m].view(np.int64), ids[m])
+        yield pairs_batch(s1[a].view(np.int64), s1[b].view(np.int64), ids[a], ids[b], s1[m].view(np.int64), ids[m])
 
     return run
 

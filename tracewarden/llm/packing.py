@@ -21,12 +21,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewarden.llm.bpe import byte_alphabet
 from tracewarden.llm.common import materialize, table
-from tracewarden.llm.linejoin import _chunks, word_spans
+from tracewarden.llm.linejoin import _chunks, equal_words, word_spans
 
 CAPACITY = 4096
 #: Pieces a group holds at about: one task packs a group, so this bounds its memory and time.
@@ -101,6 +102,9 @@ class WordTokenizer:
         raw = [t.encode() for t in texts]
         buffer, starts, ends, h = word_spans(raw)
         _, first, which = np.unique(h, return_index=True, return_inverse=True)
+        apart = np.flatnonzero(~equal_words(buffer, starts, ends, first[which]))  # of words with equal hashes: stand for themselves
+        which[apart] = len(first) + np.arange(len(apart))
+        first = np.r_[first, apart]
         joined = buffer.tobytes()
         rare = np.r_[0, np.cumsum(buffer > 0xC8)]
         rare[1:-1] += np.cumsum((buffer[:-1] == ord("<")) & (buffer[1:] == ord("|")))
@@ -275,27 +279,30 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
 
 
 def _pack_groups(pieces: DataFrame, level: int, capacity: int, group_pieces: int) -> DataFrame:
-    """Adds sequence_id, place (the offset) and fill to pieces, group by group."""
+    """Adds sequence_id, place (the offset) and fill to pieces, group by group; rows are dealt in turn, a group a task."""
     n = pieces.count()
     groups = max(1, math.ceil(n / group_pieces))
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "fill"]
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
         lengths = rows.column("length").to_numpy()
         bins = pack_lengths(lengths, capacity)
         order = np.argsort(bins, kind="stable")
         ends = np.cumsum(lengths[order])
-        first = np.r_[True, np.diff(bins[order]) != 0] if len(order) else np.zeros(0, bool)
+        first = np.r_[True, np.diff(bins[order]) != 0][: len(order)]
         base = np.repeat(ends[first] - lengths[order][first], np.diff(np.r_[np.flatnonzero(first), len(order)]))
         offset = np.empty(len(order), np.int64)
         offset[order] = ends - lengths[order] - base
-        fill = np.bincount(bins, weights=lengths)[bins].astype(np.int64)
-        sequence = bins + (int(key[0].as_py()) << 32) + (level << 62)
-        return pa.table([*(rows.column(c) for c in names[:5]), pa.array(sequence), pa.array(offset), pa.array(fill)], names=names)
+        fill = np.bincount(bins, weights=lengths)[bins].astype(np.int64) if len(bins) else bins
+        sequence = bins + (TaskContext.get().partitionId() << 32) + (level << 62)
+        yield from pa.table([*(rows.column(c) for c in names[:5]), pa.array(sequence), pa.array(offset), pa.array(fill)], names=names).to_batches()
 
-    dealt = pieces.select("doc_id", "piece", "start", "length", "ids_crc32").withColumn("pack_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-    return dealt.groupBy("pack_group").applyInArrow(run, PIECES + ", sequence_id long, offset long, fill long")
+    dealt = pieces.select("doc_id", "piece", "start", "length", "ids_crc32").repartition(groups)
+    return dealt.mapInArrow(run, PIECES + ", sequence_id long, offset long, fill long")
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:

@@ -1,10 +1,13 @@
 """SimHash near-duplicates by pivot distance tables.
 
-A table of Hamming distances to reference fingerprints (pivots) is kept for each distinct fingerprint. By the triangle
-inequality two fingerprints within ``radius`` differ by at most ``radius`` in every coordinate, so a pair whose maximum
-coordinate difference is larger is discarded unseen; survivors are verified on the fingerprints themselves. Pairs are
-looked for only inside buckets: the 64 bits are cut into blocks, of which two fingerprints within the radius agree in
-all but ``radius``, and a bucket holds those that agree in one choice of blocks.
+A table of Hamming distances to reference fingerprints (pivots) is computed once, for each distinct fingerprint. By the
+triangle inequality two fingerprints within ``radius`` differ by at most ``radius`` in every coordinate, so a pair whose
+maximum coordinate difference is larger is discarded unseen; survivors are verified on the fingerprints themselves. The
+table can't be the key of a join: the distances of unrelated fingerprints to one pivot lie within the radius more often
+than not (0.57), so each coordinate would repeat rows as often as it thins pairs. Pairs are therefore looked for inside
+buckets: the 64 bits are cut into blocks, of which two fingerprints within the radius agree in all but ``radius``, and a
+bucket holds those that agree in one choice of blocks. Inside a bucket rows are sorted by the table, a window of its first
+coordinate is searched, and the other coordinates discard all but about one in ten thousand of the unrelated.
 
 A bucket emits a spanning forest of its links, never all pairs of a group; buckets beyond ``BUCKET_ROWS`` are cut into
 chunks and compared chunk by chunk over many tasks, so each link is still seen.
@@ -79,31 +82,40 @@ def _choices(n: int, radius: int) -> list[np.uint64]:
     return [np.uint64(sum(c)) for c in itertools.combinations(masks, blocks - radius)]
 
 
-def _bucket_rows(distinct: DataFrame, masks: list) -> DataFrame:
-    """key, fp for each choice of blocks; key is a hash of the choice and of the bits chosen (equal bits, equal key)."""
+def pivot_table(distinct: DataFrame) -> DataFrame:
+    """fp and its distances to all pivots, a byte each, in two longs; the first distance leads."""
+    far = [f"cast(bit_count(fp ^ {int(p.view(np.int64))}L) AS bigint)" for p in PIVOTS]
+    packed = [F.expr(" | ".join(f"shiftleft({f}, {56 - 8 * k})" for k, f in enumerate(far[i : i + 8]))) for i in (0, 8)]
+    return distinct.select("fp", packed[0].alias("far0"), packed[1].alias("far1"))
+
+
+def table_of(far0: np.ndarray, far1: np.ndarray) -> np.ndarray:
+    """The distances (a row a fingerprint) of the two longs."""
+    return np.stack([far0, far1], axis=1).astype(">i8").view(np.int8).reshape(-1, len(PIVOTS))
+
+
+def _bucket_rows(table_: DataFrame, masks: list) -> DataFrame:
+    """key, fp, far0, far1 for each choice of blocks; key is a hash of the choice and of the bits chosen (equal bits, equal key)."""
     signed = [int(np.int64(np.uint64(m).view(np.int64))) for m in masks]
     keys = F.array(*[F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m))) for k, m in enumerate(signed)])
-    return distinct.select("fp", F.explode(keys).alias("key"))
+    return table_.select("fp", "far0", "far1", F.explode(keys).alias("key"))
 
 
-def _links(a: np.ndarray, table_a: np.ndarray, b: np.ndarray, table_b: np.ndarray, radius: int) -> np.ndarray:
-    """For one fingerprint a against many b: the places of b within the radius."""
-    at = np.arange(len(b))
-    for p in range(len(PIVOTS)):
-        if not len(at):
-            break
-        if p and len(at) < 32:
-            break
-        at = at[np.abs(table_b[at, p] - table_a[p]) <= radius]
-    return at[np.bitwise_count(b[at] ^ a) <= radius]
+def survivors(table_a: np.ndarray, table_b: np.ndarray, radius: int) -> np.ndarray:
+    """Places of the rows of two tables (or of one row and a table) with no coordinate further apart than the radius."""
+    at = np.flatnonzero((np.abs(table_a[..., :4] - table_b[..., :4]) <= radius).all(axis=-1))
+    a = table_a[at] if table_a.ndim == 2 else table_a
+    return at[(np.abs(a[..., 4:] - table_b[at][..., 4:]) <= radius).all(axis=-1)]
 
 
-def _forest(fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Links that connect what is connected within one bucket: a breadth-first search that looks at the unreached alone."""
-    pivots = np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int16)
+def _forest(fps: np.ndarray, table_: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect what is connected within one bucket: a breadth-first search that looks at the unreached alone.
+
+    Rows are sorted by the table's first coordinate.
+    """
     out = []
     waiting, queue = np.ones(len(fps), bool), []
-    rest = np.arange(len(fps))
+    rest, lead = np.arange(len(fps)), table_[:, 0]
     while len(rest) or queue:
         if queue:
             i = queue.pop()
@@ -112,7 +124,9 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]
             waiting[i] = False
         if not len(rest):
             break
-        hit = rest[_links(fps[i], pivots[i], fps[rest], pivots[rest], radius)]
+        window = rest[np.searchsorted(lead[rest], lead[i] - radius) : np.searchsorted(lead[rest], lead[i] + radius, "right")]
+        hit = window[survivors(table_[i], table_[window], radius)]
+        hit = hit[np.bitwise_count(fps[hit] ^ fps[i]) <= radius]
         if len(hit):
             out.append((np.full(len(hit), fps[i]), fps[hit]))
             waiting[hit] = False
@@ -122,43 +136,41 @@ def _forest(fps: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]
 
 
 def _compare(radius: int):
-    """Over rows sorted by bucket: emits the links of each bucket as (a, b). A bucket is bounded, so is what is held."""
+    """Over rows sorted by bucket and table: emits the links of each bucket as (a, b). A bucket is bounded, so is what is held."""
 
-    def pairs_of(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def pairs_of(keys: np.ndarray, fps: np.ndarray, far0: np.ndarray, far1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found: list[tuple[np.ndarray, np.ndarray]] = []
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         sizes = np.diff(np.r_[starts, len(keys)])
-        small = np.repeat(sizes <= 24, sizes)
-        k, f = keys[small], fps[small]
-        table_of = np.bitwise_count(f[:, None] ^ PIVOTS[None, :]).astype(np.int16)
+        small = np.repeat((sizes > 1) & (sizes <= 24), sizes)
+        k, f, table_ = keys[small], fps[small], table_of(far0[small], far1[small])
         for lag in range(1, 24):  # all small buckets at once, neighbours at distance lag
-            if len(k) <= lag:
-                break
             at = np.flatnonzero(k[lag:] == k[:-lag])
             if not len(at):
                 break
-            for p in range(0, len(PIVOTS), 4):
-                at = at[np.abs(table_of[at, p : p + 4] - table_of[at + lag, p : p + 4]).max(axis=1, initial=0) <= radius]
+            at = at[survivors(table_[at], table_[at + lag], radius)]
             at = at[np.bitwise_count(f[at] ^ f[at + lag]) <= radius]
             found.append((f[at], f[at + lag]))
-        for s, n in zip(starts[sizes > 24], sizes[sizes > 24]):
-            found += _forest(fps[s : s + n], radius)
+        for s, n in zip(starts[sizes > 24].tolist(), sizes[sizes > 24].tolist()):
+            found += _forest(fps[s : s + n], table_of(far0[s : s + n], far1[s : s + n]), radius)
         return (np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])) if found else (fps[:0], fps[:0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        held = [np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)]
         for b in itertools.chain(batches, [None]):
             if b is not None:
-                keys = np.r_[keys, b.column(0).to_numpy()]
-                fps = np.r_[fps, b.column(1).to_numpy().view(np.uint64)]
-                if not len(keys):
+                fresh = [c.to_numpy() for c in b.columns]
+                fresh[1] = fresh[1].view(np.uint64)
+                held = [np.concatenate(x) for x in zip(held, fresh)]
+                keys = held[0]
+                if not len(keys) or keys[0] == keys[-1]:
                     continue
-                cut = int(np.searchsorted(keys != keys[-1], False)) if keys[0] == keys[-1] else len(keys) - int((keys[::-1] != keys[-1]).argmax())
+                cut = int(np.searchsorted(keys, keys[-1])) if (keys[1:] >= keys[:-1]).all() else len(keys) - int((keys[::-1] != keys[-1]).argmax())
             else:
-                cut = len(keys)
+                cut = len(held[0])
             if cut:
-                a, c = pairs_of(keys[:cut], fps[:cut])
-                keys, fps = keys[cut:], fps[cut:]
+                a, c = pairs_of(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64))], names=["a", "b"])
 
@@ -167,7 +179,7 @@ def _compare(radius: int):
 
 def near_links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     """Links a, b between distinct fingerprints that connect all that are within the radius of one another."""
-    rows = _bucket_rows(distinct, _choices(n, radius))
+    rows = _bucket_rows(materialize(pivot_table(distinct), "pivots"), _choices(n, radius))
     half = BUCKET_ROWS // 2
     hot = rows.groupBy("key").count().filter(F.col("count") > BUCKET_ROWS).select("key", F.ceil(F.col("count") / half).cast("int").alias("chunks"))
     marked = rows.join(hot, "key", "left")
@@ -176,7 +188,7 @@ def near_links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
     blocks = F.when(F.col("chunks").isNull(), F.array(F.col("key"))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.xxhash64(F.col("key"), F.least(own, j), F.greatest(own, j)))
     )
-    dealt = marked.select(F.explode(blocks).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
+    dealt = marked.select(F.explode(blocks).alias("key"), "fp", "far0", "far1").repartition("key").sortWithinPartitions("key", "far0", "far1")
     return dealt.mapInArrow(_compare(radius), "a long, b long").distinct()
 
 
@@ -244,43 +256,27 @@ def _meetings(threshold: float, every: bool):
     names = [*_MET, *(["open", "label"] if every else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dealt = linejoin.runs(batches, names, ["s1"])
-        if dealt is None:
+        cols = linejoin.runs(batches, names)
+        if cols is None:
             return
-        cols, start = dealt
         n, place, s1, ids = (cols[k] for k in ("n", "place", "s1", "sort_id"))
-        named, more = np.zeros(len(start), np.int16), np.zeros(len(start), bool)
-        live = np.arange(len(start))
-        live = live[live > start]
-        if every:
-            heads = np.unique(start)
-            mixed = np.minimum.reduceat(cols["label"], heads) != np.maximum.reduceat(cols["label"], heads) if len(heads) else np.zeros(0, bool)
-            live = live[(cols["open"][live] > 0) & mixed[np.searchsorted(heads, start[live])]]
-        else:
-            more |= cols["block"] > 0  # chunks met one other chunk only
+        named, full = np.zeros(len(n), np.int16), np.zeros(len(n), bool)
         out = []
-        k = 0
-        while len(live):
-            other = start[live] + k
-            left = other < live
-            live, other = live[left], other[left]
-            k += 1
-            na, nb = n[other], n[live]
-            fits = (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9) & (s1[other] != s1[live])
-            fits &= 1 + np.minimum(nb - place[live], na - place[other]) >= threshold / (1 + threshold) * (na + nb) - 1e-9
+        for i, j in linejoin.neighbours(cols, threshold, full):
+            fits = 1 + np.minimum(n[i] - place[i], n[j] - place[j]) >= threshold / (1 + threshold) * (n[i] + n[j]) - 1e-9
             if every:
-                fits &= cols["label"][live] != cols["label"][other]
-            i, j = live[fits], other[fits]
-            out.append((j, i))
-            if not every and len(i):
+                fits &= (cols["open"][i] > 0) & (cols["label"][i] != cols["label"][j])
+            i, j = i[fits], j[fits]
+            if not every:
+                left = named[i] < linejoin.NAMED
+                full[i[~left]] = True
+                i, j = i[left], j[left]
                 named[i] += 1
-                full = i[named[i] >= linejoin.NAMED]
-                more[full[start[full] + k < full]] = True
-                live = live[named[live] < linejoin.NAMED]
-        i = np.concatenate([x for _, x in out] or [live])
-        j = np.concatenate([x for x, _ in out] or [live])
-        m = np.flatnonzero(more)
-        yield linejoin.pairs_batch(s1[j].view(np.int64), s1[i].view(np.int64), ids[j], ids[i], s1[m].view(np.int64), ids[m])
+            out.append((j, i))
+        a = np.concatenate([x for x, _ in out] or [np.zeros(0, np.int64)])
+        b = np.concatenate([x for _, x in out] or [np.zeros(0, np.int64)])
+        m = np.flatnonzero(full | (cols["block"] > 0) & (not every))  # chunks met one other chunk only
+        yield linejoin.pairs_batch(s1[a].view(np.int64), s1[b].view(np.int64), ids[a], ids[b], s1[m].view(np.int64), ids[m])
 
     return run
 
