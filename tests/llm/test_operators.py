@@ -13,6 +13,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -136,6 +137,85 @@ def test_contexts_find_unseen(spark):
     assert pii.find_pii(documents(spark, [])).count() == 0
 
 
+def test_phones_are_found_by_context(spark):
+    """A phone is one instance, whatever blanks it holds; one without a plus is found after the same words."""
+    rows = [(k, f"please call me at +1 (0{k}7) 555-77{k}3 today") for k in range(10, 20)] + [(50, "please call me at (017) 555-7713 today"), (51, "please call me at 9 today")]
+    found = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in pii.find_pii(documents(spark, rows)).collect()}
+    assert found[50] == [(18, 3, 32)] and found[51] == [] and found[10] == [(18, 3, 37)]
+
+
+def test_many_matches(spark):
+    """Far more matches than a stride."""
+    text = " ".join(f"u{k}@x.org 10.0.{k % 256}.1" for k in range(3000))
+    row = pii.scan(documents(spark, [(1, text)])).first()
+    assert [tuple(s) for s in row["base"]] == base_spans(text)
+    assert [tuple(o) for o in row["found"]] == brute_occurrences(text)
+
+
+JAVA_S = "\t\n\x0b\x0c\r "
+TOKEN = regex.compile(rf"(?<![^{JAVA_S}])[^{JAVA_S}0-9@]*+[0-9@][^{JAVA_S}]*+(?: [(+]?[0-9][0-9().+-]*+(?![^{JAVA_S}]))*+")
+LEAD = r"\A(?:(?!\([0-9]++\)[ 0-9-])[^\p{L}\p{N}+@])*+"
+
+
+def brute_occurrences(text):
+    """start, end, value, one and two words before."""
+    out, last = [], 0
+    for m in TOKEN.finditer(text):
+        gap, last = text[last : m.start()], m.end()
+        core = regex.match(LEAD + r"(.*[\p{L}\p{N}])", m[0])
+        if not core or len(core[1]) < 4 or not re.search(r"@|[0-9].*[0-9]", core[1]):
+            continue
+        before = gap[-80:].lower()
+        one, two = regex.search(rf"([^{JAVA_S}]+)[{JAVA_S}]+\Z", before), regex.search(rf"([^{JAVA_S}]+[{JAVA_S}]+[^{JAVA_S}]+)[{JAVA_S}]+\Z", before)
+        out.append((m.start() + core.start(1), m.start() + core.end(1), core[1], one[1] if one else "", two[1] if two else ""))
+    return out
+
+
+def brute_spans(rows):
+    """All spans of each text by the same rounds over plain dictionaries."""
+    base = {i: base_spans(t) for i, t in rows}
+    occurrences, edges = [], {}
+    for i, t in rows:
+        for start, end, value, one, two in brute_occurrences(t or ""):
+            over = [k for a, k, b in base[i] if a < end and b > start]
+            seed = over[0] if over else -1
+            occurrences.append((i, start, end, value, seed))
+            for p in [f"1 {one}"] * bool(one) + [f"2 {two}"] * bool(two):
+                edges[p, value] = max(seed, edges.get((p, value), -1))
+    scores = {}
+    for _ in range(pii.ROUNDS):
+        of = collections.defaultdict(list)
+        for (p, v), seed in edges.items():
+            of[p].append(([float(seed == k) for k in range(4)] if seed >= 0 else scores.get(v, [0.0] * 4), seed))
+        strong = {}
+        for p, got in of.items():
+            c = [sum(s[k] for s, _ in got) / (len(got) + 1) for k in range(4)]
+            if len(got) >= pii.MIN_INSTANCES and sum(s >= 0 for _, s in got) >= pii.MIN_SEEDS and max(c) >= pii.MIN_CONFIDENCE:
+                strong[p] = [x if x >= pii.MIN_CONFIDENCE else 0.0 for x in c]
+        scores = {}
+        for (p, v), seed in edges.items():
+            if seed < 0 and p in strong:
+                scores[v] = [1 - (1 - a) * (1 - b) for a, b in zip(scores.get(v, [0.0] * 4), strong[p])]
+        scores = {v: [x if re.search(pii.SHAPES[kind].replace("*+", "*"), v) else 0.0 for x, kind in zip(s, pii.KINDS)] for v, s in scores.items()}
+    added = collections.defaultdict(set)
+    for i, start, end, value, seed in occurrences:
+        best = max(scores.get(value, [0.0]))
+        if seed < 0 and best >= pii.MIN_SCORE:
+            added[i].add((start, scores[value].index(best), end))
+    return {i: spans_text(sorted(added[i] | set(base[i]))) for i, _ in rows}
+
+
+def test_all_spans_by_brute_force(spark, docs):
+    """The rounds over all documents, with some identifiers defaced, so that only contexts can find them."""
+    rng = random.Random(9)
+    rows = [(i, re.sub(r"@|\+(?=[0-9])", lambda m: "" if m[0] == "+" else m[0], t) if t and rng.random() < 0.3 else t) for i, t, _ in docs]
+    cards = [c for c in (f"45395787636{k:05d}" for k in range(400)) if luhn(c)]
+    rows += [(1000 + k, f"my card number is 4539-57XX-6214-9{k} ok") for k in range(6)] + [(2000 + k, f"my card number is {c}") for k, c in enumerate(cards)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(documents(spark, rows)).select("doc_id", pii.spans_text("spans").alias("spans")).collect()}
+    want = brute_spans(rows)
+    assert got == want and any(want[i] != spans_text(base_spans(t)) for i, t in rows)
+
+
 # --- chat
 
 

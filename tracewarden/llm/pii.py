@@ -30,8 +30,12 @@ PATTERNS = {
     "card": ("rlike({t}, '[0-9]')", r"[0-9](?:[ -]?[0-9])++", "length(translate({m}, ' -', '')) BETWEEN 14 AND 19 AND luhn_check(translate({m}, ' -', ''))"),
     "phone": ("contains({t}, '+')", r"\+[0-9][ ().0-9-]+[0-9]", "length(translate({m}, '+ ().-', '')) BETWEEN 10 AND 15"),
 }
-#: Identifier-like tokens: words with a digit or an at sign.
-_TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
+#: Identifier-like tokens: words with a digit or an at sign, and the groups of digits that follow one, a blank apart.
+_TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?: [(+]?[0-9][0-9().+-]*+(?!\S))*+"
+#: What a token's value begins after: signs, but for a plus and for digits in parentheses that more digits follow.
+_LEAD = r"\A(?:(?!\([0-9]++\)[ 0-9-])[^\p{L}\p{N}+@])*+"
+#: Matches that are walked over at once.
+_STRIDE = 256
 _SPAN = "array<struct<start: bigint, kind: int, end: bigint>>"
 _OCCURRENCE = "array<struct<start: bigint, end: bigint, value: string, one: string, two: string>>"
 
@@ -50,7 +54,10 @@ def _walk(text: str, guard: str, pattern: str, kind: str, item: str, keep: str)
     step = f"named_struct('p', a.p + length(z.g) + coalesce(length(z.m), 0), 'o', CASE WHEN z.m IS NOT NULL AND {keep} THEN concat(a.o, array({item})) ELSE a.o END)"
     pieces = f"zip_with({split}, {found}, (g, m) -> named_struct('g', g, 'm', m))"  # the last piece has no match after it
     empty = f"cast(array() AS {kind})"
-    return F.expr(f"CASE WHEN {guard} THEN aggregate({pieces}, named_struct('p', 0L, 'o', {empty}), (a, z) -> {step}, a -> a.o) ELSE {empty} END")
+    # stride by stride, so that an item is copied with the others of its stride only, and not with all before it
+    inner = f"aggregate(slice(w, k * {_STRIDE} + 1, {_STRIDE}), named_struct('p', c.p, 'o', {empty}), (a, z) -> {step}, a -> named_struct('p', a.p, 'o', concat(c.o, array(a.o))))"
+    outer = f"aggregate(sequence(0, (size(w) - 1) div {_STRIDE}), named_struct('p', 0L, 'o', cast(array() AS array<{kind}>)), (c, k) -> {inner}, c -> flatten(c.o))"
+    return F.expr(f"CASE WHEN {guard} THEN element_at(transform(array({pieces}), w -> {outer}), 1) ELSE {empty} END")
 
 
 def base_spans(text: str, kind: str) -> Column:
@@ -62,8 +69,8 @@ def base_spans(text: str, kind: str) -> Column:
 
 def occurrences(text: str) -> Column:
     """Identifier-like tokens with their bounds, value, and the one and two words before them (lower case)."""
-    lead = r"regexp_extract(z.m, r'\A[^\p{L}\p{N}+@]*+', 0)"
-    core = r"regexp_extract(z.m, r'\A[^\p{L}\p{N}+@]*+(.*[\p{L}\p{N}])', 1)"
+    lead = f"regexp_extract(z.m, r'{_LEAD}', 0)"
+    core = f"regexp_extract(z.m, r'{_LEAD}(.*[\\p{{L}}\\p{{N}}])', 1)"
     before = "lower(right(z.g, 80))"
     item = (
         f"named_struct('start', a.p + length(z.g) + length({lead}), 'end', a.p + length(z.g) + length({lead}) + length({core}), 'value', {core}, "
