@@ -1,13 +1,15 @@
 """Deterministic sharded WARC archives: range-sorted records, files rolled by compressed size, commit by manifest.
 
 Rows are range-partitioned by page_id and sorted within; each task writes its records, one gzip member a record, into
-files under a temporary name and rolls to the next file once the compressed size is reached. A task reports its files;
-the driver renames those that were reported, and only those, and writes the manifest last: files of failed or repeated
-attempts keep their temporary names, and a reader takes what the manifest lists. Headers (record ids, lengths, SHA-256
-digests) are derived from the record alone, so equal input gives equal bytes.
+files of a temporary folder and rolls to the next file once the compressed size is reached. A task reports its files; the
+report is written once, and tasks over it move the files that it lists, and only those, to their names. Their rows, in the
+folder ``manifest``, are the commit: a reader takes what they list, and files of failed or repeated attempts go with the
+temporary folder. Headers (record ids, lengths, SHA-256 digests) are derived from the record alone, so equal input dealt
+into equal ranges (they follow from the number of shards and Spark's sample of the ids) gives equal bytes.
 
 Of pages with equal payloads of at least ``REVISIT_BYTES`` the one with the smallest page_id is a response, the others
-are revisits of it. Payload groups are counted and joined with salt, so a payload that most pages share stays dealt out.
+are revisits of it. A payload that more than one page in ``HEAVY`` has is joined in as many parts as its share asks for;
+there are fewer than ``HEAVY`` such payloads, whatever the table.
 
 Defined results: a null html is the empty payload; a null page_id sorts first and is never referred to while another
 page has the payload; repeated rows with one page_id are each written, the copies being revisits of their own id; null
@@ -21,7 +23,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import itertools
-import json
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -29,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewarden.llm.common import key_or_min, shared_dir, shuffle_width, table
+from tracewarden.llm.common import discard, key_or_min, materialize, shared_dir, shuffle_width, table
 
 REVISIT_BYTES = 100
 ROLL_BYTES = 64 << 20
-SALTS = 16
+#: A payload of more than 1 / HEAVY of all pages (and of LEAST_HEAVY) is heavy.
+HEAVY, LEAST_HEAVY = 10_000, 1000
 DATE = "2024-01-01T00:00:00Z"
 _FILES = "name string, temporary string, records long, bytes long, first_page long, last_page long, sha256 string"
 _RECORDS = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -109,14 +112,17 @@ def find_revisits(pages: DataFrame) -> DataFrame:
     """
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     each = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(payload, 256).alias("digest"), F.length(payload).alias("n")).filter(F.col("n") >= REVISIT_BYTES)
-    groups = each.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
-    salted = groups.select("digest", "refers_to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    rows = each.select("page_id", "digest", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    groups = materialize(each.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1"), "payloads")
+    part = max(LEAST_HEAVY, (groups.agg(F.sum("n")).first()[0] or 0) // HEAVY)
+    heavy = F.broadcast(groups.filter(F.col("n") > part).select("digest", F.ceil(F.col("n") / part).cast("int").alias("salts")))  # HEAVY rows at most
+    own = F.pmod(F.xxhash64("page_id"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt")
+    salted = groups.join(heavy, "digest", "left").select("digest", "refers_to", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    rows = each.join(heavy, "digest", "left").select("page_id", "digest", own)
     return rows.join(salted, ["digest", "salt"]).select("page_id", "digest", "refers_to").distinct()
 
 
-def write_archives(pages: DataFrame, folder: str, shards: int, roll_bytes: int = ROLL_BYTES) -> list[dict]:
-    """Write all pages into folder and commit; the manifest's entries, one a file."""
+def write_archives(pages: DataFrame, folder: str, shards: int, roll_bytes: int = ROLL_BYTES) -> DataFrame:
+    """Write all pages into folder and commit; the manifest, a row a file."""
     spark = pages.sparkSession
     links = find_revisits(pages)
     body = pages.select(F.col("page_id").cast("long").alias("page_id"), F.lit(1).alias("is_page"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("refers_to"))
@@ -125,6 +131,9 @@ def write_archives(pages: DataFrame, folder: str, shards: int, roll_bytes: int =
     # the notes of a page sort before its row: one range shuffle brings both together
     dealt = merged.repartitionByRange(shards, "sort_id").sortWithinPartitions("sort_id", "is_page", "html", "url").drop("sort_id")
 
+    schema = pa.schema([(n, pa.int64() if k == "long" else pa.string()) for n, k in (x.split() for x in _FILES.split(", "))])
+    aside = f"_temporary-{uuid.uuid4().hex}"
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
         attempt = uuid.uuid4().hex
@@ -160,7 +169,7 @@ def write_archives(pages: DataFrame, folder: str, shards: int, roll_bytes: int =
                     revisit = key in notes and not first
                     record = encode_record(page_id, url or "", payload, notes.get(key), revisit)
                     if out is None:
-                        temporary = f"_temporary-{attempt}-{len(files):05d}"
+                        temporary = f"{aside}/{attempt}-{len(files):05d}"
                         out = fs.open_output_stream(f"{root}/{temporary}")
                         current = {"temporary": temporary, "records": 0, "bytes": 0, "first_page": page_id, "last_page": page_id, "hash": hashlib.sha256()}
                     out.write(record)
@@ -174,36 +183,41 @@ def write_archives(pages: DataFrame, folder: str, shards: int, roll_bytes: int =
         finally:
             if out is not None:
                 out.close()
-        names = [x.split()[0] for x in _FILES.split(", ")]
         if files:
-            yield pa.RecordBatch.from_pylist([{k: f[k] for k in names} for f in files], schema=pa.schema([(n, pa.int64() if k == "long" else pa.string()) for n, k in (x.split() for x in _FILES.split(", "))]))
+            yield pa.RecordBatch.from_pylist([{k: f[k] for k in schema.names} for f in files], schema=schema)
+
+    def put_in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = filesystem(folder)
+        for b in batches:
+            for f in b.to_pylist():
+                try:
+                    fs.move(f"{root}/{f['temporary']}", f"{root}/{f['name']}")
+                except OSError:  # a lost attempt of this task may have moved it
+                    if fs.get_file_info(f"{root}/{f['name']}").size != f["bytes"]:
+                        raise
+            yield b
 
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(folder)
     hadoop = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    hadoop.mkdirs(at)
-    manifest = [r.asDict() for r in dealt.mapInArrow(run, _FILES).collect()]  # one row a file
-    manifest.sort(key=lambda f: (f["first_page"] is not None, f["first_page"] or 0, f["name"]))
-    for k, f in enumerate(manifest):
-        f["name"] = f"{k:06d}-{f['name']}"
-        if not hadoop.rename(jvm.org.apache.hadoop.fs.Path(at, f.pop("temporary")), jvm.org.apache.hadoop.fs.Path(at, f["name"])):
-            raise OSError(f"{f['name']} could not be put in place")
-    draft = jvm.org.apache.hadoop.fs.Path(at, "_temporary-manifest.json")
-    stream = hadoop.create(draft, True)
-    stream.write(bytearray(json.dumps(manifest, sort_keys=True).encode()))
-    stream.close()
-    hadoop.rename(draft, jvm.org.apache.hadoop.fs.Path(at, "manifest.json"))
-    for status in hadoop.listStatus(at):  # what failed attempts left
-        if status.getPath().getName().startswith("_temporary-"):
-            hadoop.delete(status.getPath(), False)
-    return manifest
-
-
-def read_archives(spark: SparkSession, folder: str, manifest: list[dict], payloads: bool = False) -> DataFrame:
-    """The records of the files that the manifest lists, one task a file."""
-    names = pa.array([f["name"] for f in manifest], pa.string()).to_pylist()
-    width = max(1, min(len(names), 4096))
-    listed = spark.createDataFrame([(n,) for n in names], "name string").repartition(width) if names else spark.createDataFrame([], "name string")
+    hadoop.mkdirs(jvm.org.apache.hadoop.fs.Path(at, aside))
+    report = materialize(dealt.mapInArrow(run, _FILES), "report")  # written once: what it lists is what was closed
+    width = max(1, min(shards, math.ceil(report.count() / 100)))
+    moved = report.repartition(width, "name").mapInArrow(put_in_place, _FILES).drop("temporary")
+    moved.write.mode("overwrite").parquet(f"{folder}/manifest")
+    hadoop.delete(jvm.org.apache.hadoop.fs.Path(at, aside), True)
+    discard(report)
+    return read_manifest(spark, folder)
+
+
+def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(_FILES).parquet(f"{folder}/manifest").drop("temporary")
+
+
+def read_archives(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
+    """The records of the files that the manifest lists, a file a task up to 4096 tasks."""
+    listed = read_manifest(spark, folder).select("name")
+    listed = listed.repartition(max(1, min(listed.count(), 4096)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
@@ -226,8 +240,8 @@ def op7_warc_archives(spark, sf_dir: str) -> DataFrame:
     """All pages written to archives in the shared folder and read back."""
     pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
     folder = shared_dir(spark, "warc")
-    manifest = write_archives(pages, folder, shuffle_width(spark))
-    return read_archives(spark, folder, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    write_archives(pages, folder, shuffle_width(spark))
+    return read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE_SQL = {
