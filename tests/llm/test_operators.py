@@ -80,6 +80,8 @@ def test_language_awkward(spark):
     assert all(r["lang_pred"] == "und" for r in out if not any(c.isalpha() for c in r["text"] or ""))
     assert langid.predict(df.select("doc_id", "text"), langid.fit(df.limit(0))).filter("lang_pred <> 'und'").isEmpty()
     assert langid.predict(df.limit(0).select("doc_id", "text"), model).count() == 0
+    clash = langid.predict(df.withColumn("lang_pred", F.lit(1)), model)
+    assert clash.columns.count("score") == clash.columns.count("lang_pred") == 1 and clash.count() == len(AWKWARD)
 
 
 # --- personal data
@@ -481,19 +483,32 @@ def test_warc(spark, tmp_path):
     big = "<p>" + "x" * 500
     rows = [(3, "http://a", big), (1, "http://b", big), (2, None, None), (4, "u", "small"), (5, "u", "small"), (None, "n", big), (6, "u", LONG), (7, "u", "é" * 99), (7, "u", "é" * 99), (8, "u\r\nX: y", "")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash")).withColumn("refers_to", F.lit(9))
-    manifest = warc.write_archives(pages, f"file://{tmp_path}/a", 3, roll_bytes=400)
+    manifest = warc.write_archives(pages, f"file://{tmp_path}/a", 3, roll_bytes=400).orderBy("name").collect()
     assert len(manifest) > 3 and sum(f["records"] for f in manifest) == len(rows)
-    assert not [f for f in os.listdir(tmp_path / "a") if f.startswith("_temporary")] and (tmp_path / "a/manifest.json").exists()
-    again = warc.write_archives(pages, f"file://{tmp_path}/b", 3, roll_bytes=400)
+    assert not [f for f in os.listdir(tmp_path / "a") if f.startswith("_temporary")] and (tmp_path / "a/manifest/_SUCCESS").exists()
+    assert all(os.path.getsize(tmp_path / "a" / f["name"]) == f["bytes"] for f in manifest)
+    again = warc.write_archives(pages, f"file://{tmp_path}/b", 3, roll_bytes=400).orderBy("name").collect()
     assert [f["sha256"] for f in again] == [f["sha256"] for f in manifest], "equal input, equal bytes"
-    got = warc.read_archives(spark, f"file://{tmp_path}/a", manifest, payloads=True).collect()
+    got = warc.read_archives(spark, f"file://{tmp_path}/a", payloads=True).collect()
     kinds = sorted((r["page_id"] or 0, r["record_type"], r["refers_to"]) for r in got)
     assert kinds == sorted([(0, "revisit", 1), (1, "response", None), (2, "response", None), (3, "revisit", 1), (4, "response", None), (5, "response", None), (6, "response", None), (7, "response", None), (7, "revisit", 7), (8, "response", None)], key=lambda x: x[:2])
     assert {r["payload"].decode() for r in got if r["record_type"] == "response"} == {h or "" for _, _, h in rows}
     for r in got:
         if r["payload"] is not None:
             assert r["payload_digest"] == hashlib.sha256(r["payload"]).hexdigest()
-    assert warc.read_archives(spark, f"file://{tmp_path}/c", warc.write_archives(pages.limit(0), f"file://{tmp_path}/c", 2)).count() == 0
+    warc.write_archives(pages.limit(0), f"file://{tmp_path}/c", 2)
+    assert warc.read_archives(spark, f"file://{tmp_path}/c").count() == 0
+
+
+def test_heavy_payloads(spark, monkeypatch):
+    """A payload that a third of all pages have is joined in parts, and each page is noted once."""
+    monkeypatch.setattr(warc, "LEAST_HEAVY", 7)
+    rows = [(k, "u", ("hot" if k % 3 == 0 else f"pair {k // 6}") * 60) for k in range(300)]
+    got = {r["page_id"]: r["refers_to"] for r in warc.find_revisits(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    first: dict = {}
+    for k, _, h in rows:
+        first.setdefault(h, []).append(k)
+    assert got == {k: ks[0] for ks in first.values() if len(ks) > 1 for k in ks}
 
 
 # --- packing

@@ -6,7 +6,7 @@ bounded sample (``PER_LANGUAGE`` documents of each language) by follow-the-regul
 penalties; a part of the sample that the fit doesn't see calibrates the temperature of the probabilities.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter, and if there is nothing to learn from;
-a null doc_id is never learned from; repeated rows get equal results; an empty table gives no rows.
+a null doc_id is never learned from; columns named score or lang_pred are replaced; repeated rows get equal results; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ FEATURES = 2**15
 ORDERS = (1, 2, 3)
 #: The fit sees at most so many documents of a language, of which one in CALIBRATE serves for calibration alone.
 PER_LANGUAGE, CALIBRATE = 500, 5
+#: Languages that are learned at most, the most frequent first: with them the model has a bound.
+LANGUAGES = 256
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.5
 UNKNOWN = "und"
@@ -162,7 +164,8 @@ def held_out() -> Column:
 def fit(training: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """A model from rows with doc_id, text and lang. Nothing but the sample's n-gram counts reaches the driver."""
     training = training.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    totals = {r["lang"]: r["count"] for r in training.groupBy("lang").count().collect()}
+    most = training.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    totals = {r["lang"]: r["count"] for r in most.collect()}
     if not totals:
         return Model([], np.zeros(FEATURES))
     df, n = document_frequencies(training)
@@ -170,6 +173,7 @@ def fit(training: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     model = Model(sorted(totals), idf)
     share = F.create_map(*[x for k, v in sorted(totals.items()) for x in (F.lit(k), F.lit(min(1.0, per_language / v)))])[F.col("lang")]
     chance = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(3)), F.lit(1_000_000)) / 1_000_000
+    training = training.filter(F.col("lang").isin(*totals))
     sample = training.filter(chance < share).select("doc_id", "lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,6 +206,7 @@ def fit(training: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs (which has a text) with lang_pred and score. The model is bounded by languages x FEATURES."""
+    docs = docs.drop("lang_pred", "score")
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     names, at = docs.columns, docs.columns.index("text")
 
