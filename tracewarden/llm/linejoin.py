@@ -675,7 +675,8 @@ def verified(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
 def _matched(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """s1 of the later sets of the pairs that match: the first candidate of each decides most, the others the rest."""
     sets = needed_sets(docs, pairs)
-    one = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "one")
+    # any of its candidates, so that no set stands first in all pairs of a group
+    one = materialize(pairs.groupBy("b").agg(F.min_by("a", F.xxhash64("a", "b")).alias("a")).select("a", "b"), "one")
     found = materialize(verified(sets, one, threshold).select(F.col("b").alias("s1")).distinct(), "matched")
     rest = pairs.select("a", "b").join(found.withColumnRenamed("s1", "b"), "b", "left_anti").join(one, ["a", "b"], "left_anti")
     late = materialize(verified(sets, rest, threshold).select(F.col("b").alias("s1")).distinct(), "matched")
@@ -730,7 +731,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     keyed = docs.withColumn("_line_sort_id", key_or_min("doc_id")).withColumn("_line_tie", F.xxhash64(text))
     gone = later_matches(keyed.select(F.col("_line_sort_id").alias("sort_id"), F.col("_line_tie").alias("tie"), text.alias("text")), threshold)
     gone = gone.select(F.col("sort_id").alias("_line_sort_id"), F.col("tie").alias("_line_tie"), F.col("gone").alias("_line_gone"))
-    joined = keyed.join(gone, ["_line_sort_id", "_line_tie"], "left")
+    joined = keyed.join(gone.hint("shuffle_hash"), ["_line_sort_id", "_line_tie"], "left")  # texts needn't be sorted
     kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains("_line_gone", i)), "\n")
     changed = joined.withColumn("text", F.when(F.col("_line_gone").isNull(), F.col("text")).otherwise(kept))
     lost = F.when(F.col("_line_gone").isNull(), 0).otherwise(F.size("_line_gone")).cast("long").alias("lines_gone")

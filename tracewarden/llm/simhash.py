@@ -291,7 +291,7 @@ def _met(dealt: DataFrame, threshold: float, every: bool) -> DataFrame:
 def _alike(docs: DataFrame, pairs: DataFrame, threshold: float, parts) -> DataFrame:
     """Links a, b among the pairs that connect all that match on whole sets: one pair of each set, then those still apart."""
     sets = linejoin.needed_sets(docs, pairs, parts)
-    one = materialize(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "one")
+    one = materialize(pairs.groupBy("b").agg(F.min_by("a", F.xxhash64("a", "b")).alias("a")).select("a", "b"), "one")
     links = materialize(linejoin.verified(sets, one, threshold), "alike")
     rest = _labelled(pairs.select("a", "b").join(one, ["a", "b"], "left_anti"), links, "a", "b").filter("label_a != label_b")
     late = materialize(linejoin.verified(sets, rest, threshold), "alike")
