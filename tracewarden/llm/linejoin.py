@@ -677,11 +677,12 @@ def _matched(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     sets = needed_sets(docs, pairs)
     # any of its candidates, so that no set stands first in all pairs of a group
     one = materialize(pairs.groupBy("b").agg(F.min_by("a", F.xxhash64("a", "b")).alias("a")).select("a", "b"), "one")
-    found = materialize(verified(sets, one, threshold).select(F.col("b").alias("s1")).distinct(), "matched")
+    # written as joined: where a set has many candidates, the join may then be split
+    found = materialize(verified(sets, one, threshold).select(F.col("b").alias("s1")), "matched")
     rest = pairs.select("a", "b").join(found.withColumnRenamed("s1", "b"), "b", "left_anti").join(one, ["a", "b"], "left_anti")
-    late = materialize(verified(sets, rest, threshold).select(F.col("b").alias("s1")).distinct(), "matched")
+    late = materialize(verified(sets, rest, threshold).select(F.col("b").alias("s1")), "matched")
     discard(sets, one)
-    return found.union(late)
+    return found.union(late).distinct()
 
 
 def _first_places(blocks: DataFrame, removed: DataFrame, n_parts: int) -> DataFrame:
