@@ -127,7 +127,7 @@ def first_trajectories(spark, sf_dir):
     return src.first_trajectories(day(spark, sf_dir), 25).select("trajectory_id", "ts", "seq")
 
 
-@query()
+@query(f"WITH {DAY} SELECT trajectory_id, ts, seq FROM loc WHERE trajectory_id IN (SELECT trajectory_id FROM (SELECT DISTINCT trajectory_id FROM loc) ORDER BY md5(trajectory_id || ':7'), trajectory_id LIMIT 50)")
 def sample_trajectories(spark, sf_dir):
     return src.sample_trajectories(day(spark, sf_dir), 50, seed=7).select("trajectory_id", "ts", "seq")
 
@@ -145,18 +145,29 @@ def occupied_trips(spark, sf_dir):
     return raw.occupied_trips(log, raw.in_time_of_day(F.col("ts"), "06:00:00", "22:00:00")).select("trajectory_id", "user_id", "ts", "seq")
 
 
-@query()
+def _thinned(rule: str, session: str) -> str:
+    """Points kept and sessions of at least five, by a walk over each user's rows; rule and session are of r (the row) and w (the last kept)."""
+    return f"""WITH RECURSIVE {USER}, r AS (SELECT user_id, ts, seq, lon, lat, row_number() OVER (PARTITION BY user_id ORDER BY ts, seq) AS i FROM loc),
+w(user_id, i, ts, lon, lat, session, keep) AS (SELECT user_id, i, ts, lon, lat, 0::BIGINT, true FROM r WHERE i = 1 UNION ALL
+ SELECT user_id, i, CASE WHEN keep THEN t ELSE ts END, CASE WHEN keep THEN x ELSE lon END, CASE WHEN keep THEN y ELSE lat END, session, keep FROM
+ (SELECT w.user_id, r.i, w.ts, w.lon, w.lat, r.ts AS t, r.lon AS x, r.lat AS y, {session} AS session, {rule} AS keep FROM w JOIN r ON w.user_id = r.user_id AND r.i = w.i + 1)),
+k AS (SELECT r.*, w.session, count(*) OVER (PARTITION BY w.user_id, w.session) AS n FROM w JOIN r USING (user_id, i) WHERE w.keep),
+ids AS (SELECT user_id, session, row_number() OVER (ORDER BY user_id, min(ts), session) AS trajectory_id FROM k WHERE n >= 5 GROUP BY 1, 2)
+SELECT trajectory_id, user_id, ts, seq, round(lon, 8) AS lon, round(lat, 8) AS lat FROM k JOIN ids USING (user_id, session) WHERE n >= 5"""
+
+
+@query(_thinned(f"r.ts - w.ts >= 129600 OR (abs(r.ts - w.ts) >= 30 AND {hav('w.lon', 'w.lat', 'r.lon', 'r.lat')} * 1000 >= 100)", "w.session + (r.ts - w.ts >= 129600)::BIGINT"))
 def thinned_taxi_log(spark, sf_dir):
     """Taxi logs: gaps split, points near the last kept point go; five points at least."""
     thin = raw.thin(user(spark, sf_dir).select("user_id", "ts", "seq", "lon", "lat"), ["user_id"], 30, 36 * 3600, 100, gap_open=False)
-    return raw.number_sessions(thin, ["user_id"], 5)
+    return rounded(raw.number_sessions(thin, ["user_id"], 5), 8)
 
 
-@query()
+@query(_thinned("r.ts - w.ts >= 3600", "w.session + (r.ts - w.ts > 129600)::BIGINT"))
 def thinned_point_log(spark, sf_dir):
     """Point logs: gaps split, points too soon after the last kept go; five points at least."""
     thin = raw.thin(user(spark, sf_dir).select("user_id", "ts", "seq", "lon", "lat"), ["user_id"], 3600, 36 * 3600)
-    return raw.number_sessions(thin, ["user_id"], 5)
+    return rounded(raw.number_sessions(thin, ["user_id"], 5), 8)
 
 
 # --- scalar functions
@@ -405,13 +416,17 @@ def quadtree_cells(spark, sf_dir):
     return quadtree.cells(day(spark, sf_dir), 5).select("depth", "cx", "cy", "n")
 
 
-@query(
-    f"""WITH RECURSIVE {DAY}, {_FRAME}, kids AS (SELECT depth - 1 AS depth, cx // 2 AS cx, cy // 2 AS cy, min(n) AS least FROM cells GROUP BY ALL),
+_SECTORS = f"""{DAY}, {_FRAME}, kids AS (SELECT depth - 1 AS depth, cx // 2 AS cx, cy // 2 AS cy, min(n) AS least FROM cells GROUP BY ALL),
 flagged AS (SELECT c.*, coalesce(k.least >= 5, false) AS splits FROM cells c LEFT JOIN kids k USING (depth, cx, cy)),
 walk AS (SELECT depth, cx, cy, n, splits FROM flagged WHERE depth = 0 UNION ALL
  SELECT f.depth, f.cx, f.cy, f.n, f.splits FROM walk k JOIN flagged f ON k.splits AND f.depth = k.depth + 1 AND f.cx // 2 = k.cx AND f.cy // 2 = k.cy),
-b AS (SELECT q.w + cx * ((q.e - q.w) / pow(2, depth)) AS min_lon, q.s + cy * ((q.n - q.s) / pow(2, depth)) AS min_lat, q.w + (cx + 1) * ((q.e - q.w) / pow(2, depth)) AS max_lon, q.s + (cy + 1) * ((q.n - q.s) / pow(2, depth)) AS max_lat, k.n AS n_locations FROM walk k, q WHERE NOT splits AND k.n >= 5)
-SELECT {six('min_lon', 'min_lat', 'max_lon', 'max_lat')}, n_locations, round(n_locations / (({merc_x('max_lon')} - {merc_x('min_lon')}) * ({merc_y('max_lat')} - {merc_y('min_lat')})), 6) AS density FROM b"""
+b AS (SELECT q.w + cx * ((q.e - q.w) / pow(2, depth)) AS min_lon, q.s + cy * ((q.n - q.s) / pow(2, depth)) AS min_lat, q.w + (cx + 1) * ((q.e - q.w) / pow(2, depth)) AS max_lon, q.s + (cy + 1) * ((q.n - q.s) / pow(2, depth)) AS max_lat, k.n AS n_locations FROM walk k, q WHERE NOT splits AND k.n >= 5)"""
+_DENSITY = f"n_locations / (({merc_x('max_lon')} - {merc_x('min_lon')}) * ({merc_y('max_lat')} - {merc_y('min_lat')}))"
+
+
+@query(
+    f"""WITH RECURSIVE {_SECTORS}
+SELECT {six('min_lon', 'min_lat', 'max_lon', 'max_lat')}, n_locations, round({_DENSITY}, 6) AS density FROM b"""
 )
 def quadtree_heatmap_nomerge(spark, sf_dir):
     return rounded(quadtree.heatmap(day(spark, sf_dir), 5, 100, merge_sectors=False))
@@ -422,9 +437,16 @@ def quadtree_heatmap_merge(spark, sf_dir):
     return rounded(quadtree.heatmap(day(spark, sf_dir), 5, 100))
 
 
-@query()
+@query(f"WITH RECURSIVE {_SECTORS} SELECT 'Feature' AS kind, 'Polygon' AS shape, n_locations, round({_DENSITY}, 6) AS density, 5::BIGINT AS corners, round(min_lon, 6) AS x0, round(min_lat, 6) AS y0, round(max_lon, 6) AS x2, round(max_lat, 6) AS y2, true AS closed FROM b")
 def heatmap_geojson(spark, sf_dir):
-    return sinks.geojson_features(quadtree.heatmap(day(spark, sf_dir), 5, 100, merge_sectors=False))
+    """The features, read back from their text."""
+    text = sinks.geojson_features(quadtree.heatmap(day(spark, sf_dir), 5, 100, merge_sectors=False))
+    schema = "type string, properties struct<n_locations: bigint, density: double>, geometry struct<type: string, coordinates: array<array<array<double>>>>"
+    f = text.select(F.from_json("feature", schema).alias("f")).select("f.*").withColumn("ring", F.col("geometry.coordinates")[0])
+    return f.select(
+        F.col("type").alias("kind"), F.col("geometry.type").alias("shape"), F.col("properties.n_locations").alias("n_locations"), F.round("properties.density", 6).alias("density"), F.size("ring").cast("long").alias("corners"),
+        F.round(F.col("ring")[0][0], 6).alias("x0"), F.round(F.col("ring")[0][1], 6).alias("y0"), F.round(F.col("ring")[2][0], 6).alias("x2"), F.round(F.col("ring")[2][1], 6).alias("y2"), (F.col("ring")[0] == F.col("ring")[4]).alias("closed"),
+    )
 
 
 # --- distances and clusters
@@ -443,12 +465,22 @@ def _pair_sums(pairs: str, name: str = "sums") -> str:
 {name} AS (SELECT a, b, speed, h, sum(d * d) AS dd, sum(d * t) AS dt, sum(t * t) AS tt FROM {name}_d GROUP BY a, b, speed, h)"""
 
 
+def _exact_sums(pairs: str, name: str = "sums") -> str:
+    """As _pair_sums, with strides added step by step; needs WITH RECURSIVE."""
+    return f"""{name}_h AS (SELECT *, round_even((na + nb) / 2, 0)::INT AS h FROM {pairs}), {name}_c AS (SELECT DISTINCT na, nb, h FROM {name}_h),
+{name}_w(na, nb, h, k, x, y) AS (SELECT na, nb, h, 0, 0::DOUBLE, 0::DOUBLE FROM {name}_c UNION ALL SELECT na, nb, h, k + 1, x + na / h::DOUBLE, y + nb / h::DOUBLE FROM {name}_w WHERE k + 1 < h),
+{name}_p AS (SELECT a, b, (va + vb) / 2 AS speed, h, la[least(round_even(x, 0)::INT, na - 1) + 1] AS p, lb[least(round_even(y, 0)::INT, nb - 1) + 1] AS q FROM {name}_h JOIN {name}_w USING (na, nb, h)),
+{name}_d AS (SELECT a, b, speed, h, {hav('p.lon', 'p.lat', 'q.lon', 'q.lat')} AS d, abs(p.ts - q.ts)::DOUBLE AS t FROM {name}_p),
+{name} AS (SELECT a, b, speed, h, sum(d * d) AS dd, sum(d * t) AS dt, sum(t * t) AS tt FROM {name}_d GROUP BY a, b, speed, h)"""
+
+
 def _martinez(weight: str = f"{WEIGHT}e0") -> str:
     s = f"({weight} * speed / 3.6)"
     return f"sqrt((1e6 * dd + 2000 * {s} * dt + {s} * {s} * tt) / h)"
 
 
-_ALL_PAIRS = f"WITH {USER}, {hops()}, {_NEST}, pairs AS (SELECT l.trajectory_id AS a, r.trajectory_id AS b, l.locs AS la, r.locs AS lb, l.n AS na, r.n AS nb, l.v AS va, r.v AS vb FROM tra l JOIN tra r ON l.trajectory_id < r.trajectory_id), {_pair_sums('pairs')}"
+_PAIRS_OF_ALL = f"{USER}, {hops()}, {_NEST}, pairs AS (SELECT l.trajectory_id AS a, r.trajectory_id AS b, l.locs AS la, r.locs AS lb, l.n AS na, r.n AS nb, l.v AS va, r.v AS vb FROM tra l JOIN tra r ON l.trajectory_id < r.trajectory_id)"
+_ALL_PAIRS = f"WITH {_PAIRS_OF_ALL}, {_pair_sums('pairs')}"
 
 
 @query(f"{_ALL_PAIRS} SELECT a, b, round(sqrt(dd / h), 6) AS spatial_km, round(speed * sqrt(tt / h), 2) AS temporal, round({_martinez()}, 3) AS meters FROM sums")
@@ -458,6 +490,18 @@ def martinez_distance(spark, sf_dir):
     return p.select("a", "b", F.round(distance.spatial_km(), 6).alias("spatial_km"), F.round(distance.temporal(), 2).alias("temporal"), F.round(distance.martinez(WEIGHT), 3).alias("meters"))
 
 
+@query(f"WITH RECURSIVE {_PAIRS_OF_ALL}, {_exact_sums('pairs')} SELECT a, b, round(sqrt(dd / h), 6) AS spatial_km, round(speed * sqrt(tt / h), 2) AS temporal, round({_martinez()}, 3) AS meters FROM sums")
+def martinez_distance_exact(spark, sf_dir):
+    """As martinez_distance, with strides added step by step."""
+    p = distance.all_pairs(user(spark, sf_dir))
+    return p.select("a", "b", F.round(distance.spatial_km(), 6).alias("spatial_km"), F.round(distance.temporal(), 2).alias("temporal"), F.round(distance.martinez(WEIGHT), 3).alias("meters"))
+
+
+@query(f"WITH RECURSIVE {_PAIRS_OF_ALL}, {_exact_sums('pairs')} SELECT round(sum(sqrt(dd / h) * 1000) / sum(speed * sqrt(tt / h)), 9) AS p_lambda, round(max(sqrt(dd / h)) * 1000 + sum(sqrt(dd / h) * 1000) / sum(speed * sqrt(tt / h)) * max(speed * sqrt(tt / h)), 3) AS max_distance FROM sums")
+def martinez_lambda_exact(spark, sf_dir):
+    return distance.estimate_lambda(user(spark, sf_dir)).select(F.round("p_lambda", 9).alias("p_lambda"), F.round("max_distance", 3).alias("max_distance"))
+
+
 @query(f"{_ALL_PAIRS} SELECT round(sum(sqrt(dd / h) * 1000) / sum(speed * sqrt(tt / h)), 9) AS p_lambda, round(max(sqrt(dd / h)) * 1000 + sum(sqrt(dd / h) * 1000) / sum(speed * sqrt(tt / h)) * max(speed * sqrt(tt / h)), 3) AS max_distance FROM sums")
 def martinez_lambda(spark, sf_dir):
     return distance.estimate_lambda(user(spark, sf_dir), exact=False).select(F.round("p_lambda", 9).alias("p_lambda"), F.round("max_distance", 3).alias("max_distance"))
@@ -503,6 +547,12 @@ def rsme(spark, sf_dir):
     return measures.rsme(loc, generalization.simple(loc, TILE), WEIGHT, exact=False).select(F.round("rsme", 3).alias("rsme"))
 
 
+@query(f"WITH RECURSIVE {USER}, {_TWO}, pairs AS (SELECT l.trajectory_id AS a, r.trajectory_id AS b, l.locs AS la, r.locs AS lb, l.n AS na, r.n AS nb, l.v AS va, r.v AS vb FROM tra l JOIN atra r ON l.trajectory_id = r.trajectory_id), {_exact_sums('pairs')} SELECT round(sqrt(sum(pow({_martinez()}, 2)) / (SELECT count(*) FROM atra)), 3) AS rsme FROM sums")
+def rsme_exact(spark, sf_dir):
+    loc = user(spark, sf_dir)
+    return measures.rsme(loc, generalization.simple(loc, TILE), WEIGHT).select(F.round("rsme", 3).alias("rsme"))
+
+
 @query(
     f"""WITH {USER}, {_TWO}, pairs AS (SELECT l.trajectory_id AS a, r.trajectory_id AS b, l.locs AS la, r.locs AS lb, l.n AS na, r.n AS nb, l.v AS va, r.v AS vb FROM tra l, atra r), {_pair_sums('pairs')},
 best AS (SELECT b, arg_min(a, ({_martinez()}, a)) AS a FROM sums GROUP BY b) SELECT round(100.0 * count(*) FILTER (a = b) / (SELECT count(*) FROM tra), 2) AS percen_record_linkage FROM best"""
@@ -513,7 +563,22 @@ def record_linkage(spark, sf_dir):
     return measures.record_linkage(loc, generalization.simple(loc, TILE), WEIGHT, exhaustive=True, exact=False)
 
 
-@query()
+def _reference(tra: str, name: str) -> str:
+    """name(id, locs, n, v, r): trajectories with their distance to the originals' reference."""
+    return f"""{name}_q AS (SELECT -1 AS a, trajectory_id AS b, la, locs AS lb, 1::BIGINT AS na, n AS nb, 0::DOUBLE AS va, v AS vb FROM {tra}, ref), {_exact_sums(f'{name}_q', f'{name}_s')},
+{name} AS (SELECT trajectory_id AS id, locs, n, v, {_martinez()} AS r FROM {tra} JOIN {name}_s ON b = trajectory_id)"""
+
+
+@query(
+    f"""WITH RECURSIVE {USER}, {_TWO}, ref AS (SELECT [{{'ts': min(ts), 'lon': min(lon), 'lat': min(lat)}}] AS la FROM loc), {_reference('tra', 'o')}, {_reference('atra', 'an')},
+size AS (SELECT count(*) AS n, trunc(count(*) * 20 / 100)::BIGINT AS band FROM o), orank AS (SELECT *, row_number() OVER (ORDER BY r, id) - 1 AS rank FROM o),
+spot AS (SELECT an.id, an.r, max(rank) FILTER (k.r < an.r) AS low, max(k.r) FILTER (k.r < an.r) AS low_r, min(rank) FILTER (k.r >= an.r) AS high, min(k.r) FILTER (k.r >= an.r) AS high_r FROM an, orank k GROUP BY an.id, an.r),
+pos AS (SELECT id, CASE WHEN low IS NULL THEN high WHEN high IS NULL THEN low + 1 WHEN high_r - r < r - low_r THEN high ELSE low END AS pos FROM spot),
+span AS (SELECT id, size.n, pos - band // 2 + (band % 2 = 0)::INT AS s, pos + band // 2 AS e FROM pos, size),
+wide AS (SELECT id, greatest(greatest(s, 0) - greatest(e - (n - 1), 0), 0) AS s, least(least(e, n - 1) + greatest(-s, 0), n - 1) AS e FROM span),
+pairs AS (SELECT k.id AS a, w.id AS b, k.locs AS la, an.locs AS lb, k.n AS na, an.n AS nb, k.v AS va, an.v AS vb FROM wide w JOIN orank k ON k.rank BETWEEN w.s AND w.e JOIN an ON an.id = w.id), {_exact_sums('pairs')},
+best AS (SELECT b, arg_min(a, ({_martinez()}, a)) AS a FROM sums GROUP BY b) SELECT round(100.0 * count(*) FILTER (a = b) / (SELECT count(*) FROM tra), 2) AS percen_record_linkage FROM best"""
+)
 def record_linkage_window(spark, sf_dir):
     loc = user(spark, sf_dir)
     return measures.record_linkage(loc, generalization.simple(loc, TILE), WEIGHT, percen_window_size=20)
@@ -526,6 +591,13 @@ picked AS (SELECT cluster_id, i, locs[least(floor(i * stride + 1e-9)::INT, n - 1
 means AS (SELECT cluster_id, i, trunc(avg(l.ts))::BIGINT AS ts, avg(l.lon) AS lon, avg(l.lat) AS lat FROM picked GROUP BY 1, 2)"""
 
 
+_MEAN_EXACT = f"""{_CLUSTERS}, steps AS (SELECT *, round_even(avg(n) OVER (PARTITION BY cluster_id), 0)::INT AS m FROM members),
+strides AS (SELECT *, round_even(n / m::DOUBLE, 2) AS stride FROM steps), ways AS (SELECT DISTINCT m, stride FROM strides),
+way(m, stride, i, x) AS (SELECT m, stride, 0, 0::DOUBLE FROM ways UNION ALL SELECT m, stride, i + 1, x + stride FROM way WHERE i + 1 < m),
+picked AS (SELECT cluster_id, i, locs[least(floor(x)::INT, n - 1) + 1] AS l FROM strides JOIN way USING (m, stride)),
+means AS (SELECT cluster_id, i, trunc(avg(l.ts))::BIGINT AS ts, round_even(avg(l.lon), 5) AS lon, round_even(avg(l.lat), 5) AS lat FROM picked GROUP BY 1, 2)"""
+
+
 def _members(spark, sf_dir) -> DataFrame:
     return tr.nest(user(spark, sf_dir)).withColumn("cluster_id", F.col("user_id") % 10)
 
@@ -535,14 +607,30 @@ def mean_trajectory(spark, sf_dir):
     return aggregation.mean_points(_members(spark, sf_dir), exact=False)
 
 
-@query()
+@query(f"WITH RECURSIVE {USER}, {hops()}, {_NEST}, {_MEAN_EXACT} SELECT cluster_id, i::INT AS i, ts, lon, lat FROM means")
+def mean_trajectory_exact(spark, sf_dir):
+    """As mean_trajectory, with strides added step by step."""
+    return aggregation.mean_points(_members(spark, sf_dir))
+
+
+@query(
+    f"""WITH RECURSIVE {USER}, {hops()}, {_NEST}, {_MEAN_EXACT}, places AS (SELECT cluster_id, trajectory_id, unnest(locs) AS l, generate_subscripts(locs, 1) AS nth FROM members),
+near AS (SELECT cluster_id, i, arg_min(l, (sqrt(pow(lon - l.lon, 2) + pow(lat - l.lat, 2) + pow(0.001e0 * (ts - l.ts), 2)), trajectory_id, nth)) AS l FROM means JOIN places USING (cluster_id) GROUP BY 1, 2)
+SELECT cluster_id AS trajectory_id, cluster_id AS user_id, l.ts AS ts, i::BIGINT AS seq, round(l.lon, 8) AS lon, round(l.lat, 8) AS lat FROM near"""
+)
 def closest_locations_to_mean(spark, sf_dir):
-    return tr.unnest(aggregation.closest_locations(_members(spark, sf_dir), 0.001).select(F.col("cluster_id").alias("trajectory_id"), F.col("cluster_id").alias("user_id"), "locs"))
+    return rounded(tr.unnest(aggregation.closest_locations(_members(spark, sf_dir), 0.001).select(F.col("cluster_id").alias("trajectory_id"), F.col("cluster_id").alias("user_id"), "locs")), 8)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {USER}, {hops()}, {_NEST}, {_MEAN_EXACT}, mlag AS (SELECT *, lag(lon) OVER w AS px, lag(lat) OVER w AS py, lag(ts) OVER w AS pt FROM means WINDOW w AS (PARTITION BY cluster_id ORDER BY ts, i)),
+mhops AS (SELECT *, {hav('px', 'py', 'lon', 'lat')} AS km, abs(ts - pt) AS s FROM mlag),
+mtra AS (SELECT cluster_id, list({{'ts': ts, 'lon': lon, 'lat': lat}} ORDER BY ts, i) AS locs, count(*) AS n, CASE WHEN count(*) < 2 THEN 0 ELSE sum(CASE WHEN s = 0 THEN 0 ELSE km / s END) / (count(*) - 1) * 3600 END AS v FROM mhops GROUP BY 1),
+pairs AS (SELECT cluster_id AS a, trajectory_id AS b, q.locs AS la, t.locs AS lb, q.n AS na, t.n AS nb, q.v AS va, t.v AS vb FROM mtra q JOIN tra t ON t.user_id % 10 = cluster_id), {_exact_sums('pairs')},
+best AS (SELECT a, arg_min(b, ({_martinez()}, b)) AS b FROM sums GROUP BY a) SELECT a AS trajectory_id, a AS user_id, ts, seq, round(lon, 8) AS lon, round(lat, 8) AS lat FROM best JOIN loc ON trajectory_id = b"""
+)
 def closest_trajectory_to_mean(spark, sf_dir):
-    return tr.unnest(aggregation.closest_trajectories(_members(spark, sf_dir), WEIGHT).select(F.col("cluster_id").alias("trajectory_id"), F.col("cluster_id").alias("user_id"), "locs"))
+    return rounded(tr.unnest(aggregation.closest_trajectories(_members(spark, sf_dir), WEIGHT).select(F.col("cluster_id").alias("trajectory_id"), F.col("cluster_id").alias("user_id"), "locs")), 8)
 
 
 @query()
@@ -552,7 +640,11 @@ def mdav_clusters(spark, sf_dir):
     return cluster_groups(tr.nest(user(spark, sf_dir)), 3, WEIGHT).select("trajectory_id", "cluster_id")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {DAY}, t AS (SELECT trajectory_id, min(ts) AS ts FROM loc GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY ts, trajectory_id) AS r, count(*) OVER () AS n, count(*) OVER (ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND 900 FOLLOWING) AS near FROM t),
+ends AS (SELECT r, n, greatest(least(near, n - 1), r + 2) AS e FROM r), walk(part, s, e, n) AS (SELECT 0::BIGINT, r, e, n FROM ends WHERE r = 1 UNION ALL SELECT part + 1, ends.r, ends.e, walk.n FROM walk JOIN ends ON ends.r = walk.e + 1 WHERE walk.n - walk.e >= 3)
+SELECT trajectory_id, max(part) AS part FROM r JOIN walk ON walk.s <= r.r GROUP BY 1"""
+)
 def start_time_parts(spark, sf_dir):
     from tracewarden.operators.mdav import start_parts
 
@@ -606,7 +698,21 @@ def mean_square_displacement(spark, sf_dir):
     return rounded(measures.square_displacement(day(spark, sf_dir), 86400))
 
 
-@query()
+def _five(of: str, tiles: str, name: str) -> str:
+    """The five averages of locations and their tiles, by name."""
+    return f"""{name}_t AS (SELECT tile_id, count(*) AS visits, count(DISTINCT user_id) AS users FROM {tiles} GROUP BY 1), {name}_n AS (SELECT tile_id, user_id, count(*) AS n FROM {tiles} GROUP BY 1, 2),
+{name}_p AS (SELECT tile_id, n / sum(n) OVER (PARTITION BY tile_id) AS p FROM {name}_n), {name}_e AS (SELECT tile_id, sum(-p * ln(p)) AS e FROM {name}_p GROUP BY 1),
+{name}_l AS (SELECT *, lag(lon) OVER w AS px, lag(lat) OVER w AS py, min(ts) OVER (PARTITION BY user_id) AS t0 FROM {of} WINDOW w AS (PARTITION BY user_id ORDER BY ts, seq)),
+{name}_d AS (SELECT user_id, coalesce(sum({hav('px', 'py', 'lon', 'lat', geo.EARTH_KM_ROUND)}), 0) AS km FROM {name}_l GROUP BY 1),
+{name}_m AS (SELECT user_id, arg_min((lon, lat), (ts, seq)) AS a, arg_max((lon, lat), (ts, seq)) AS b FROM {name}_l WHERE ts <= t0 + 3600 GROUP BY 1),
+{name} AS (SELECT round((SELECT avg(visits) FROM {name}_t), 4) AS visits_per_location_{name}, round((SELECT avg(km) FROM {name}_d), 4) AS distance_straight_line_{name}, round((SELECT avg(e) FROM {name}_e), 4) AS uncorrelated_location_entropy_{name},
+ round((SELECT avg(log2(users)) FROM {name}_t), 4) AS random_location_entropy_{name}, round((SELECT avg(pow({hav('a[1]', 'a[2]', 'b[1]', 'b[2]', geo.EARTH_KM_ROUND)}, 2)) FROM {name}_m), 4) AS mean_square_displacement_{name})"""
+
+
+@query(
+    f"""WITH {SIMPLE}, {grid(250, 'loc', 'h')}, {tiled(250, 'loc', 'lt', 'h')}, inside AS (SELECT s.* FROM simple s, h WHERE {merc_x('lon')} BETWEEN x0 AND x0 + 250 * n_cols AND {merc_y('lat')} BETWEEN y0 AND y0 + 250 * n_rows),
+{tiled(250, 'inside', 'st', 'h')}, {_five('loc', 'lt', 'original')}, {_five('simple', 'st', 'anonymized')} SELECT * FROM original, anonymized"""
+)
 def location_measures(spark, sf_dir):
     loc = day(spark, sf_dir)
     return measures.location_measures(loc, generalization.simple(loc, TILE))
@@ -645,14 +751,15 @@ def overlap_p_contemporary(spark, sf_dir):
     return graph.contemporaries(day(spark, sf_dir)).select("a", "b", F.col("start").alias("overlap_start"), F.col("end").alias("overlap_end"), "p")
 
 
-@query(
-    f"""WITH {DAY}, {_SPANS}, once AS (SELECT trajectory_id, ts, arg_min(lon, seq) AS lon, arg_min(lat, seq) AS lat FROM loc GROUP BY 1, 2),
+_SYNC = f"""{DAY}, {_SPANS}, once AS (SELECT trajectory_id, ts, arg_min(lon, seq) AS lon, arg_min(lat, seq) AS lat FROM loc GROUP BY 1, 2),
 asked AS (SELECT trajectory_id, m.ts FROM spans JOIN (SELECT DISTINCT ts FROM loc) m ON m.ts BETWEEN t0 AND t1),
 b AS (SELECT a.trajectory_id, a.ts, o.lon, o.lat, CASE WHEN o.lon IS NOT NULL THEN a.ts END AS own FROM asked a LEFT JOIN once o USING (trajectory_id, ts)),
 f AS (SELECT *, last_value(own IGNORE NULLS) OVER p AS t0, last_value(lon IGNORE NULLS) OVER p AS x0, last_value(lat IGNORE NULLS) OVER p AS y0, first_value(own IGNORE NULLS) OVER n AS t1, first_value(lon IGNORE NULLS) OVER n AS x1, first_value(lat IGNORE NULLS) OVER n AS y1 FROM b
- WINDOW p AS (PARTITION BY trajectory_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS (PARTITION BY trajectory_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT trajectory_id, ts, round(coalesce(lon, round_even((1 - (ts - t0) / nullif(t1 - t0, 0)::DOUBLE) * x0 + (ts - t0) / nullif(t1 - t0, 0)::DOUBLE * x1, 6)), 8) AS lon, round(coalesce(lat, round_even((1 - (ts - t0) / nullif(t1 - t0, 0)::DOUBLE) * y0 + (ts - t0) / nullif(t1 - t0, 0)::DOUBLE * y1, 6)), 8) AS lat FROM f"""
-)
+ WINDOW p AS (PARTITION BY trajectory_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS (PARTITION BY trajectory_id ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
+_AT = "coalesce({0}, round_even((1 - (ts - t0) / nullif(t1 - t0, 0)::DOUBLE) * {1}0 + (ts - t0) / nullif(t1 - t0, 0)::DOUBLE * {1}1, 6))"
+
+
+@query(f"WITH {_SYNC} SELECT trajectory_id, ts, round({_AT.format('lon', 'x')}, 8) AS lon, round({_AT.format('lat', 'y')}, 8) AS lat FROM f")
 def synchronize_trajectories(spark, sf_dir):
     return rounded(graph.synchronized(day(spark, sf_dir)), 8)
 
@@ -668,7 +775,10 @@ def connected_components(spark, sf_dir):
     return graph.components(loc.select(F.col("trajectory_id").alias("node")).distinct(), links)
 
 
-@query()
+@query(
+    f"""WITH {_SYNC}, s AS (SELECT trajectory_id, ts, {_AT.format('lon', 'x')} AS lon, {_AT.format('lat', 'y')} AS lat FROM f), {_SHARES}, e AS (SELECT a, b, start, end_, round_even(p, 2) AS p FROM shares WHERE round_even(p, 2) > 0)
+SELECT a, b, round(sqrt(sum((pow(l.lon - r.lon, 2) + pow(l.lat - r.lat, 2)) / pow(end_ - start, 2))) / p, 6) AS weight FROM e JOIN s l ON l.trajectory_id = a AND l.ts BETWEEN start AND end_ JOIN s r ON r.trajectory_id = b AND r.ts = l.ts GROUP BY a, b, p"""
+)
 def graph_edges(spark, sf_dir):
     return rounded(graph.edges(day(spark, sf_dir)))
 

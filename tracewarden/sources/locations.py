@@ -54,7 +54,7 @@ def first_trajectories(locations: DataFrame, n: int) -> DataFrame:
 
 def sample_trajectories(locations: DataFrame, n: int, seed: int | None = None) -> DataFrame:
     """Exactly n random trajectories (all, if fewer); a seed fixes which."""
-    order = F.rand() if seed is None else F.xxhash64("trajectory_id", F.lit(seed))
+    order = F.rand() if seed is None else F.md5(F.concat_ws(":", F.col("trajectory_id").cast("string"), F.lit(str(seed))))
     return locations.join(locations.select("trajectory_id").distinct().orderBy(order, "trajectory_id").limit(n), "trajectory_id", "left_semi")
 
 
