@@ -208,7 +208,7 @@ def test_swapmob_is_the_fold_over_swaps(spark):
 
 def test_swap_all(spark):
     loc = walk(spark, n=20)
-    out = swaplocations.swap_all(loc, 3, 2000, 600, 500, 60, seed=2, group_seconds=None, suppress=False)
+    out = swaplocations.swap_all(loc, 3, 2000, 600, 500, 60, seed=2, suppress=False)
     assert out.select("ts", "lon", "lat").exceptAll(loc.select("ts", "lon", "lat")).isEmpty()
     with pytest.raises(ValueError):
         swaplocations.swap_all(loc, 50, 1, 1, 1, 1, seed=2)
@@ -262,13 +262,78 @@ def test_specs(spark, tmp_path):
     assert "SwapMob" in registry.names("anonymization")
 
 
-def test_exit_codes(tmp_path):
+def test_exit_codes(spark, tmp_path):
     from tracewarden.__main__ import main
 
-    assert main([]) == 1
-    assert main(["anonymize", "-f", str(tmp_path / "none.json")]) == 2
+    def code(command, **spec):
+        (tmp_path / "s.json").write_text(json.dumps(spec))
+        return main([command, "-f", str(tmp_path / "s.json")])
+
+    sinks.csv_rows(walk(spark)).coalesce(1).write.option("header", True).csv(str(tmp_path / "in.csv"))
+    there = {"method": "SimpleGeneralization", "input_file": str(tmp_path / "in.csv")}
+    assert main(["paint"]) == 7 and main(["anonymize"]) == 1
+    assert main(["anonymize", "-f", str(tmp_path / "none.json")]) == 1
     (tmp_path / "bad.json").write_text("{")
-    assert main(["filter", "-f", str(tmp_path / "bad.json")]) == 3
+    assert main(["filter", "-f", str(tmp_path / "bad.json")]) == 2
+    assert code("anonymize", method="SwapMob") == 3
+    assert code("anonymize", method="SwapMob", input_file=str(tmp_path / "none.csv")) == 4
+    assert code("anonymize", **there, output_folder=str(tmp_path / "none")) == 5
+    assert code("anonymize", **there | {"method": "Nothing"}) == 6
+    assert code("anonymize", **there, params={"size": 3}) == 8
+    for distance_ in ({"name": "DomingoTrujillo2012"}, {"name": "Martinez2021", "params": {"normalized": True}}):
+        assert code("anonymize", **there | {"method": "Microaggregation"}, params={"trajectory_distance": distance_}) == 8
+    assert code("anonymize", **there) == 0
+
+
+def test_plug_ins_are_called(spark):
+    """A clustering and an aggregation of other makers do the work that they are named for."""
+    loc = walk(spark)
+
+    @registry.register("clustering", "ByParity")
+    def parity(trajectories, k, weight, group=None):
+        return trajectories.withColumn("cluster_id", F.col("trajectory_id") % 2)
+
+    @registry.register("aggregation", "Smallest")
+    def smallest(members):
+        first = members.groupBy("cluster_id").agg(F.min_by(F.struct("n", "locs"), "trajectory_id").alias("m"))
+        return first.select("cluster_id", "m.n", "m.locs")
+
+    out = registry.call("anonymization", "Microaggregation", loc, params={"k": 2, "p_lambda": 0.1, "clustering_method": {"name": "ByParity"}, "aggregation_method": {"name": "Smallest"}})
+    want = {r["trajectory_id"]: r["locs"] for r in tr.nest(loc).collect()}
+    for r in tr.nest(out).collect():
+        assert [(p["ts"], p["lon"]) for p in r["locs"]] == [(p["ts"], p["lon"]) for p in want[r["trajectory_id"] % 2]]
+
+
+def test_conversions(spark, tmp_path):
+    sinks.csv_rows(walk(spark)).coalesce(1).write.option("header", True).csv(str(tmp_path / "a.csv"))
+    sinks.csv_to_parquet(spark, str(tmp_path / "a.csv"), str(tmp_path / "b.parquet"))
+    sinks.parquet_to_csv(spark, str(tmp_path / "b.parquet"), str(tmp_path / "c.csv"))
+    read = [src.read_dataset(spark, str(tmp_path / f)).drop("seq") for f in ("a.csv", "b.parquet", "c.csv")]
+    assert read[0].count() == 96 and read[0].exceptAll(read[1]).isEmpty() and read[1].exceptAll(read[2]).isEmpty()
+    assert filters.by_id(read[0], 3).count() == 8
+
+
+def test_swap_components(spark):
+    """Locations within the radii are never apart; far groups are."""
+    rng = np.random.default_rng(3)
+    rows = [(k, k, int(rng.integers(0, 5000)), k, float(rng.uniform(0, 0.2)), float(60 + rng.uniform(0, 0.1))) for k in range(300)]
+    found = {r["seq"]: r for r in swaplocations.apart(spark.createDataFrame(rows, SCHEMA), 500, 60).collect()}
+    for a in rows:
+        for b in rows:
+            if abs(a[2] - b[2]) <= 60 and mdav.km(a[4], a[5], b[4], b[5]) <= 0.5:
+                assert found[a[3]]["component"] == found[b[3]]["component"]
+    assert len({r["component"] for r in found.values()}) > 20
+
+
+def test_meetings_far_north(spark):
+    from tracewarden.streaming import streams
+
+    rng = np.random.default_rng(4)
+    rows = [(k, 1_700_000_000 + int(rng.integers(60)), float(25 + rng.uniform(0, 0.05)), float(69.48 + rng.uniform(0, 0.04))) for k in range(200)]
+    points = spark.createDataFrame(rows, "user_id long, ts long, lon double, lat double").withColumn("time", F.timestamp_seconds("ts"))
+    got = {(r["a"], r["b"]) for r in streams.meetings(points, 0.3, 60).collect()}
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] // 60 == b[1] // 60 and mdav.km(a[2], a[3], b[2], b[3]) < 0.3}
+    assert got == want and want
 
 
 def test_streams(spark, tmp_path):
@@ -281,3 +346,4 @@ def test_streams(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert spark.table("met").count() > 0
+    assert spark.table("crowd").count() > 0

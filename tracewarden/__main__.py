@@ -1,6 +1,7 @@
 """python -m tracewarden anonymize|analysis|measures|filter -f SPEC.json
 
-Exit codes: 0 done, 1 wrong arguments, 2 the spec file can't be read, 3 the spec is wrong, 4 nothing to write.
+Exit codes: 0 done, 1 no spec file, 2 it is no JSON, 3 a field is missing, 4 an input file does not exist, 5 the output folder
+does not exist, 6 unknown method, 7 unknown command, 8 wrong parameter of a method or data it can't work on.
 """
 
 from __future__ import annotations
@@ -22,21 +23,19 @@ def main(argv: list[str] | None = None) -> int:
     try:
         args = parser.parse_args(argv)
     except (argparse.ArgumentError, SystemExit):
-        return 1
+        given = sys.argv[1:] if argv is None else argv
+        return registry.NO_SPEC_FILE if given and given[0] in COMMANDS else registry.WRONG_COMMAND
     try:
         with open(args.file) as f:
             text = f.read()
     except OSError as e:
         print(e, file=sys.stderr)
-        return 2
+        return registry.NO_SPEC_FILE
     try:
         out = COMMANDS[args.command](session(), text)
-    except TypeError as e:
+    except (TypeError, ValueError) as e:
         print(e, file=sys.stderr)
-        return 3
-    except ValueError as e:
-        print(e, file=sys.stderr)
-        return 4 if "no locations" in str(e) else 3
+        return getattr(e, "code", registry.WRONG_PARAMETER)
     if isinstance(out, dict):
         print(json.dumps(out, indent=4))
     else:

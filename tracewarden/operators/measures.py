@@ -12,6 +12,7 @@ from tracewarden.operators.distance import EXHAUSTIVE, estimate_lambda, every_pa
 from tracewarden.operators.sequences import tile_sequences
 from tracewarden.operators.stats import removed, sample_size, window_size
 from tracewarden.operators.tessellation import grid, square_tiles, time_levels
+from tracewarden.session import global_rank
 
 trajectories_removed = removed
 
@@ -45,7 +46,7 @@ def nearest_originals(original: DataFrame, anonymized: DataFrame, p_lambda: floa
     reference = reference_trajectory(original)
     o = _ranked(original, reference, p_lambda, exact)
     # ranks by range partition: each takes its own rank and the number of rows in the ranges before
-    o = _global_rank(o, "to_reference", "trajectory_id")
+    o = global_rank(o, "to_reference", "trajectory_id")
     n = o.count()
     a = _ranked(anonymized, reference, p_lambda, exact)
     marks = o.select(F.col("to_reference").alias("v"), F.col("rank"), F.lit(None).cast("long").alias("b"))
@@ -92,20 +93,6 @@ def _nearest(pairs: DataFrame, p_lambda: float) -> DataFrame:
     return scored.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select("b", F.col("m.a").alias("a"), F.col("m.d").alias("d"))
 
 
-def _global_rank(df: DataFrame, *order: str) -> DataFrame:
-    """df with rank from 0. Ranges are sorted in parallel; only the number of rows of each range meets on the driver."""
-    from tracewarden.session import checkpointed
-
-    ranged = checkpointed(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranged")
-    sizes = {r["_p"]: r["count"] for r in ranged.groupBy("_p").count().collect()}
-    base, offsets = 0, {}
-    for p in sorted(sizes):
-        offsets[p] = base
-        base += sizes[p]
-    start = F.create_map(*[x for p, o in offsets.items() for x in (F.lit(p), F.lit(o))])[F.col("_p")] if offsets else F.lit(0)
-    return ranged.withColumn("rank", (start + F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1).cast("long")).drop("_p")
-
-
 def record_linkage(original: DataFrame, anonymized: DataFrame, p_lambda: float | None = None, percen_window_size: float | None = None, exhaustive: bool = False, exact: bool = True) -> DataFrame:
     """percen_record_linkage: trajectories found again by their nearest original, copies sharing the credit."""
     weight = _weight(original, p_lambda)

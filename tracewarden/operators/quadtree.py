@@ -40,10 +40,20 @@ def placed_cells(locations: DataFrame, box: DataFrame) -> DataFrame:
     return t.withColumn("cx", _at_depth("lon", "min_lon", "max_lon", F.col("depth"))).withColumn("cy", _at_depth("lat", "min_lat", "max_lat", F.col("depth")))
 
 
+def _counts(locations: DataFrame, box: DataFrame) -> DataFrame:
+    """depth, cx, cy, n of all depths: locations are counted in the deepest cells, whose counts are rolled up."""
+    t = locations.crossJoin(F.broadcast(box))  # one row
+    deep = t.select(_at_depth("lon", "min_lon", "max_lon", F.col("max_depth")).alias("x"), _at_depth("lat", "min_lat", "max_lat", F.col("max_depth")).alias("y"), "max_depth")
+    deepest = deep.groupBy("x", "y", "max_depth").agg(F.count("*").alias("n"))
+    rolled = deepest.withColumn("depth", F.explode(F.sequence(F.lit(0), F.col("max_depth"))))
+    up = F.pow(F.lit(2.0), F.col("max_depth") - F.col("depth"))
+    return rolled.groupBy("depth", F.floor(F.col("x") / up).cast("long").alias("cx"), F.floor(F.col("y") / up).cast("long").alias("cy")).agg(F.sum("n").alias("n"))
+
+
 def cells(locations: DataFrame, cap: int = 5, min_sector_length: float = 100, box: DataFrame | None = None) -> DataFrame:
     """depth, cx, cy, n of the tree's non-empty cells, the bounds of the whole and max_depth."""
     box = frame(locations, min_sector_length) if box is None else box
-    counts = placed_cells(locations, box).groupBy(*_CELL).agg(F.count("*").alias("n"))
+    counts = _counts(locations, box)
     # counts fall with depth, so the cell above decides: it exists and holds more than the cap, hence do all above it
     above = counts.select((F.col("depth") + 1).alias("depth"), F.col("cx").alias("px"), F.col("cy").alias("py"), F.col("n").alias("n_above"))
     t = counts.withColumn("px", F.shiftright("cx", 1)).withColumn("py", F.shiftright("cy", 1)).join(above, ["depth", "px", "py"], "left")

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewarden.functions.geo import EARTH_KM
 from tracewarden.operators.filters import at_least_two
+from tracewarden.operators.graph import components
 from tracewarden.operators.mdav import km
 from tracewarden.operators.sequences import densify, pair_support, tile_sequences
 from tracewarden.operators.tessellation import grid, square_tiles
+from tracewarden.session import checkpointed
 
 
 def radii(low: int, high: int, step: int | None = None) -> list[int]:
@@ -63,21 +68,37 @@ def swap_clusters(rows: pa.Table, k: int, r_s: list[int], r_t: list[int], seed:
     return out.set_column(out.schema.get_field_index("trajectory_id"), "trajectory_id", pa.array(tid[new[done]])).set_column(out.schema.get_field_index("user_id"), "user_id", pa.array(uid[new[done]]))
 
 
+def apart(locations: DataFrame, meters: int, seconds: int) -> DataFrame:
+    """locations with component: two locations within the radii have the same one.
+
+    Cells are as wide as the radii, so what is near lies in neighbouring cells; components are those of occupied cells.
+    """
+    top = F.broadcast(locations.agg(F.least(F.max(F.abs("lat")), F.lit(89.0)).alias("top")))  # one row
+    deg = meters / 1000 / (EARTH_KM * math.pi / 180)
+    cell = F.struct(F.floor(F.col("ts") / max(seconds, 1)).alias("t"), F.floor(F.col("lat") / deg).alias("y"), F.floor(F.col("lon") * F.cos(F.radians(F.col("top"))) / deg).alias("x"))
+    placed = checkpointed(locations.crossJoin(top).withColumn("cell", cell).drop("top"), "placed")
+    key = lambda t, y, x: F.xxhash64(t, y, x)  # noqa: E731  (cells of equal hashes become one component, which is as right)
+    cells = placed.select("cell.*").distinct()
+    ahead = [(t, y, x) for t in (0, 1) for y in (-1, 0, 1) for x in (-1, 0, 1) if (t, y, x) > (0, 0, 0)]
+    steps = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("tyx", s)]) for s in ahead])
+    probe = cells.withColumn("s", F.explode(steps)).select(key("t", "y", "x").alias("a"), key(F.col("t") + F.col("s.t"), F.col("y") + F.col("s.y"), F.col("x") + F.col("s.x")).alias("b"))
+    nodes = checkpointed(cells.select(key("t", "y", "x").alias("node")).distinct(), "cells")
+    links = probe.join(nodes.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b")
+    of_cell = components(nodes, links).select(F.col("node").alias("key"), "component")
+    return placed.withColumn("key", key("cell.t", "cell.y", "cell.x")).join(of_cell, "key").drop("key", "cell")
+
+
 def swap_all(
     locations: DataFrame, k: int = 3, max_r_s: int = 500, max_r_t: int = 120, min_r_s: int = 100, min_r_t: int = 60, step_s: int | None = None, step_t: int | None = None, tile_size: int = 1000,
-    seed: int = 0, group_seconds: int | None = 3600, suppress: bool = True,
+    seed: int = 0, suppress: bool = True,
 ) -> DataFrame:
-    """Locations under exchanged ids. Clusters lie within spans of group_seconds, which run in parallel (None: one span)."""
+    """Locations under exchanged ids. What can't meet, in space or time, is clustered apart and in parallel."""
     r_s, r_t = radii(min_r_s, max_r_s, step_s), radii(min_r_t, max_r_t, step_t)
     names = ("trajectory_id", "user_id", "ts", "seq", "lon", "lat")
-    span = F.lit(0).cast("long") if group_seconds is None else F.floor(F.col("ts") / group_seconds).cast("long")
-
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         return swap_clusters(rows.select(list(names)), k, r_s, r_t, seed, key[0].as_py())
 
-    from tracewarden.session import checkpointed
-
-    swapped = locations.select(*names).withColumn("span", span).groupBy("span").applyInArrow(run, "trajectory_id long, user_id long, ts long, seq long, lon double, lat double")
+    swapped = apart(locations.select(*names), r_s[-1], r_t[-1]).groupBy("component").applyInArrow(run, "trajectory_id long, user_id long, ts long, seq long, lon double, lat double")
     swapped = checkpointed(at_least_two(swapped), "swapped")
     if swapped.isEmpty():
         raise ValueError("no cluster can be built with these parameters; relax them")

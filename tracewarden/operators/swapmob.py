@@ -29,8 +29,16 @@ def candidates(locations: DataFrame, spatial_km: float = 0.2, seconds: int = 30)
 
     The radius becomes an equi-key: each location also looks into the eight cells around its own.
     """
+    cells, probe = met_by_cell(time_buckets(locations, seconds), spatial_km)
+    left = probe.select("bucket", "band", "cx", "cy", F.col("trajectory_id").alias("a"), F.col("seq").alias("a_seq"), F.col("lon").alias("x1"), F.col("lat").alias("y1"))
+    right = cells.select("bucket", "band", "cx", "cy", F.col("trajectory_id").alias("b"), F.col("seq").alias("b_seq"), F.col("lon").alias("x2"), F.col("lat").alias("y2"))
+    near = left.join(right, ["bucket", "band", "cx", "cy"]).filter(F.col("a") < F.col("b")).withColumn("km", haversine_km("x1", "y1", "x2", "y2"))
+    return near.filter(F.col("km") < spatial_km).select("bucket", "a", "b", "a_seq", "b_seq", "km").distinct()
+
+
+def met_by_cell(b: DataFrame, spatial_km: float) -> tuple[DataFrame, DataFrame]:
+    """b with band, cx, cy, and b once for each cell in which its locations may find one within the radius."""
     deg = spatial_km / (EARTH_KM * 0.017453292519943295)
-    b = time_buckets(locations, seconds)
     # the width of a cell in longitude grows with latitude so that a radius never spans more than one neighbour
     scale = F.cos(F.radians(F.least(F.abs(F.round("lat", 0)) + 1, F.lit(89.0))))
     band = F.round("lat", 0).cast("int")
@@ -41,10 +49,7 @@ def candidates(locations: DataFrame, spatial_km: float = 0.2, seconds: int = 30)
     probe = b.withColumn("band", F.explode(bands)).withColumn("o", F.explode(around))
     probe_scale = F.cos(F.radians(F.least(F.abs(F.col("band").cast("double")) + 1, F.lit(89.0))))
     probe = probe.withColumn("cy", F.floor(F.col("lat") / deg).cast("long") + F.col("o.dy")).withColumn("cx", F.floor(F.col("lon") * probe_scale / deg).cast("long") + F.col("o.dx"))
-    left = probe.select("bucket", "band", "cx", "cy", F.col("trajectory_id").alias("a"), F.col("seq").alias("a_seq"), F.col("lon").alias("x1"), F.col("lat").alias("y1"))
-    right = cells.select("bucket", "band", "cx", "cy", F.col("trajectory_id").alias("b"), F.col("seq").alias("b_seq"), F.col("lon").alias("x2"), F.col("lat").alias("y2"))
-    near = left.join(right, ["bucket", "band", "cx", "cy"]).filter(F.col("a") < F.col("b")).withColumn("km", haversine_km("x1", "y1", "x2", "y2"))
-    return near.filter(F.col("km") < spatial_km).select("bucket", "a", "b", "a_seq", "b_seq", "km").distinct()
+    return cells, probe
 
 
 def match(pairs: list[tuple], seed: int, bucket: int) -> list[tuple]:

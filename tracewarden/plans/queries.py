@@ -398,7 +398,7 @@ def swapmob_swaps(spark, sf_dir):
 
 @query()
 def swap_all_locations(spark, sf_dir):
-    return swaplocations.swap_all(user(spark, sf_dir), k=3, max_r_s=2000, max_r_t=3600, min_r_s=500, min_r_t=900, seed=42, group_seconds=86400)
+    return swaplocations.swap_all(user(spark, sf_dir), k=3, max_r_s=2000, max_r_t=3600, min_r_s=500, min_r_t=900, seed=42)
 
 
 # --- quadtree

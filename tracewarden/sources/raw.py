@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracewarden.functions.geo import EARTH_KM
+from tracewarden.session import global_rank
 
 _RING = "array<array<array<double>>>"
 KEPT = "trajectory_id long, user_id long, ts long, seq long, lon double, lat double"
@@ -69,17 +70,15 @@ def occupied_trips(log: DataFrame, keep: Column, normalize_day: bool = False) ->
     on = (F.col("occupied") == 1) & keep
     runs = log.withColumn("on", on).withColumn("start", (F.col("on") & ~F.coalesce(F.lag("on").over(w), F.lit(False))).cast("int"))
     trips = runs.withColumn("run", F.sum("start").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("on")
-    # users' numbers of trips are few rows; their running total gives each user's first trip number
-    totals = trips.groupBy("user_id").agg(F.max("run").alias("runs"))
-    offsets = totals.withColumn("base", F.sum("runs").over(Window.orderBy("user_id").rowsBetween(Window.unboundedPreceding, -1)))
+    numbers = global_rank(trips.select("user_id", "run").distinct(), "user_id", "run")
     ts = F.pmod("ts", F.lit(86400)) + 1640995200 if normalize_day else F.col("ts")
-    return trips.join(offsets, "user_id").select((F.coalesce("base", F.lit(0)) + F.col("run")).cast("long").alias("trajectory_id"), "user_id", ts.cast("long").alias("ts"), "seq", "lon", "lat")
+    return trips.join(numbers, ["user_id", "run"]).select((F.col("rank") + 1).alias("trajectory_id"), "user_id", ts.cast("long").alias("ts"), "seq", "lon", "lat")
 
 
 def read_cab_logs(spark: SparkSession, folder: str) -> DataFrame:
     """user_id, seq, lat, lon, occupied, ts of files new_*.txt; users are numbered by file name."""
     raw = spark.read.text(folder).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("seq"))
-    users = raw.select("file").distinct().withColumn("user_id", F.row_number().over(Window.orderBy("file")).cast("long"))
+    users = global_rank(raw.select("file").distinct(), "file").select("file", (F.col("rank") + 1).alias("user_id"))
     part = F.split(F.trim("value"), r"\s+")
     return raw.filter(F.trim("value") != "").join(users, "file").select("user_id", "seq", part[0].cast("double").alias("lat"), part[1].cast("double").alias("lon"), part[2].cast("int").alias("occupied"), part[3].cast("long").alias("ts"))
 
@@ -149,5 +148,5 @@ def number_sessions(thinned: DataFrame, key: list[str], min_locations: int = 0)
     """Canonical locations; sessions of enough points are numbered by user and time."""
     w = Window.partitionBy(*key, "session")
     kept = thinned.withColumn("n", F.count("*").over(w)).filter(F.col("n") >= min_locations)
-    ids = kept.groupBy(*key, "session").agg(F.min("ts").alias("t")).withColumn("trajectory_id", F.row_number().over(Window.orderBy(*key, "t", "session")).cast("long"))
+    ids = global_rank(kept.groupBy(*key, "session").agg(F.min("ts").alias("t")), *key, "t", "session").withColumn("trajectory_id", F.col("rank") + 1)
     return kept.join(ids.select(*key, "session", "trajectory_id"), [*key, "session"]).select("trajectory_id", F.col("user_id").cast("long").alias("user_id"), "ts", "seq", "lon", "lat")

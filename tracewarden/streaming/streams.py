@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tracewarden.functions.geo import haversine_km
 from tracewarden.operators.mdav import km
+from tracewarden.operators.swapmob import met_by_cell
 
 
 def meetings(points: DataFrame, spatial_km: float = 0.2, seconds: int = 30, late: str = "1 minute") -> DataFrame:
@@ -20,14 +21,11 @@ def meetings(points: DataFrame, spatial_km: float = 0.2, seconds: int = 30, late
 
     A join of the stream with itself on window and grid cell; the left side looks into neighbouring cells.
     """
-    deg = spatial_km / 111.19
     span = F.window("time", f"{seconds} seconds")
-    base = points.withWatermark("time", late).withColumn("w", span)
-    cell = lambda x: F.floor(F.col(x) / (2 * deg)).cast("long")
-    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
-    left = base.withColumn("o", F.explode(offsets)).select("w", (cell("lon") + F.col("o.dx")).alias("cx"), (cell("lat") + F.col("o.dy")).alias("cy"), F.col("user_id").alias("a"), F.col("lon").alias("x1"), F.col("lat").alias("y1"))
-    right = base.select("w", cell("lon").alias("cx"), cell("lat").alias("cy"), F.col("user_id").alias("b"), F.col("lon").alias("x2"), F.col("lat").alias("y2"))
-    met = left.join(right, ["w", "cx", "cy"]).filter(F.col("a") < F.col("b")).withColumn("km", haversine_km("x1", "y1", "x2", "y2"))
+    cells, probe = met_by_cell(points.withWatermark("time", late).withColumn("w", span), spatial_km)
+    left = probe.select("w", "band", "cx", "cy", F.col("user_id").alias("a"), F.col("lon").alias("x1"), F.col("lat").alias("y1"))
+    right = cells.select("w", "band", "cx", "cy", F.col("user_id").alias("b"), F.col("lon").alias("x2"), F.col("lat").alias("y2"))
+    met = left.join(right, ["w", "band", "cx", "cy"]).filter(F.col("a") < F.col("b")).withColumn("km", haversine_km("x1", "y1", "x2", "y2"))
     return met.filter(F.col("km") < spatial_km).select(F.col("w.start").alias("window_start"), "a", "b", "km")
 
 
