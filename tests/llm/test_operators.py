@@ -735,7 +735,9 @@ def test_neighbours_awkward(spark):
     assert sorted(r["rank"] for r in few) == [1, 2, 3, 4]
 
 
-def test_probing_finds_what_the_pigeonhole_promises():
+@pytest.mark.parametrize("sparse", [0, 8])
+def test_probing_finds_what_the_pigeonhole_promises(monkeypatch, sparse):
+    monkeypatch.setattr(mih, "SPARSE", sparse)
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**64, (20, 4), dtype=np.uint64)
     codes = np.concatenate([base, base ^ (np.uint64(1) << rng.integers(0, 64, (20, 4)).astype(np.uint64)), rng.integers(0, 2**64, (200, 4), dtype=np.uint64)])

@@ -39,6 +39,8 @@ TABLES = 8
 SAMPLE_ROWS = 8192
 SAMPLE_RECALL = 0.98
 SUBSTRING_BITS = 16
+#: With fewer rows than so many times the buckets to visit, occupied buckets are looked through.
+SPARSE = 8
 #: Rows and queries of a block.
 BLOCK_ROWS, BLOCK_QUERIES = 65_536, 32_768
 #: A small table is cut into smaller blocks, for parallel work; each block gives k rows a query, so not into too many.
@@ -108,20 +110,29 @@ class Hasher:
 
 
 class SubstringIndex:
-    """The codes of one block; for each substring, its values' rows in one sorted array."""
+    """The codes of one block; for each substring, its values' rows in one sorted array.
+
+    A block with few rows for the buckets to visit holds mostly empty ones. There the occupied buckets are looked through
+    instead, each row standing for its own; the rows found are the same.
+    """
 
     def __init__(self, codes: np.ndarray, parts: np.ndarray, step: int):
         self.codes, self.step = codes, step
+        values = np.arange(2**SUBSTRING_BITS, dtype=np.uint16)
+        self.masks = values[np.bitwise_count(values) <= step]
+        self.occupied = np.ascontiguousarray(parts.T) if len(codes) < SPARSE * len(self.masks) else None
+        if self.occupied is not None:
+            return
         self.order = np.argsort(parts, axis=0, kind="stable").T.astype(np.int32)
         self.start = np.zeros((parts.shape[1], 2**SUBSTRING_BITS + 1), np.int32)
         for p, start in zip(parts.T, self.start):
             np.cumsum(np.bincount(p, minlength=2**SUBSTRING_BITS), out=start[1:])
-        values = np.arange(2**SUBSTRING_BITS, dtype=np.uint16)
-        self.masks = values[np.bitwise_count(values) <= step]
         self.seen = np.zeros(len(codes), bool)
 
     def probe(self, parts: np.ndarray) -> np.ndarray:
         """Rows of which some substring differs from the query's in at most step bits."""
+        if self.occupied is not None:
+            return np.flatnonzero((np.bitwise_count(self.occupied ^ parts[:, None]) <= self.step).any(axis=0))
         self.seen[:] = False
         for own, order, start in zip(parts, self.order, self.start):
             bucket = (own ^ self.masks).astype(np.int32)
