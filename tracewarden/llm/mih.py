@@ -9,7 +9,7 @@ every code within it. What is found is verified on whole codes and reranked by e
 Radius and probing step are learned on the sample: the radius holds ``SAMPLE_RECALL`` of its neighbours, and the step is the
 least that finds as many. By the pigeonhole every code within substrings * (step + 1) - 1 is found; most of those between
 that and the radius are found as well, as the differing bits of a pair are spread unevenly over so many substrings. (For
-neighbours that are nearly at right angles, as in unclustered data, a step of radius / substrings would visit a quarter of
+neighbours that are nearly at right angles, as in unclustered data, a step of radius / substrings would visit two fifths of
 all buckets.) Neighbours in all rows are nearer than in a sample, so both err to the safe side. A query for which fewer
 codes than it needs are found takes its nearest codes, in a second pass.
 
