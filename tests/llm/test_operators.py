@@ -436,7 +436,7 @@ def test_lines_out_of_order(spark, monkeypatch):
 
 
 def test_lines_in_any_order(spark):
-    """The verdict's case: a set that is first met with a late id, many variants, rows shuffled over several partitions."""
+    """A set that is first met with a late id, many variants, rows shuffled over several partitions."""
     ten = [f"t{k}" for k in range(10)]
     rows = [(100, " ".join(ten)), (5, " ".join(ten)), (1, " ".join([*ten, "one"]))] + [(i, " ".join([*ten[:9], f"v{i}"])) for i in range(10, 50)]
     want = brute_lines(sorted(rows))
