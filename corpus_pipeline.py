@@ -49,6 +49,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id.
 
+    Near copies are linked by SimHash fingerprints and verified on their shingle sets; an exact join of the sets finds those
+    whose fingerprints don't meet.
+
     Texts without a word (null and empty ones) are copies of one another; one of equal rows stays; rows without an id come
     after all others.
     """

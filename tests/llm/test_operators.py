@@ -700,6 +700,43 @@ def test_near_copies(spark, docs, monkeypatch, chunk):
     assert sorted(r["doc_id"] for r in simhash.keep_one_of_each(documents(spark, rows, extra=True)).collect()) == want
 
 
+@pytest.mark.parametrize("limit", [4096, 8])
+def test_fingerprints_of_near_copies(spark, monkeypatch, limit):
+    """Fingerprints link near copies alone, and all up to SURE bits apart in small buckets; what they leave apart is found too."""
+    rng = random.Random(9)
+    rows = []
+    for g in range(30):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([60, 150, 400]))]
+        for k in range(5 if g else 60):
+            words = list(base)
+            for _ in range(rng.randrange(1 + len(base) // 40)):
+                words[rng.randrange(len(base))] = f"v{rng.randrange(999)}"
+            rows.append((100 * g + k, " ".join(words)))
+    sets, fps, s1 = [], [], []
+    for _, t in rows:
+        h = set(simhash.shingles_of([t])[0].tolist())
+        sets.append(h)
+        fps.append(sum((2 * sum(x >> k & 1 for x in h) > len(h)) << k for k in range(64)))
+        s1.append(int(linejoin.LineSets([t], None, simhash.shingles_of).s1.view(np.int64)[0]))
+    pairs = [(i, j, (fps[i] ^ fps[j]).bit_count()) for i in range(len(rows)) for j in range(i) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])) and s1[i] != s1[j]]
+    alike = {frozenset((s1[i], s1[j])) for i, j, _ in pairs}
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", limit)
+    df = documents(spark, rows)
+    keyed = df.select(F.col("doc_id").alias("sort_id"), F.lit(0).cast("long").alias("tie"), "text")
+    links = simhash.fingerprint_links(keyed, 0.8, simhash.shingles_of)
+    assert {frozenset((r["a"], r["b"])) for r in links.collect()} <= alike
+    root = {r["node"]: r["root"] for r in simhash.components(links).collect()}
+    found = {d: [root.get(s1[i], s1[i]) == root.get(s1[j], s1[j]) for i, j, x in pairs if x == d] for d in range(65)}
+    print({d: (sum(x), len(x)) for d, x in found.items() if x})
+    if limit > 8:
+        assert all(all(found[d]) for d in range(simhash.SURE + 1)) and any(found[d] for d in range(simhash.SURE + 1))
+    assert sum(map(sum, found.values())) > 0.7 * len(pairs), "most links are found by fingerprints"
+    want = sorted(r["doc_id"] for r in simhash.keep_one_of_each(df).collect())
+    search, asked = simhash.near_links, []
+    monkeypatch.setattr(simhash, "near_links", lambda distinct, n, *radii: asked.append(radii) or search(distinct, n, *radii).limit(0))
+    assert sorted(r["doc_id"] for r in simhash.keep_one_of_each(df).collect()) == want and asked == [(simhash.NEAR, simhash.SURE)]
+
+
 # --- nearest neighbours
 
 

@@ -12,8 +12,10 @@ coordinate is searched, and the other coordinates discard all but about one in t
 A bucket emits a spanning forest of its links, never all pairs of a group; buckets beyond ``BUCKET_ROWS`` are cut into
 chunks and compared chunk by chunk over many tasks, so each link is still seen.
 
-The pipeline's stage (``keep_one_of_each``) asks for a similarity of 0.8, where fingerprints differ in ten bits on average
-and often in more; no choice of blocks finds these. It joins the shingle sets themselves.
+The pipeline's stage (``keep_one_of_each``) asks for shingle sets with a similarity of 0.8, where fingerprints differ in
+eight bits on average and in up to seventeen; no affordable choice of blocks finds all of these. SimHash comes first: pairs
+of fingerprints up to ``NEAR`` bits apart that meet in buckets are verified on the shingle sets (``fingerprint_links``). An
+exact join of the sets then finds the links between what these left apart, so none is lost.
 
 Defined results: null and word-less texts have fingerprint zero and link like any other; rows without doc_id take part
 but give no component number (null if a component has no other); repeated rows share one component.
@@ -34,6 +36,8 @@ from tracewarden.llm import linejoin
 from tracewarden.llm.common import discard, materialize, table
 
 RADIUS = 4
+#: The pipeline's fingerprints are candidates up to NEAR bits apart; its blocks bring together all that are up to SURE apart.
+NEAR, SURE = 12, 6
 SHINGLE = 4
 SEED = 42
 #: Members of a bucket that one task compares; larger buckets are cut into chunks of half as many.
@@ -177,16 +181,23 @@ def _compare(radius: int):
     return run
 
 
-def near_links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
-    """Links a, b between distinct fingerprints that connect all that are within the radius of one another."""
-    rows = _bucket_rows(materialize(pivot_table(distinct), "pivots"), _choices(n, radius))
+def near_links(distinct: DataFrame, n: int, radius: int = RADIUS, sure: int | None = None) -> DataFrame:
+    """Links a, b between distinct fingerprints that connect all that are within the radius of one another.
+
+    With sure, for callers that find the rest in another way: blocks are those of this smaller radius, so links beyond it
+    need a bucket in common, and the chunks of a large bucket meet its first chunk only.
+    """
+    rows = _bucket_rows(materialize(pivot_table(distinct), "pivots"), _choices(n, radius if sure is None else sure))
     half = BUCKET_ROWS // 2
     hot = rows.groupBy("key").count().filter(F.col("count") > BUCKET_ROWS).select("key", F.ceil(F.col("count") / half).cast("int").alias("chunks"))
     marked = rows.join(hot, "key", "left")
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("chunks")).cast("int")
     # a chunk meets each chunk, itself included: block (i, j) holds chunks i and j
+    others = F.sequence(F.lit(0), F.col("chunks") - 1)
+    if sure is not None:  # block (0, j) holds chunks 0 and j
+        others = F.when(own == 0, F.sequence(F.lit(1), F.col("chunks") - 1)).otherwise(F.array(F.lit(0)))
     blocks = F.when(F.col("chunks").isNull(), F.array(F.col("key"))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.xxhash64(F.col("key"), F.least(own, j), F.greatest(own, j)))
+        F.transform(others, lambda j: F.xxhash64(F.col("key"), F.least(own, j), F.greatest(own, j)))
     )
     dealt = marked.select(F.explode(blocks).alias("key"), "fp", "far0", "far1").repartition("key").sortWithinPartitions("key", "far0", "far1")
     return dealt.mapInArrow(_compare(radius), "a long, b long").distinct()
@@ -281,18 +292,28 @@ def _meetings(threshold: float, every: bool):
     return run
 
 
-def _met(dealt: DataFrame, threshold: float, every: bool) -> DataFrame:
-    pairs = dealt.mapInArrow(_meetings(threshold, every), linejoin._PAIRS)
+def _each_once(pairs: DataFrame) -> DataFrame:
+    """Pairs a, b (ia, ib) written once, a < b."""
     swap = F.col("a") > F.col("b")  # of a null and b neither
     named = [F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("ia", "ib"), ("ib", "ia"))]
     return materialize(pairs.select(*named).distinct(), "met")
 
 
-def _alike(docs: DataFrame, pairs: DataFrame, threshold: float, parts) -> DataFrame:
-    """Links a, b among the pairs that connect all that match on whole sets: one pair of each set, then those still apart."""
+def _met(dealt: DataFrame, threshold: float, every: bool) -> DataFrame:
+    return _each_once(dealt.mapInArrow(_meetings(threshold, every), linejoin._PAIRS))
+
+
+def _alike(docs: DataFrame, pairs: DataFrame, threshold: float, parts, known: DataFrame | None = None) -> DataFrame:
+    """Links a, b among the pairs that connect all that match on whole sets: one pair of each set, then those still apart.
+
+    Pairs that the known links connect are not looked at; the links returned include these.
+    """
+    if known is not None:
+        pairs = materialize(_labelled(pairs, known, "a", "b").filter("label_a != label_b").select("a", "b", "ia", "ib"), "apart")
     sets = linejoin.needed_sets(docs, pairs, parts)
     one = materialize(pairs.groupBy("b").agg(F.min_by("a", F.xxhash64("a", "b")).alias("a")).select("a", "b"), "one")
     links = materialize(linejoin.verified(sets, one, threshold), "alike")
+    links = links if known is None else known.union(links)
     rest = _labelled(pairs.select("a", "b").join(one, ["a", "b"], "left_anti"), links, "a", "b").filter("label_a != label_b")
     late = materialize(linejoin.verified(sets, rest, threshold), "alike")
     discard(sets, one)
@@ -308,6 +329,41 @@ def _labelled(df: DataFrame, links: DataFrame, *names: str) -> DataFrame:
     return df
 
 
+def set_fingerprints(docs: DataFrame, parts) -> DataFrame:
+    """s1, fp, id: every shingle set, its SimHash (each shingle once) and the sort_id of its first place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = np.uint64(1)
+        for b in batches:
+            texts, ids = b.column(1).to_pylist(), b.column(0).to_numpy()
+            for i, j in linejoin._chunks(texts):
+                sets = linejoin.LineSets(texts[i:j], None, parts)
+                half, fps = sets.sizes.astype(np.uint64) // np.uint64(2), np.zeros(len(sets.s1), np.uint64)
+                for k in map(np.uint64, range(64)):
+                    fps |= (np.add.reduceat((sets.h >> k) & one, sets.starts) > half).astype(np.uint64) << k
+                at = sets.text_of[sets.lines] + i
+                yield pa.RecordBatch.from_arrays([pa.array(sets.s1.view(np.int64)), pa.array(fps.view(np.int64)), pa.array(ids[at])], names=["s1", "fp", "id"])
+
+    found = docs.select("sort_id", "text").mapInArrow(run, "s1 long, fp long, id long")
+    return materialize(found.groupBy("s1").agg(F.first("fp").alias("fp"), F.min("id").alias("id")), "fingerprints")
+
+
+def fingerprint_links(docs: DataFrame, threshold: float, parts) -> DataFrame:
+    """Links a, b of sets of near or equal fingerprints that match on whole sets; docs has sort_id and text.
+
+    One set stands for all of its fingerprint: the others are compared with it, and it with those of fingerprints nearby.
+    """
+    prints = set_fingerprints(docs, parts)
+    leads = materialize(prints.groupBy("fp").agg(F.min(F.struct("s1", "id")).alias("lead")).select("fp", "lead.s1", "lead.id"), "leads")
+    a, b = (leads.select(F.col("fp").alias(f"fp_{x}"), F.col("s1").alias(x), F.col("id").alias(f"i{x}")) for x in "ab")
+    near = near_links(leads.select("fp"), leads.count(), NEAR, SURE).toDF("fp_a", "fp_b").join(a, "fp_a").join(b, "fp_b")
+    same = prints.select(F.col("fp").alias("fp_a"), F.col("s1").alias("b"), F.col("id").alias("ib")).join(a, "fp_a").filter("a != b")
+    pairs = _each_once(near.select("a", "b", "ia", "ib").union(same.select("a", "b", "ia", "ib")))
+    links = _alike(docs, pairs, threshold, parts)
+    discard(prints, leads, pairs)
+    return links
+
+
 def _places(blocks: DataFrame) -> DataFrame:
     """s1, sort_id, tie of the first place of each set."""
 
@@ -323,20 +379,22 @@ def _places(blocks: DataFrame) -> DataFrame:
 def later_copies(docs: DataFrame, shingle: int = 5, threshold: float = 0.8) -> DataFrame:
     """sort_id, tie of the documents of which another of their component comes first.
 
-    Components are those of links of Jaccard similarity of at least threshold. docs has sort_id, tie and text. An exact
-    join of shingle sets by prefixes, as in ``linejoin``: sets first meet few others a shingle, and what that links is
-    one; then all pairs of different components that went unnamed are met.
+    Components are those of links of Jaccard similarity of at least threshold. docs has sort_id, tie and text. What near
+    fingerprints link is one; the rest is found by an exact join of shingle sets by prefixes, as in ``linejoin``: sets
+    first meet few others a shingle, and what that links is one as well; then all pairs of different components that went
+    unnamed are met.
     """
 
     def parts(texts: list[str]):
         return shingles_of(texts, shingle)
 
+    near = fingerprint_links(docs, threshold, parts)
     rarity = linejoin.count_words(docs, parts)
     table_, n_parts = linejoin.set_table(docs, rarity, threshold, parts)
     blocks = linejoin.blocks_of(table_)
     chunks = linejoin.hot_words(blocks, rarity)
     met = _met(linejoin.postings_by_word(blocks, _MET, chunks, every=False), threshold, every=False)
-    links = _alike(docs, met.filter(F.col("a").isNotNull()), threshold, parts)
+    links = _alike(docs, met.filter(F.col("a").isNotNull()), threshold, parts, near)
     open_ = materialize(met.filter(F.col("a").isNull()).select(F.col("b").alias("s1")).distinct(), "open")
     if not open_.isEmpty():
         roots = components(links).select(F.col("node").alias("s1"), "root")
