@@ -347,3 +347,24 @@ def test_streams(spark, tmp_path):
         q.stop()
     assert spark.table("met").count() > 0
     assert spark.table("crowd").count() > 0
+
+
+def test_components_without_pairs(spark, monkeypatch):
+    """Those of the pairs' graph, but without them; spans need overlaps of 1 to 50 seconds."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for t in range(300):
+        start, length = int(rng.integers(2_000_000)), int(rng.choice([0, 1, 3, 40, 20_000, 40_000, 100_000, 1_000_000], p=[0.1, 0.2, 0.2, 0.2, 0.1, 0.1, 0.09, 0.01]))
+        start -= start % 4 if t % 2 else 0
+        rows += [(1000 - t, t, start, 2 * t, 1.0, 41.0), (1000 - t, t, start + length, 2 * t + 1, 1.0, 41.0)]
+    loc = spark.createDataFrame(rows, SCHEMA)
+    nodes = loc.select(F.col("trajectory_id").alias("node")).distinct()
+    want = sorted(map(tuple, graph.components(nodes, graph.contemporaries(loc).filter("p > 0")).collect()))
+
+    def no_pairs(*_):
+        raise AssertionError("pairs grow with the square of what is there at a time")
+
+    monkeypatch.setattr(graph, "contemporaries", no_pairs)
+    assert sorted(map(tuple, graph.overlap_components(loc).collect())) == want
+    assert 20 < len({c for _, c in want}) < 200
+    assert graph.largest_component(loc).count() > 0
