@@ -368,3 +368,22 @@ def test_components_without_pairs(spark, monkeypatch):
     assert sorted(map(tuple, graph.overlap_components(loc).collect())) == want
     assert 20 < len({c for _, c in want}) < 200
     assert graph.largest_component(loc).count() > 0
+
+
+def test_mdav_by_bounds(spark, monkeypatch):
+    """The clusters of walked distances, ties too, with few distances walked."""
+    rng = np.random.default_rng(8)
+    locs = []
+    for _ in range(400):
+        n = int(rng.integers(1, 9))
+        locs.append(np.c_[np.sort(rng.integers(0, 86_400, n)) + 1_700_000_000.0, 1.25 + rng.integers(0, 5, n) * 0.004 + rng.normal(0, 0.001, n), 41.1 + rng.normal(0, 0.01, n)])
+    locs += [x.copy() for x in locs[:60]]  # equally near and far
+    want = mdav._mdav_by_walks(mdav.Trajectories(locs), 3, 0.05)
+    walked = []
+    monkeypatch.setattr(mdav, "FEW", 5)
+    plain = mdav.Trajectories.distances
+    monkeypatch.setattr(mdav.Trajectories, "distances", lambda self, one, weight, rows=None, own=None: walked.append(len(self.n) if rows is None else len(rows)) or plain(self, one, weight, rows, own))
+    assert (mdav.mdav(locs, 3, 0.05) == want).all()
+    assert sum(walked) < 6 * len(locs), "distances walked grow with the square of the group"
+    assert (mdav.mdav(locs[:7], 3, 0.05) == mdav._mdav_by_walks(mdav.Trajectories(locs[:7]), 3, 0.05)).all()
+    assert not len(mdav.mdav([], 3, 0.05)) and list(mdav.mdav(locs[:1], 3, 0.05)) == [0]
