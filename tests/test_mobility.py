@@ -387,3 +387,23 @@ def test_mdav_by_bounds(spark, monkeypatch):
     assert sum(walked) < 6 * len(locs), "distances walked grow with the square of the group"
     assert (mdav.mdav(locs[:7], 3, 0.05) == mdav._mdav_by_walks(mdav.Trajectories(locs[:7]), 3, 0.05)).all()
     assert not len(mdav.mdav([], 3, 0.05)) and list(mdav.mdav(locs[:1], 3, 0.05)) == [0]
+
+
+def test_nearest_to_means_without_the_product(spark):
+    """A member gives its nearest locations of each step, not all its locations for each."""
+    from tracewarden.operators import aggregation
+
+    loc = walk(spark, 6, n=8, steps=9)
+    members = tr.nest(loc).withColumn("cluster_id", F.col("trajectory_id") % 2)
+    points = {(r["cluster_id"], r["i"]): r for r in aggregation.mean_points(members).collect()}
+    out = {r["cluster_id"]: r["locs"] for r in aggregation.closest_locations(members, 0.001).collect()}
+    everyone = [(r["cluster_id"], r["trajectory_id"], l) for r in members.collect() for l in r["locs"]]
+    for c, locs in out.items():
+        want = []
+        for i in range(len(locs)):
+            p = points[c, i]
+            d = lambda l: ((p["lon"] - l["lon"]) ** 2 + (p["lat"] - l["lat"]) ** 2 + (0.001 * (p["ts"] - l["ts"])) ** 2) ** 0.5  # noqa: B023, E731
+            want.append(min((d(l), t, l["ts"], l["lon"]) for k, t, l in everyone if k == c)[2:])
+        assert sorted(want) == sorted((l["ts"], l["lon"]) for l in locs)
+    plan = aggregation.closest_locations(members, 0.001)._jdf.queryExecution().analyzed().toString()
+    assert "posexplode(locs" not in plan and "Window" not in plan
