@@ -381,6 +381,7 @@ def test_mdav_by_bounds(spark, monkeypatch):
     want = mdav._mdav_by_walks(mdav.Trajectories(locs), 3, 0.05)
     walked = []
     monkeypatch.setattr(mdav, "FEW", 5)
+    monkeypatch.setattr(mdav, "SMALL", 0)
     plain = mdav.Trajectories.distances
     monkeypatch.setattr(mdav.Trajectories, "distances", lambda self, one, weight, rows=None, own=None: walked.append(len(self.n) if rows is None else len(rows)) or plain(self, one, weight, rows, own))
     assert (mdav.mdav(locs, 3, 0.05) == want).all()
@@ -407,3 +408,25 @@ def test_nearest_to_means_without_the_product(spark):
         assert sorted(want) == sorted((l["ts"], l["lon"]) for l in locs)
     plan = aggregation.closest_locations(members, 0.001)._jdf.queryExecution().analyzed().toString()
     assert "posexplode(locs" not in plan and "Window" not in plan
+
+
+def test_search_of_nearest_without_pairs(spark, monkeypatch):
+    """The nearest of all pairs and of a band, of equally near the smaller id, though pairs are never made."""
+    loc = walk(spark, 3, 40, 7).unionByName(walk(spark, 4, 30, 4).withColumn("trajectory_id", F.col("trajectory_id") + 100))
+    loc = loc.unionByName(walk(spark, 4, 9, 4).withColumn("trajectory_id", F.col("trajectory_id") + 200))  # copies
+    other = generalization.simple(loc.filter("trajectory_id % 5 > 0"), 200)
+    o, a = distance.with_speeds(loc), distance.with_speeds(other)
+    pairs = distance.every_pair(o, a).select("a", "b", distance.martinez(0.3).alias("d"))
+    brute = lambda p: {r["b"]: (r["m"]["a"], pytest.approx(r["m"]["d"], rel=1e-9)) for r in p.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).collect()}
+    want, ranks = brute(pairs), o.withColumn("rank", F.col("trajectory_id") % 79)
+    asks = a.withColumn("from", F.col("trajectory_id") % 50).withColumn("to", F.col("from") + 20)
+    near = pairs.join(ranks.select(F.col("trajectory_id").alias("a"), "rank"), "a").join(asks.select(F.col("trajectory_id").alias("b"), "from", "to"), "b")
+    banded = brute(near.filter(F.col("rank").between(F.col("from"), F.col("to"))))
+
+    def no_pairs(*_):
+        raise AssertionError("pairs of all would be shuffled")
+
+    monkeypatch.setattr(distance, "every_pair", no_pairs)
+    monkeypatch.setattr(measures, "every_pair", no_pairs, raising=False)
+    assert {r["b"]: (r["a"], r["d"]) for r in measures.nearest_originals(loc, other, 0.3).collect()} == want
+    assert {r["b"]: (r["a"], r["d"]) for r in distance.nearest(ranks, asks, 0.3, band=True).collect()} == banded
