@@ -430,3 +430,53 @@ def test_search_of_nearest_without_pairs(spark, monkeypatch):
     monkeypatch.setattr(measures, "every_pair", no_pairs, raising=False)
     assert {r["b"]: (r["a"], r["d"]) for r in measures.nearest_originals(loc, other, 0.3).collect()} == want
     assert {r["b"]: (r["a"], r["d"]) for r in distance.nearest(ranks, asks, 0.3, band=True).collect()} == banded
+
+
+def test_moments_meet_legs(spark):
+    """Every moment of a span once; a moment of the trajectory's own keeps its location, others lie on the line."""
+    loc = walk(spark, 7, 10, 8)
+    loc = loc.unionByName(loc.limit(5).withColumn("seq", F.col("seq") + 1000).withColumn("lon", F.col("lon") + 1))  # two at a moment
+    rows = loc.collect()
+    moments = sorted({r["ts"] for r in rows})
+    got = {(r["trajectory_id"], r["ts"]): (r["lon"], r["lat"]) for r in graph.synchronized(loc).collect()}
+    count = 0
+    for t in {r["trajectory_id"] for r in rows}:
+        own = {}
+        for r in sorted((r for r in rows if r["trajectory_id"] == t), key=lambda r: -r["seq"]):
+            own[r["ts"]] = r
+        times = sorted(own)
+        for m in (m for m in moments if times[0] <= m <= times[-1]):
+            count += 1
+            want = [np.interp(m, times, [own[x][c] for x in times]) for c in ("lon", "lat")]
+            assert got[t, m] == pytest.approx(want, abs=6e-7) and (m not in own or got[t, m] == (own[m]["lon"], own[m]["lat"]))
+    assert count == len(got) == graph.synchronized(loc).count()
+    plan = graph.synchronized(loc)._jdf.queryExecution().analyzed().toString()
+    assert "last(" not in plan and "first(" not in plan, "moments of all trajectories would be sorted"
+
+
+def test_meetings_are_not_shuffled(spark, monkeypatch):
+    """Swaps are those of the matching over all pairs of a bucket, though pairs are never made."""
+    loc = walk(spark, 9, 30)
+    assert "Aggregate" not in swapmob.candidates(loc, 0.8, 60)._jdf.queryExecution().analyzed().toString().replace("Aggregate [min(ts", "")
+    pairs = [tuple(r) for r in swapmob.candidates(loc, 0.8, 60).select("bucket", "a", "a_seq", "b", "b_seq").collect()]
+    assert len(pairs) == len(set(pairs)) > 100
+    want = []
+    for bucket in sorted({p[0] for p in pairs}):
+        rng = np.random.default_rng([3, bucket])
+        partners = {}
+        for _, a, i, b, j in sorted(p for p in pairs if p[0] == bucket):
+            partners.setdefault((a, i), []).append((b, j))
+            partners.setdefault((b, j), []).append((a, i))
+        used = set()
+        for p in sorted(partners, key=lambda x: (len(partners[x]), x)):
+            free = sorted(q for q in partners[p] if q[0] not in used)
+            if p[0] not in used and free:
+                q = free[int(rng.integers(len(free)))]
+                want.append((bucket, *p, *q))
+                used |= {p[0], q[0]}
+
+    def no_pairs(*_):
+        raise AssertionError("pairs grow with the square of what meets")
+
+    monkeypatch.setattr(swapmob, "candidates", no_pairs)
+    assert sorted(tuple(r) for r in swapmob.swaps(loc, 0.8, 60, 3).select("bucket", "a", "a_seq", "b", "b_seq").collect()) == sorted(want)
