@@ -480,3 +480,25 @@ def test_meetings_are_not_shuffled(spark, monkeypatch):
 
     monkeypatch.setattr(swapmob, "candidates", no_pairs)
     assert sorted(tuple(r) for r in swapmob.swaps(loc, 0.8, 60, 3).select("bucket", "a", "a_seq", "b", "b_seq").collect()) == sorted(want)
+
+
+def test_edges_without_moments_of_pairs(spark, monkeypatch):
+    """Weights by the definition, in blocks of few trajectories, though no row is made for a pair and a moment."""
+    loc = walk(spark, 11, 14, 6).unionByName(walk(spark, 2, 5).withColumn("trajectory_id", F.col("trajectory_id") + 20).withColumn("ts", F.col("ts") + 400))
+    at = {}
+    for r in graph.synchronized(loc).collect():
+        at.setdefault(r["trajectory_id"], {})[r["ts"]] = (r["lon"], r["lat"])
+    want = {}
+    for r in graph.contemporaries(loc).filter("p > 0").collect():
+        common = [m for m in at[r["a"]] if m in at[r["b"]]]
+        total = sum((at[r["a"]][m][0] - at[r["b"]][m][0]) ** 2 + (at[r["a"]][m][1] - at[r["b"]][m][1]) ** 2 for m in common)
+        want[r["a"], r["b"]] = pytest.approx(total**0.5 / (r["end"] - r["start"]) / r["p"], rel=1e-6)
+
+    def no_rows(*_):
+        raise AssertionError("a row for each pair and moment")
+
+    monkeypatch.setattr(graph, "synchronized", no_rows)
+    for together, at_once in ((4, 7), (512, 2048)):
+        monkeypatch.setattr(graph, "TOGETHER", together)
+        monkeypatch.setattr(graph, "AT_ONCE", at_once)
+        assert {(r["a"], r["b"]): r["weight"] for r in graph.edges(loc).collect()} == want
