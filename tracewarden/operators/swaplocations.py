@@ -36,24 +36,24 @@ def swap_clusters(rows: pa.Table, k: int, r_s: list[int], r_t: list[int], seed:
     lon, lat = rows.column("lon").to_numpy(), rows.column("lat").to_numpy()
     alive = np.ones(len(ts), bool)
     new = np.full(len(ts), -1)
+    per_m = math.degrees(1 / (EARTH_KM * 1000)) * (1 + 1e-6)  # degrees of latitude
     for i in rng.permutation(len(ts)):
         if not alive[i]:
             continue
-        a, b = np.searchsorted(ts, [ts[i] - r_t[-1], ts[i] + r_t[-1] + 1])
-        near = np.arange(a, b)[alive[a:b]]
-        wait = np.abs(ts[near] - ts[i])
-        far = km(lon[near], lat[near], lon[i], lat[i]) * 1000
         found = None
-        for t in r_t:
-            in_time = wait <= t
-            if in_time.sum() < k:
+        for t in r_t:  # wider only where no cluster is found
+            a, b = np.searchsorted(ts, [ts[i] - t, ts[i] + t + 1])
+            near = np.flatnonzero(alive[a:b]) + a
+            if len(near) < k:
                 continue
+            north = np.abs(lat[near] - lat[i])
             for s in r_s:
-                hit = np.flatnonzero(in_time & (far <= s))
-                hit = hit[np.argsort(wait[hit], kind="stable")]
-                first = hit[np.sort(np.unique(tid[near[hit]], return_index=True)[1])]
+                hit = near[north <= s * per_m]  # a superset: distances are walked of these alone
+                hit = hit[km(lon[hit], lat[hit], lon[i], lat[i]) * 1000 <= s]
+                hit = hit[np.argsort(np.abs(ts[hit] - ts[i]), kind="stable")]
+                first = hit[np.sort(np.unique(tid[hit], return_index=True)[1])]
                 if len(first) >= k:
-                    found = near[first]
+                    found = first
                     break
             if found is not None:
                 break
