@@ -502,3 +502,42 @@ def test_edges_without_moments_of_pairs(spark, monkeypatch):
         monkeypatch.setattr(graph, "TOGETHER", together)
         monkeypatch.setattr(graph, "AT_ONCE", at_once)
         assert {(r["a"], r["b"]): r["weight"] for r in graph.edges(loc).collect()} == want
+
+
+def test_swap_clusters_look_at_near_ones(monkeypatch):
+    """The clusters of a search at all radii at once, with distances of few."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    n, r_s, r_t = 3000, [300, 900, 1500], [60, 300, 600]
+    ts, tid = np.sort(rng.integers(0, 20_000, n)), rng.integers(0, 200, n)
+    lon, lat = 1.2 + rng.random(n) * 0.05, 41.1 + rng.random(n) * 0.05
+    rows = pa.table([pa.array(x) for x in (tid, tid + 1000, ts, np.arange(n), lon, lat)], names=["trajectory_id", "user_id", "ts", "seq", "lon", "lat"]).sort_by([("ts", "ascending"), ("trajectory_id", "ascending"), ("seq", "ascending")])
+    tid, ts, seq, lon, lat = (rows.column(c).to_numpy() for c in ("trajectory_id", "ts", "seq", "lon", "lat"))
+    draw, alive, want = np.random.default_rng([4, 7]), np.ones(n, bool), {}
+    for i in draw.permutation(n):
+        if not alive[i]:
+            continue
+        found = None
+        for t, s in ((t, s) for t in r_t for s in r_s):
+            hit = np.flatnonzero(alive & (np.abs(ts - ts[i]) <= t) & (mdav.km(lon, lat, lon[i], lat[i]) * 1000 <= s))
+            hit = hit[np.argsort(np.abs(ts[hit] - ts[i]), kind="stable")]
+            first = hit[np.sort(np.unique(tid[hit], return_index=True)[1])]
+            if len(first) >= 3:
+                found = first
+                break
+        alive[i if found is None else found] = False
+        if found is not None:
+            want |= dict(zip(seq[found].tolist(), tid[found[draw.permutation(len(found))]].tolist()))
+    looked = []
+    monkeypatch.setattr(swaplocations, "km", lambda *a: looked.append(len(a[0])) or mdav.km(*a))
+    out = swaplocations.swap_clusters(rows, 3, r_s, r_t, 4, 7)
+    assert dict(zip(out.column("seq").to_pylist(), out.column("trajectory_id").to_pylist())) == want and len(want) > 1000
+    within = sum(int(np.searchsorted(ts, x + 601) - np.searchsorted(ts, x - 600)) for x in ts[:: n // 100]) / 101
+    assert sum(looked) / len(looked) < within / 8
+
+
+def test_combinations_are_not_shuffled(spark):
+    s = spark.createDataFrame([(1, ["a", "b", "c", "a"]), (2, ["a", "b"])], "trajectory_id long, tiles array<string>")
+    plan = sequences.combinations(s)._jdf.queryExecution().toString()
+    assert "hashpartitioning(trajectory_id" in plan and "hashpartitioning(combo" not in plan and plan.split("Physical Plan")[-1].count("Exchange hash") == 1

@@ -30,11 +30,12 @@ def tile_sequences(tiled: DataFrame, tile: str = "tile_id", repeats: bool = True
 def combinations(sequences: DataFrame, knowledge: int = 2) -> DataFrame:
     """trajectory_id, combo: the distinct ordered sub-sequences of min(knowledge, length) tiles; of sequences of two or more.
 
-    A sequence of n tiles has C(n, knowledge) of them; they are unfolded position by position inside the row's task.
+    A sequence of n tiles has C(n, knowledge) of them; they are unfolded position by position inside the row's task. What is
+    shuffled to tell equal ones apart are the sequences, by trajectory, not the combinations.
     """
     kind = sequences.schema["tiles"].dataType.elementType.simpleString()
     size = F.least(F.size("tiles"), F.lit(knowledge))
-    rows = sequences.filter(F.size("tiles") > 1).select("trajectory_id", "tiles", size.alias("k"), F.array().cast(f"array<{kind}>").alias("combo"), F.lit(-1).alias("last"))
+    rows = sequences.filter(F.size("tiles") > 1).repartition("trajectory_id").select("trajectory_id", "tiles", size.alias("k"), F.array().cast(f"array<{kind}>").alias("combo"), F.lit(-1).alias("last"))
     for step in range(knowledge):
         more = rows.filter(F.col("k") > step).withColumn("at", F.explode(F.sequence(F.col("last") + 1, F.size("tiles") - F.col("k") + step)))
         grown = more.select("trajectory_id", "tiles", "k", F.concat("combo", F.array(F.get("tiles", F.col("at")))).alias("combo"), F.col("at").alias("last"))
